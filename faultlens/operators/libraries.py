@@ -85,14 +85,13 @@ def expand_flags(matches: DataFrame, resilience: DataFrame) -> DataFrame:
 def library_catalog(results: DataFrame) -> DataFrame:
     """Repositories per library and their share of all repositories.
 
-    The total rides along as one extra group of the same aggregation, so the
-    input is read once.
+    ``results`` has one row per repository. The total rides along as one extra
+    group of the same map-side-combined count, so the input is read once.
     """
-    tagged = F.array_union(
-        F.coalesce("http_libraries", F.array().cast("array<string>")),
-        F.array(F.lit(None).cast("string")))
-    counted = results.select("repo_url", F.explode(tagged).alias("library")).groupBy(
-        "library").agg(F.countDistinct("repo_url").alias("repo_count"))
+    everything = F.array(F.lit(None).cast("string"))
+    counted = results.select(
+        F.explode(F.concat(F.array_distinct("http_libraries"), everything)).alias("library")
+    ).groupBy("library").agg(F.count("*").alias("repo_count"))
     # One row per library of a closed catalog, plus the total.
     total = F.max(F.when(F.col("library").isNull(), F.col("repo_count"))).over(
         Window.partitionBy())

@@ -75,13 +75,19 @@ def partial_rollup(
 ) -> DataFrame:
     """Mergeable state per group. ``order`` defines which file is first.
 
-    A file counts as failed when it could not be analysed; its language and
-    HTTP libraries still count. ``canonical`` files native error handling
+    A file counts as failed when it could not be analysed: it has no label,
+    but its language (unless unreadable) and HTTP libraries still count.
+    ``canonical`` files native error handling
     (``rescue``, ``do``/``catch``, error checks) under ``try_catch`` as well.
     """
     domains = domains or Domains()
     by = list(by)
-    label = F.when(F.col("label") != "None", F.col("label"))
+    analysed = F.col("parse_status") != "failed"
+    label = F.when(analysed & (F.col("label") != "None"), F.col("label"))
+    language = F.array(F.col("language"))
+    if "decode_ok" in signals.columns:
+        language = F.when(F.coalesce("decode_ok", F.lit(True)), language).otherwise(
+            F.array().cast("array<string>"))
     flags = canonical_flags(F.col("flags")) if canonical else F.col("flags")
     present = signals.columns
 
@@ -92,12 +98,12 @@ def partial_rollup(
         (F.col("parse_status") == "failed").alias("_failed"),
         (label == "Basic").alias("_is_basic"),
         (label == "Advanced").alias("_is_advanced"),
-        F.col("basic"), F.col("advanced"),
+        (analysed & F.col("basic")).alias("basic"),
+        (analysed & F.col("advanced")).alias("advanced"),
         flags.alias("_flags"),
         *(
             _encode(
-                F.array(F.col("language")) if column == "languages" else F.col(column), word
-            ).alias(f"{column}_{i}")
+                language if column == "languages" else F.col(column), word).alias(f"{column}_{i}")
             for column, names in domains.sets().items()
             if column == "languages" or column in present
             for i, word in enumerate(_words(names))
