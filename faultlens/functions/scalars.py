@@ -68,7 +68,8 @@ def recommendation(label: Column) -> Column:
 
 
 def format_rate(rate: Column) -> Column:
-    return F.format_string("%.2f%%", rate * 100)
+    """``0.955`` to ``"95.50%"``, ties to even."""
+    return F.format_string("%.2f%%", F.bround(rate * 100, 2))
 
 
 def parse_rate(text: Column) -> Column:

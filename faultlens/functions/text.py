@@ -50,20 +50,36 @@ def _comments(language: str) -> str:
     return "|".join(_COMMENTS.get(language, _C_COMMENTS))
 
 
-def strip_comments(text: Column, language: str) -> Column:
+def sql_text(value: str) -> str:
+    """SQL literal of any text, whatever the session's escape setting: raw
+    pieces between single quotes, which are written in double quotes."""
+    return " \"'\" ".join(f"r'{piece}'" for piece in value.split("'"))
+
+
+def strip_comments_sql(source: str, language: str) -> str:
     """Comments become a blank; string literals are recognised and kept, so a
     comment marker inside one is left alone."""
     pattern = f"({_strings(language)})|{_comments(language)}"
-    return F.regexp_replace(text, pattern, "$1 ")
+    return f"regexp_replace({source}, {sql_text(pattern)}, '$1 ')"
 
 
-def mask_strings(text: Column, language: str) -> Column:
+def mask_strings_sql(source: str, language: str) -> str:
     """String literals of comment-free text become a blank."""
-    return F.regexp_replace(text, _strings(language), " ")
+    return f"regexp_replace({source}, {sql_text(_strings(language))}, ' ')"
 
 
-def mask_code(text: Column, language: str) -> Column:
+def mask_code_sql(source: str, language: str) -> str:
     """Comments and string literals become blanks, in one pass."""
+    pattern = f"{_strings(language)}|{_comments(language)}"
+    return f"regexp_replace({source}, {sql_text(pattern)}, ' ')"
+
+
+def strip_comments(text: Column, language: str) -> Column:
+    pattern = f"({_strings(language)})|{_comments(language)}"
+    return F.regexp_replace(text, pattern, "$1 ")
+
+
+def mask_code(text: Column, language: str) -> Column:
     return F.regexp_replace(text, f"{_strings(language)}|{_comments(language)}", " ")
 
 
@@ -92,8 +108,3 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def find_all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-
-def as_lines(names: Column) -> Column:
-    """Distinct names as one text, a name per line, for anchored tests."""
-    return F.array_join(F.array_distinct(names), "\n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.catalogs import domain
+from faultlens.functions import scalars
 from faultlens.operators import contingency
 
 
@@ -21,10 +22,14 @@ def distribution_lines(distribution: DataFrame) -> DataFrame:
 
 def language_lines(cells: DataFrame) -> DataFrame:
     """One line per language: repositories and the four category shares."""
-    table = contingency.percent_table(cells)
-    shares = [F.coalesce(f"{c.lower()}_pct", F.lit(0.0)) for c in domain.CATEGORIES]
-    return table.select("row_key", F.format_string(
-        "%-12s %7s" + " %7.1f%%" * len(shares), F.col("row_key"), _grouped("row_total"), *shares
+    wide = cells.groupBy("row_key").agg(
+        F.sum("n").alias("total"),
+        *(F.coalesce(F.sum(F.when(F.col("col_key") == c, F.col("n"))), F.lit(0)).alias(f"_{i}")
+          for i, c in enumerate(domain.CATEGORIES)))
+    shares = [scalars.share(F.col(f"_{i}"), F.col("total"), 1)
+              for i in range(len(domain.CATEGORIES))]
+    return wide.select("row_key", F.format_string(
+        "%-12s %7s" + " %7.1f%%" * len(shares), F.col("row_key"), _grouped("total"), *shares
     ).alias("value"))
 
 

@@ -17,6 +17,7 @@ from faultlens.catalogs import domain
 from faultlens.catalogs.http_libraries import http_library_names
 from faultlens.catalogs.resilience_libraries import resilience_library_names
 from faultlens.functions import scalars
+from faultlens.functions.text import sql_text
 from faultlens.operators.signals import canonical_flags
 
 _WORD = 62
@@ -45,25 +46,21 @@ def _words(names: tuple[str, ...]) -> list[tuple[str, ...]]:
     return [names[i:i + _WORD] for i in range(0, len(names), _WORD)]
 
 
-def _encode(values: Column, names: tuple[str, ...]) -> Column:
-    """Array of names to one ``bigint`` of bits."""
-    bit_of = scalars.literal_map(
-        {name: F.lit(1 << i).cast("bigint") for i, name in enumerate(names)})
-    zero = F.lit(0).cast("bigint")
-    return F.aggregate(
-        values, zero,
-        lambda bits, name: bits.bitwiseOR(F.coalesce(F.try_element_at(bit_of, name), zero)),
-    )
+def _encode(values: str, names: tuple[str, ...]) -> Column:
+    """Array of names (as SQL) to one ``bigint`` of bits."""
+    table = ", ".join(f"{sql_text(name)}, {1 << i}L" for i, name in enumerate(names))
+    return F.expr(f"aggregate({values}, 0L, (bits, name) -> "
+                  f"bits | coalesce(try_element_at(map({table}), name), 0L))")
 
 
-def _decode(words: list[tuple[str, Column]]) -> Column:
-    empty = F.array().cast("array<string>")
-    parts = [
-        F.when(bits == 0, empty).otherwise(
-            F.filter(F.array(*map(F.lit, names)), lambda _, i, b=bits: F.getbit(b, i) == 1))
-        for names, bits in words
-    ]
-    return F.array_sort(F.concat(*parts))
+def _set_names(names: tuple[str, ...], bits: str) -> Column:
+    table = ", ".join(map(sql_text, names))
+    return F.expr(f"CASE WHEN {bits} = 0L THEN CAST(array() AS array<string>) "
+                  f"ELSE filter(array({table}), (name, i) -> getbit({bits}, i) = 1) END")
+
+
+def _decode(words: list[tuple[tuple[str, ...], str]]) -> Column:
+    return F.array_sort(F.concat(*(_set_names(names, bits) for names, bits in words)))
 
 
 def partial_rollup(
@@ -84,10 +81,9 @@ def partial_rollup(
     by = list(by)
     analysed = F.col("parse_status") != "failed"
     label = F.when(analysed & (F.col("label") != "None"), F.col("label"))
-    language = F.array(F.col("language"))
+    language = "array(language)"
     if "decode_ok" in signals.columns:
-        language = F.when(F.coalesce("decode_ok", F.lit(True)), language).otherwise(
-            F.array().cast("array<string>"))
+        language = "CASE WHEN coalesce(decode_ok, true) THEN array(language) ELSE array() END"
     flags = canonical_flags(F.col("flags")) if canonical else F.col("flags")
     present = signals.columns
 
@@ -103,7 +99,7 @@ def partial_rollup(
         flags.alias("_flags"),
         *(
             _encode(
-                language if column == "languages" else F.col(column), word).alias(f"{column}_{i}")
+                language if column == "languages" else column, word).alias(f"{column}_{i}")
             for column, names in domains.sets().items()
             if column == "languages" or column in present
             for i, word in enumerate(_words(names))
@@ -121,7 +117,7 @@ def partial_rollup(
         F.max("basic").alias("any_basic"),
         F.max("advanced").alias("any_advanced"),
         *(F.bit_or(c).alias(c) for c in sets),
-        *(F.count_if(F.array_contains("_flags", flag)).alias(f"n_{flag}")
+        *(F.expr(f"count_if(array_contains(_flags, {sql_text(flag)})) AS n_{flag}")
           for flag in domains.flags),
     )
 
@@ -171,7 +167,7 @@ def finish_rollup(
         exception_type.alias("exception_type"),
         scalars.recommendation(exception_type).alias("recommendation"),
         *(
-            _decode([(word, F.col(f"{column}_{i}")) for i, word in enumerate(_words(names))])
+            _decode([(word, f"{column}_{i}") for i, word in enumerate(_words(names))])
             .alias(column)
             for column, names in domains.sets().items() if f"{column}_0" in partials.columns
         ),
@@ -180,8 +176,8 @@ def finish_rollup(
         F.when(total == 0, "no_files").when(failed == total, "all_failed").otherwise("ok")
         .alias("status"),
         *(
-            (F.col(f"n_{flag}") > 0).alias(
-                "has_" + ("backoff" if flag == "exponential_backoff" else flag))
+            F.expr(f"n_{flag} > 0 AS has_"
+                   + ("backoff" if flag == "exponential_backoff" else flag))
             for flag in domain.CORE_FLAGS if flag in domains.flags
         ),
         *(f"n_{flag}" for flag in domains.flags),

@@ -1,16 +1,18 @@
-"""Rules as Column expressions: one narrow pass over the files, no shuffle.
+"""Rules as Catalyst expressions: one narrow pass over the files, no shuffle.
 
 Per file the text views are built once, names are lifted out per shape, and
 every group of rules sets one bit of a ``bigint``. Tiers, flags and library
 names are then read off the bits. Rows are routed by ``CASE language``, so a
 single scan serves all languages and only the row's own rules run.
+
+The few hundred patterns are written as SQL text, one expression per step:
+the driver hands Catalyst a handful of strings instead of thousands of calls.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,84 +21,96 @@ from faultlens.catalogs import domain, http_libraries, resilience_libraries
 from faultlens.catalogs.signals import IMPORT_SHAPES, SHAPES, Rule, Shape, signal_rules
 from faultlens.functions import scalars, text
 from faultlens.functions.python_source import python_facts
+from faultlens.functions.text import sql_text
 
 VIEWS = ("raw", "bare", "code")
 _MAX_BITS = 62
+_NO_NAMES = "CAST(array() AS array<string>)"
 
 # How an import path is written, as the library detectors read it: per line,
 # on the text as written (Python: on masked code, through its own shapes).
-_HTTP_IMPORTS = {
-    "java": r"(?m)^[^\S\n]*import[^\S\n]+(?:static[^\S\n]+)?([a-zA-Z0-9_.]+(?:\.\*)?)[^\S\n]*;",
-    "csharp": r"(?m)^[^\S\n]*using[^\S\n]+(?:static[^\S\n]+)?([a-zA-Z0-9_.]+)[^\S\n]*;",
-    "kotlin": r"(?m)^[^\S\n]*import[^\S\n]+([a-zA-Z0-9_.]+(?:\.\*)?)",
-    "swift": r"(?m)^[^\S\n]*import[^\S\n]+([a-zA-Z0-9_.]+)",
-    "ruby": r"""require(?:_relative)?\s+['"]([^'"]+)['"]""",
+_IMPORT_FORMS = {
+    "java": (r"(?m)^[^\S\n]*import[^\S\n]+(?:static[^\S\n]+)?([a-zA-Z0-9_.]+(?:\.\*)?)[^\S\n]*;",),
+    "csharp": (r"(?m)^[^\S\n]*using[^\S\n]+(?:static[^\S\n]+)?([a-zA-Z0-9_.]+)[^\S\n]*;",),
+    "kotlin": (r"(?m)^[^\S\n]*import[^\S\n]+([a-zA-Z0-9_.]+(?:\.\*)?)",),
+    "swift": (r"(?m)^[^\S\n]*import[^\S\n]+([a-zA-Z0-9_.]+)",),
+    "ruby": (r"""require(?:_relative)?\s+['"]([^'"]+)['"]""",),
+    # Three separate searches: on a long line one form may span another.
+    "javascript": (
+        r"""import\s+.*?\s+from\s+['"]([^'"]+)['"]""",
+        r"""import\s+['"]([^'"]+)['"]""",
+        r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""",
+    ),
 }
-# Three separate searches: on a long line one form may span another.
-_SCRIPT_IMPORTS = (
-    r"""import\s+.*?\s+from\s+['"]([^'"]+)['"]""",
-    r"""import\s+['"]([^'"]+)['"]""",
-    r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""",
-)
+_IMPORT_FORMS["typescript"] = _IMPORT_FORMS["javascript"]
 _GO_SINGLE = r'import\s+"([^"]+)"'
 _GO_BLOCK = r"import\s*\(([^)]*\n)[^\S\n]*\)"
 _GO_LINE = r'(?m)^[^"\n]*"([^"\n]+)"'
 
 
-def _any(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns) if columns else F.lit(False)
+# ------------------------------------------------------------- SQL building
+def _case(branches: dict[str, str], default: str = "NULL") -> str:
+    """The branch of the row's language."""
+    if not branches:
+        return default
+    whens = " ".join(f"WHEN {sql_text(name)} THEN {sql}" for name, sql in branches.items())
+    return f"CASE language {whens} ELSE {default} END"
+
+
+def _find_all(source: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract_all({source}, {sql_text('(?d)' + pattern)}, {group})"
+
+
+def _lines(names: str) -> str:
+    """Distinct names as one text, a name per line, for anchored tests."""
+    return f"array_join(array_distinct({names}), '\\n')"
 
 
-def _bits(predicates: list[Column]) -> Column:
-    """Predicate i sets bit i. Each predicate is evaluated exactly once.
+def _matches(source: str, pattern: str) -> str:
+    return f"{source} RLIKE {sql_text(pattern)}"
+
+
+def _bits(predicates: list[str]) -> str:
+    """Predicate i sets bit i; each is evaluated exactly once.
 
     Folding an array, rather than chaining ORs, keeps hundreds of patterns out
     of one generated method, which would outgrow the JVM's method size limit.
     """
     if len(predicates) > _MAX_BITS:
         raise ValueError(f"{len(predicates)} rule groups in one language; at most {_MAX_BITS}")
-    set_bits = [
-        F.when(p, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-        for i, p in enumerate(predicates)
-    ]
-    zero = F.lit(0).cast("bigint")
-    if not set_bits:
-        return zero
-    return F.aggregate(F.array(*set_bits), zero, lambda bits, bit: bits.bitwiseOR(bit))
+    if not predicates:
+        return "0L"
+    each = ", ".join(f"CASE WHEN {p} THEN {1 << i}L ELSE 0L END" for i, p in enumerate(predicates))
+    return f"aggregate(array({each}), 0L, (bits, bit) -> bits | bit)"
 
 
-def _by_language(language: Column, branches: dict[str, Column], default=None) -> Column:
-    chain = F
-    for name, column in branches.items():
-        chain = chain.when(language == name, column)
-    if chain is F:
-        return F.lit(default)
-    return chain if default is None else chain.otherwise(default)
+def _lookup_bits(names: str, bits_of: dict[str, int]) -> str:
+    """Bits of the names found in a fixed table: one lookup per name instead
+    of one pattern per table entry."""
+    table = ", ".join(f"{sql_text(name)}, {bits}L" for name, bits in sorted(bits_of.items()))
+    return (f"aggregate({names}, 0L, (bits, name) -> "
+            f"bits | coalesce(try_element_at(map({table}), name), 0L))")
 
 
-def _unix(pattern: str) -> str:
-    return "(?d)" + pattern
+# ---------------------------------------------------------------- shapes
+def _slot(name: str) -> str:
+    return f"_names_{name}"
 
 
-# ---------------------------------------------------------------- shapes
-def _shape_names(shape: Shape) -> Column:
-    source = F.col(f"_{shape.view}")
+def _shape_sql(shape: Shape) -> str:
+    source = f"_{shape.view}"
     if shape.without:
-        source = F.regexp_replace(source, _unix(shape.without), "{")
+        source = f"regexp_replace({source}, {sql_text('(?d)' + shape.without)}, '{{')"
     if shape.within:
-        source = F.array_join(text.find_all(source, _unix(shape.within), 0), "\n")
-    names = text.find_all(source, _unix(shape.pattern))
+        source = f"array_join({_find_all(source, shape.within, 0)}, '\\n')"
+    names = _find_all(source, shape.pattern)
     if shape.listed:
-        names = F.split(F.array_join(names, ","), ",")
-        names = F.transform(names, lambda n: F.regexp_extract(n, r"^\s*([A-Za-z_][\w.]*)", 1))
+        first_word = sql_text(r"^\s*([A-Za-z_][\w.]*)")
+        names = (f"transform(split(array_join({names}, ','), ','), "
+                 f"n -> regexp_extract(n, {first_word}, 1))")
     if shape.prefix:
-        names = F.transform(names, lambda n: F.concat(F.lit(shape.prefix), n))
-    lines = text.as_lines(names)
-    return F.lower(lines) if shape.lower else lines
-
-
-def _slot(name: str) -> str:
-    return f"_names_{name}"
+        names = f"transform({names}, n -> concat({sql_text(shape.prefix)}, n))"
+    return f"lower({_lines(names)})" if shape.lower else _lines(names)
 
 
 # ----------------------------------------------------------------- rules
@@ -104,109 +118,128 @@ class _Compiled:
     """One language's rules as bit positions and what each bit means."""
 
     def __init__(self, rules: list[Rule]):
+        gates = {rule.requires for rule in rules if rule.requires}
         grouped: dict[tuple, list[Rule]] = defaultdict(list)
         for rule in rules:
-            gate = rule.requires
             # Rules another rule depends on keep a bit of their own.
-            needed = next((r.requires for r in rules
-                           if r.requires and rule.rule_id.startswith(r.requires)
-                           and r is not rule and not rule.requires), None)
-            grouped[(rule.target, rule.tier, rule.flags, rule.stems, gate, needed)].append(rule)
+            opens = next((g for g in gates
+                          if not rule.requires and rule.rule_id.startswith(g)), None)
+            key = (rule.target, rule.tier, rule.flags, rule.stems, rule.requires, opens)
+            grouped[key].append(rule)
         self.groups = list(grouped.values())
 
-    def predicates(self) -> list[Column]:
+    def predicates(self) -> list[str]:
         return [self._predicate(group) for group in self.groups]
 
     @staticmethod
-    def _predicate(group: list[Rule]) -> Column:
+    def _predicate(group: list[Rule]) -> str:
         first = group[0]
         alternatives = "|".join(f"(?:{rule.pattern})" for rule in group)
         if first.target not in VIEWS:
-            return F.col(_slot(first.target)).rlike("(?dm)" + alternatives)
-        source = F.col(f"_{first.target}")
-        matched = source.rlike(_unix(alternatives))
-        if first.stems:
-            return _any([source.contains(stem) for stem in first.stems]) & matched
-        return matched
+            return _matches(_slot(first.target), "(?dm)" + alternatives)
+        source = f"_{first.target}"
+        matched = _matches(source, "(?d)" + alternatives)
+        if not first.stems:
+            return matched
+        stems = " OR ".join(f"contains({source}, {sql_text(s)})" for s in first.stems)
+        return f"({stems}) AND {matched}"
 
     def mask(self, wanted) -> int:
         return sum(1 << i for i, group in enumerate(self.groups) if wanted(group[0]))
 
-    def gates(self) -> list[tuple[int, int]]:
-        """(dependent bits, bits of which one must be set as well)."""
-        out = []
+    def gated(self, bits: str) -> str:
+        """Dependent rules lose their bit where no opening rule is set."""
         for gate in sorted({g[0].requires for g in self.groups if g[0].requires}):
-            dependent = self.mask(lambda r: r.requires == gate)
-            opening = self.mask(lambda r: not r.requires and r.rule_id.startswith(gate))
-            out.append((dependent, opening))
-        return out
-
+            dependent = self.mask(lambda r, g=gate: r.requires == g)
+            opening = self.mask(lambda r, g=gate: not r.requires and r.rule_id.startswith(g))
+            bits = f"CASE WHEN {bits} & {opening}L = 0L THEN {bits} & {~dependent}L ELSE {bits} END"
+        return bits
 
-def _masked(bits: Column, mask: int) -> Column:
-    return bits.bitwiseAND(F.lit(mask).cast("bigint")) != 0
 
-
-def _language_mask(language: Column, bits: Column, masks: dict[str, int]) -> Column:
-    """Test the row's bits against its own language's mask."""
-    masks = {name: mask for name, mask in masks.items() if mask}
-    if not masks:
-        return F.lit(False)
-    wanted = F.coalesce(
-        F.element_at(scalars.literal_map({k: F.lit(v).cast("bigint") for k, v in masks.items()}),
-                     language),
-        F.lit(0).cast("bigint"),
-    )
-    return bits.bitwiseAND(wanted) != 0
+def _any_bit(bits: str, masks: dict[str, int]) -> str:
+    """Does the row have a bit of its own language's mask?"""
+    masks = {name: f"{mask}L" for name, mask in masks.items() if mask}
+    return f"({bits} & {_case(masks, '0L')} <> 0L)" if masks else "false"
 
 
-def _names_of(language: Column, bits: Column, names: dict[str, list[str]]) -> Column:
+def _names_of(bits: str, names: dict[str, list[str]]) -> str:
     """Sorted distinct names whose bit is set."""
-    empty = F.array().cast("array<string>")
-    if not names:
-        return empty
-    own = F.element_at(
-        scalars.literal_map({k: F.array(*map(F.lit, v)) for k, v in names.items() if v}), language
-    )
-    picked = F.filter(own, lambda _, i: F.getbit(bits, i) == 1)
-    return F.when(bits == 0, empty).otherwise(
-        F.coalesce(F.array_sort(F.array_distinct(picked)), empty)
-    )
+    own = _case({
+        language: "array(" + ", ".join(map(sql_text, values)) + ")"
+        for language, values in names.items() if values}, _NO_NAMES)
+    return (f"CASE WHEN {bits} = 0L THEN {_NO_NAMES} ELSE array_sort(array_distinct("
+            f"filter({own}, (name, i) -> getbit({bits}, i) = 1))) END")
 
 
 # --------------------------------------------------------------- library rows
-def _http_pattern(row: http_libraries.HttpLibrary) -> str:
-    pattern = re.escape(row.pattern)
-    ahead = f"(?=.*{re.escape(row.contains)})" if row.contains else ""
-    if row.match == "prefix":
-        return f"^{ahead}{pattern}"
-    separator = "/" if row.language in ("javascript", "typescript") else "."
-    if row.match == "exact" and separator not in row.pattern:
-        return f"^{pattern}(?:{re.escape(separator)}.*)?$"
-    return f"^{ahead}{pattern}$"
-
-
-def _resilience_pattern(row: resilience_libraries.ResilienceLibrary) -> str:
-    pattern = re.escape(row.pattern)
-    ahead = f"(?=.*{re.escape(row.contains)})" if row.contains else ""
-    ahead += "".join(f"(?!.*{re.escape(word)})" for word in row.unless)
-    return {"full": f"^{ahead}{pattern}$", "prefix": f"^{ahead}{pattern}",
-            "contains": f"^{ahead}.*{pattern}"}[row.match]
-
-
-def _import_lines(language: str, shapes: dict[str, Shape]) -> Column | None:
-    lines = [F.col(_slot(name)) for name in IMPORT_SHAPES.get(language, ()) if name in shapes]
-    return F.concat_ws("\n", *lines) if lines else None
-
-
-def http_import_paths(language: str) -> Column:
-    """Import paths of a file, as an array, reading the ``_raw`` view."""
-    raw = F.col("_raw")
+def _http_bits(language: str, rows: list) -> str:
+    """Bits of the catalog rows a file's import paths select."""
+    lines = "_import_paths"
+    paths = f"split({lines}, '\\n')"
+    separator = "/" if language in ("javascript", "typescript") else "."
+    whole: dict[str, int] = defaultdict(int)
+    root: dict[str, int] = defaultdict(int)
+    patterns = []
+    for i, row in enumerate(rows):
+        if row.match == "prefix" or row.contains:
+            ahead = f"(?=.*{re.escape(row.contains)})" if row.contains else ""
+            patterns.append((i, f"(?dm)^{ahead}{re.escape(row.pattern)}"))
+            continue
+        whole[row.pattern] |= 1 << i
+        if row.match == "exact" and separator not in row.pattern:
+            root[row.pattern] |= 1 << i
+    parts = []
+    if whole:
+        parts.append(_lookup_bits(paths, whole))
+    if root:
+        first = f"transform({paths}, p -> substring_index(p, '{separator}', 1))"
+        parts.append(_lookup_bits(first, root))
+    each = ", ".join(
+        f"CASE WHEN {_matches(lines, p)} THEN {1 << i}L ELSE 0L END" for i, p in patterns)
+    if each:
+        parts.append(f"aggregate(array({each}), 0L, (bits, bit) -> bits | bit)")
+    clients = [c for c in http_libraries.TEXT_CLIENTS if c[0] == language]
+    found = f"CASE WHEN {lines} = '' THEN 0L ELSE {' | '.join(parts)} END"
+    for k, (_, pattern, stem, _) in enumerate(clients, start=len(rows)):
+        found += (f" | CASE WHEN contains(_raw, {sql_text(stem)}) AND "
+                  f"{_matches('_raw', '(?d)' + pattern)} THEN {1 << k}L ELSE 0L END")
+    return found
+
+
+def _resilience_bits(language: str, lines: str, rows: list, builders: list) -> str:
+    whole: dict[str, int] = defaultdict(int)
+    patterns = []
+    for i, row in enumerate(rows):
+        if row.match == "full" and not row.contains and not row.unless:
+            whole[row.pattern] |= 1 << i
+            continue
+        ahead = f"(?=.*{re.escape(row.contains)})" if row.contains else ""
+        ahead += "".join(f"(?!.*{re.escape(word)})" for word in row.unless)
+        inside = ".*" if row.match == "contains" else ""
+        patterns.append((i, f"(?dm)^{ahead}{inside}{re.escape(row.pattern)}"))
+    parts = []
+    if whole:
+        parts.append(_lookup_bits(f"split({lines}, '\\n')", whole))
+    each = ", ".join(
+        f"CASE WHEN {_matches(lines, p)} THEN {1 << i}L ELSE 0L END" for i, p in patterns)
+    if each:
+        parts.append(f"aggregate(array({each}), 0L, (bits, bit) -> bits | bit)")
+    found = f"CASE WHEN {lines} = '' THEN 0L ELSE {' | '.join(parts)} END"
+    for k, (_, pattern, _) in enumerate(builders, start=len(rows)):
+        found += f" | CASE WHEN {_matches('_raw', '(?d)' + pattern)} THEN {1 << k}L ELSE 0L END"
+    return found
+
+
+def _import_paths(language: str) -> str:
+    """Import paths of a file as the HTTP library detector sees them."""
+    if language == "python":
+        named = f"concat_ws('\\n', {_slot('imports')}, {_slot('from_imports')})"
+        return f"regexp_replace({named}, '(?m)^(?:import|from) ', '')"
     if language == "go":
-        block = F.array_join(text.find_all(raw, _GO_BLOCK), "\n")
-        return F.array_union(text.find_all(raw, _GO_SINGLE), text.find_all(block, _GO_LINE))
-    if language in ("javascript", "typescript"):
-        return F.array_distinct(F.concat(*(text.find_all(raw, _unix(p)) for p in _SCRIPT_IMPORTS)))
-    return text.find_all(raw, _unix(_HTTP_IMPORTS[language]))
+        block = f"array_join({_find_all('_raw', _GO_BLOCK)}, '\\n')"
+        return _lines(f"concat({_find_all('_raw', _GO_SINGLE)}, {_find_all(block, _GO_LINE)})")
+    found = [_find_all("_raw", form) for form in _IMPORT_FORMS[language]]
+    return _lines(found[0] if len(found) == 1 else f"concat({', '.join(found)})")
 
 
 # ------------------------------------------------------------------ assembly
@@ -224,8 +257,8 @@ def classify_files(
 
     ``files`` needs ``language`` and ``content``; ``decode_ok`` is honoured if
     present. All other columns pass through. Added: ``parse_status``, ``basic``,
-    ``advanced``, ``label``, ``flags``, ``http_libraries``,
-    ``resilience_libraries``.
+    ``advanced``, ``flags``, ``http_libraries``, ``resilience_libraries``,
+    ``label``.
 
     ``rules`` and ``shapes`` replace the built-in ones; a rule with language
     ``*`` applies to each of ``languages``. ``libraries`` selects which kinds of
@@ -237,175 +270,134 @@ def classify_files(
     rules = signal_rules(mode, languages) if rules is None else list(rules)
     shapes = SHAPES if shapes is None else list(shapes)
     keep = [c for c in files.columns if c != "content"]
-    language = F.col("language")
-
-    per_rules = {
-        name: [r for r in rules if r.language in (name, "*")] for name in languages
-    }
-    per_shapes = {
-        name: {s.name: s for s in shapes if s.language == name} for name in languages
-    }
-    http = [r for r in http_libraries.http_catalog(mode)
-            if "http" in libraries and r.language in languages]
-    resilience = [r for r in resilience_libraries.resilience_catalog()
-                  if "resilience" in libraries and r.language in languages]
-
-    # 1. Text views, each built once per file and only where something reads it.
-    readers = defaultdict(set)
+    compiled = {
+        name: _Compiled([r for r in rules if r.language in (name, "*")]) for name in languages}
+    http: dict[str, list] = defaultdict(list)
+    resilience: dict[str, list] = defaultdict(list)
+    if "http" in libraries:
+        for row in http_libraries.http_catalog(mode):
+            http[row.language].append(row)
+    if "resilience" in libraries:
+        for row in resilience_libraries.resilience_catalog():
+            resilience[row.language].append(row)
+
+    # Which shapes and views does each language need?
+    used_shapes: dict[str, dict[str, Shape]] = {}
+    readers: dict[str, set[str]] = defaultdict(set)
     for name in languages:
-        used = {r.target for r in per_rules[name]}
-        if "resilience" in libraries or ("http" in libraries and name == "python"):
-            used |= set(IMPORT_SHAPES.get(name, ()))
-        per_shapes[name] = {k: s for k, s in per_shapes[name].items() if k in used}
-        for view in used & set(VIEWS):
+        targets = {group[0].target for group in compiled[name].groups}
+        if resilience[name] or (http[name] and name == "python"):
+            targets |= set(IMPORT_SHAPES[name])
+        used_shapes[name] = {
+            s.name: s for s in shapes if s.language == name and s.name in targets}
+        missing = targets - set(VIEWS) - set(used_shapes[name])
+        if missing:
+            raise ValueError(f"{name}: no such shape: {', '.join(sorted(missing))}")
+        for view in (targets & set(VIEWS)) | {s.view for s in used_shapes[name].values()}:
             readers[view].add(name)
-        for shape in per_shapes[name].values():
-            readers[shape.view].add(name)
 
-    readable = F.coalesce(F.col("decode_ok"), F.lit(True)) if "decode_ok" in files.columns \
-        else F.col("content").isNotNull()
+    # 1. Text views, each built once per file and only where something reads it.
+    readable = (F.coalesce("decode_ok", F.lit(True)) if "decode_ok" in files.columns
+                else F.col("content").isNotNull())
     out = files.select(
-        *keep, text.unify_newlines(F.col("content")).alias("_raw"), readable.alias("_readable")
-    )
-    code_only = readers["code"] - readers["bare"]
-    out = out.withColumn("_bare", _by_language(
-        language, {n: text.strip_comments(F.col("_raw"), n) for n in sorted(readers["bare"])}
-    ).cast("string"))
-    out = out.withColumn("_code", _by_language(language, {
-        **{n: text.mask_code(F.col("_raw"), n) for n in sorted(code_only)},
-        **{n: text.mask_strings(F.col("_bare"), n)
-           for n in sorted(readers["code"] & readers["bare"])},
-    }).cast("string"))
+        *keep, text.unify_newlines(F.col("content")).alias("_raw"), readable.alias("_readable"))
+    out = out.selectExpr("*", _case({
+        name: text.strip_comments_sql("_raw", name) for name in sorted(readers["bare"])
+    }, "CAST(NULL AS string)") + " AS _bare")
+    out = out.selectExpr("*", _case({
+        name: text.mask_strings_sql("_bare", name) if name in readers["bare"]
+        else text.mask_code_sql("_raw", name)
+        for name in sorted(readers["code"])
+    }, "CAST(NULL AS string)") + " AS _code")
+    parse_ok = "_readable"
+    exact_python = exact_python and "python" in languages
+    if exact_python:
+        out = out.withColumn("_facts", python_facts(
+            F.when(F.col("language") == "python", F.col("_raw"))))
+        parse_ok = "(_readable AND coalesce(_facts.ok, true))"
 
     # 2. Names per shape; a slot is shared by the languages that use its name.
-    parse_ok = F.col("_readable")
-    if exact_python and "python" in languages:
-        out = out.withColumn("_facts", python_facts(F.when(language == "python", F.col("_raw"))))
-        parse_ok = parse_ok & F.coalesce(F.col("_facts.ok"), F.lit(True))
-    slots: dict[str, dict[str, Column]] = defaultdict(dict)
+    slots: dict[str, dict[str, str]] = defaultdict(dict)
     for name in languages:
-        for shape in per_shapes[name].values():
-            if exact_python and name == "python":
-                slots[shape.name][name] = text.as_lines(F.col(f"_facts.{shape.name}"))
-            else:
-                slots[shape.name][name] = _shape_names(shape)
-    slot_columns = [_by_language(language, branches).alias(_slot(slot))
-                    for slot, branches in slots.items()]
-    if http:
-        slot_columns.append(_by_language(language, {
-            name: text.as_lines(http_import_paths(name))
-            for name in languages
-            if name in domain.LANGUAGES and name != "python"
-        }).cast("string").alias("_http_paths"))
-    out = out.select("*", *slot_columns)
+        for shape in used_shapes[name].values():
+            slots[shape.name][name] = (
+                _lines(f"_facts.{shape.name}") if exact_python and name == "python"
+                else _shape_sql(shape))
+    out = out.selectExpr("*", *(f"{_case(b)} AS {_slot(slot)}" for slot, b in slots.items()))
+    paths = {name: _import_paths(name) for name in languages if http[name]}
+    out = out.selectExpr("*", f"{_case(paths, 'CAST(NULL AS string)')} AS _import_paths")
 
     # 3. One bit per rule group and per catalog row.
-    compiled = {name: _Compiled(per_rules[name]) for name in languages}
-    signal_bits: dict[str, Column] = {}
-    library_bits: dict[str, Column] = {}
-    http_bits: dict[str, Column] = {}
+    signal_bits, library_bits, http_bits = {}, {}, {}
     library_names: dict[str, list[str]] = {}
     http_names: dict[str, list[str]] = {}
     for name in languages:
         predicates = compiled[name].predicates()
         if exact_python and name == "python":
             predicates = [
-                F.col("_facts.has_try") if group[0].rule_id == "python.try" else predicate
-                for group, predicate in zip(compiled[name].groups, predicates)
-            ]
+                "_facts.has_try" if group[0].rule_id == "python.try" else predicate
+                for group, predicate in zip(compiled[name].groups, predicates)]
         if predicates:
             signal_bits[name] = _bits(predicates)
-        imports = _import_lines(name, per_shapes[name])
-        rows = [r for r in resilience if r.language == name]
-        if rows and imports is not None:
+        if resilience[name]:
             builders = [b for b in resilience_libraries.BUILDER_LIBRARIES if b[0] == name]
-            library_bits[name] = _bits(
-                [imports.rlike("(?dm)" + _resilience_pattern(r)) for r in rows]
-                + [F.col("_raw").rlike(_unix(pattern)) for _, pattern, _ in builders]
-            )
-            library_names[name] = [r.library for r in rows] + [b[2] for b in builders]
-        rows = [r for r in http if r.language == name]
-        if rows:
-            if name == "python":
-                paths = F.regexp_replace(imports, "(?m)^(?:import|from) ", "")
-            else:
-                paths = F.col("_http_paths")
-            clients = [c for c in http_libraries.TEXT_CLIENTS if c[0] == name]
-            http_bits[name] = _bits(
-                [paths.rlike("(?dm)" + _http_pattern(r)) for r in rows]
-                + [F.col("_raw").contains(stem) & F.col("_raw").rlike(_unix(pattern))
-                   for _, pattern, stem, _ in clients]
-            )
-            http_names[name] = [r.canonical for r in rows] + [c[3] for c in clients]
-
-    def bit_column(branches: dict[str, Column], alias: str) -> Column:
-        routed = _by_language(language, branches) if branches else F.lit(None)
-        return F.coalesce(routed.cast("bigint"), F.lit(0).cast("bigint")).alias(alias)
-
-    out = out.select(
-        *keep,
-        F.when(parse_ok, "ok").otherwise("failed").alias("parse_status"),
-        bit_column(signal_bits, "_signals"),
-        bit_column(library_bits, "_libraries"),
-        bit_column(http_bits, "_http"),
+            lines = "concat_ws('\\n', " + ", ".join(map(_slot, IMPORT_SHAPES[name])) + ")"
+            library_bits[name] = _resilience_bits(name, lines, resilience[name], builders)
+            library_names[name] = [r.library for r in resilience[name]] + [b[2] for b in builders]
+        if http[name]:
+            http_bits[name] = _http_bits(name, http[name])
+            http_names[name] = [r.canonical for r in http[name]] + [
+                c[3] for c in http_libraries.TEXT_CLIENTS if c[0] == name]
+    out = out.selectExpr(
+        *(f"`{c}`" for c in keep),
+        f"CASE WHEN {parse_ok} THEN 'ok' ELSE 'failed' END AS parse_status",
+        f"coalesce({_case(signal_bits, '0L')}, 0L) AS _signals",
+        f"coalesce({_case(library_bits, '0L')}, 0L) AS _libraries",
+        f"coalesce({_case(http_bits, '0L')}, 0L) AS _http",
     )
+    # A filter on a label must not be pushed below this point, where it would
+    # repeat every pattern. Filters do not move through a generated row.
+    facts = ["parse_status", "_signals", "_libraries", "_http"]
+    out = out.select(*keep, F.inline(F.array(F.struct(*facts))))
 
-    # 4. Rules that depend on another rule lose their bit where it is not set.
-    gated = F.col("_signals")
-    for name in languages:
-        for dependent, opening in compiled[name].gates():
-            closed = (language == name) & ~_masked(F.col("_signals"), opening)
-            gated = F.when(
-                closed, gated.bitwiseAND(F.lit(~dependent).cast("bigint"))
-            ).otherwise(gated)
-    out = out.withColumn("_signals", gated)
-
-    # 5. Read tiers, flags and names off the bits.
-    bits, lib_bits = F.col("_signals"), F.col("_libraries")
+    # 4. Read tiers, flags and names off the bits.
+    gates = {name: compiled[name].gated("_signals") for name in languages}
+    gates = {name: sql for name, sql in gates.items() if sql != "_signals"}
+    if gates:
+        out = out.withColumn("_signals", F.expr(_case(gates, "_signals")))
 
     def rule_mask(wanted) -> dict[str, int]:
         return {name: compiled[name].mask(wanted) for name in languages}
 
     def library_mask(wanted) -> dict[str, int]:
-        rows = {n: [r for r in resilience if r.language == n] for n in library_names}
-        return {n: sum(1 << i for i, r in enumerate(rows[n]) if wanted(r)) for n in rows}
+        return {name: sum(1 << i for i, row in enumerate(resilience[name]) if wanted(row))
+                for name in library_names}
 
     known = list(domain.ALL_FLAGS)
-    known += sorted({f for r in rules for f in r.flags} - set(known))
+    known += sorted({f for rule in rules for f in rule.flags} - set(known))
     flags = []
     for flag in known:
-        by_rule = rule_mask(lambda r, f=flag: f in r.flags)
-        by_library = library_mask(lambda r, f=flag: f in r.flags)
+        by_rule = rule_mask(lambda rule, f=flag: f in rule.flags)
+        by_library = library_mask(lambda row, f=flag: f in row.flags)
         if any(by_rule.values()) or any(by_library.values()):
-            flags.append(F.when(
-                _language_mask(language, bits, by_rule)
-                | _language_mask(language, lib_bits, by_library), flag))
-    found = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
-
-    out = out.select(
-        *keep, "parse_status",
-        _language_mask(language, bits, rule_mask(lambda r: r.tier == "basic")).alias("basic"),
-        (
-            _language_mask(language, bits, rule_mask(lambda r: r.tier == "advanced"))
-            | _language_mask(language, lib_bits, {
-                # Importing a resilience library is itself an advanced signal.
-                name: (1 << len(rows)) - 1 for name, rows in _rows_by_language(resilience).items()
-            })
-        ).alias("advanced"),
-        found.alias("flags"),
-        _names_of(language, F.col("_http"), http_names).alias("http_libraries"),
-        _names_of(language, lib_bits, library_names).alias("resilience_libraries"),
+            flags.append(
+                f"CASE WHEN {_any_bit('_signals', by_rule)} OR "
+                f"{_any_bit('_libraries', by_library)} THEN {sql_text(flag)} END")
+    found = f"array_compact(array({', '.join(flags)}))" if flags else _NO_NAMES
+    # Importing a resilience library is itself an advanced signal.
+    advanced = (f"{_any_bit('_signals', rule_mask(lambda r: r.tier == 'advanced'))} OR "
+                f"{_any_bit('_libraries', library_mask(lambda _: True))}")
+    out = out.selectExpr(
+        *(f"`{c}`" for c in keep), "parse_status",
+        f"{_any_bit('_signals', rule_mask(lambda r: r.tier == 'basic'))} AS basic",
+        f"({advanced}) AS advanced",
+        f"{found} AS flags",
+        f"{_names_of('_http', http_names)} AS http_libraries",
+        f"{_names_of('_libraries', library_names)} AS resilience_libraries",
     )
     return out.withColumn("label", scalars.file_label(F.col("basic"), F.col("advanced")))
 
 
-def _rows_by_language(rows) -> dict[str, list]:
-    grouped: dict[str, list] = defaultdict(list)
-    for row in rows:
-        grouped[row.language].append(row)
-    return grouped
-
-
 def detect_signals(files: DataFrame, **options) -> DataFrame:
     """Signals and labels only."""
     out = classify_files(files, **{"libraries": ("resilience",), **options})
@@ -418,14 +410,13 @@ def detect_http_libraries(files: DataFrame, mode: str = "fixed",
     language is unknown gets an empty list."""
     out = classify_files(files, mode=mode, languages=languages, rules=[], libraries=("http",))
     return out.drop("basic", "advanced", "label", "flags", "resilience_libraries").withColumn(
-        "has_http_library", F.size("http_libraries") > 0
-    )
+        "has_http_library", F.size("http_libraries") > 0)
 
 
 def canonical_flags(flags: Column) -> Column:
     """Native error handling under its canonical name, next to the raw flag."""
     native = scalars.literal_map(domain.CANONICAL_FLAG)
-    named = F.transform(flags, lambda f: F.element_at(native, f))
+    named = F.transform(flags, lambda f: F.try_element_at(native, f))
     return F.array_distinct(F.concat(flags, F.array_compact(named)))
 
 

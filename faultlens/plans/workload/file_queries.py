@@ -261,8 +261,9 @@ def language_category_chart(spark, sf_dir):
 
 @query("language_report_lines", f"""WITH {_FILE_CELLS} SELECT row_key,
   printf('%-12s %7s', row_key, format('{{:,}}', CAST(any_value(row_total) AS BIGINT))) ||
-  {' || '.join(f"printf(' %7.1f%%', max(pct) FILTER (col_key = '{c}'))"
-               for c in domain.CATEGORIES)} AS value FROM pct GROUP BY row_key""")
+  {' || '.join(f"printf(' %7.1f%%', round(100.0::DOUBLE * max(n) FILTER (col_key = '{c}') "
+               f"/ any_value(row_total), 1))" for c in domain.CATEGORIES)} AS value
+FROM pct GROUP BY row_key""")
 def language_report_lines(spark, sf_dir):
     return reports.language_lines(file_cells(spark, sf_dir))
 

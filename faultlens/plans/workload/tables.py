@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from faultlens.catalogs import domain
 from faultlens.catalogs.signals import Rule
+from faultlens.functions.text import sql_text
 from faultlens.plans.workload.snippets import BODIES, HEADS
 from faultlens.sources.files import spread
 
@@ -56,18 +57,26 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _array(items) -> str:
+    return "array(" + ", ".join(items) + ")"
+
+
 def _pick(table: dict, language: Column, index: Column) -> Column:
-    pieces = F.array(*[F.array(*map(F.lit, table[name])) for name in domain.LANGUAGES])
-    return F.element_at(F.element_at(pieces, language + 1), index + 1)
+    pieces = _array(_array(map(sql_text, table[name])) for name in domain.LANGUAGES)
+    return F.element_at(F.element_at(F.expr(pieces), language + 1), index + 1)
 
 
 def source_files(spark: SparkSession, sf_dir: str, language: str | None = None) -> DataFrame:
     """Every document as a source file: of ``language``, or of each in turn."""
     number = (F.col("doc_id") % len(domain.LANGUAGES)).cast("int") if language is None \
         else F.lit(domain.LANGUAGES.index(language))
-    name = F.element_at(F.array(*map(F.lit, domain.LANGUAGES)), number + 1)
-    ext = F.element_at(F.array(*[F.lit(EXTENSION[n]) for n in domain.LANGUAGES]), number + 1)
-    mark = F.element_at(F.array(*[F.lit(COMMENT[n]) for n in domain.LANGUAGES]), number + 1)
+
+    def of_language(values) -> Column:
+        return F.element_at(F.expr(_array(map(sql_text, values))), number + 1)
+
+    name = of_language(domain.LANGUAGES)
+    ext = of_language(EXTENSION[n] for n in domain.LANGUAGES)
+    mark = of_language(COMMENT[n] for n in domain.LANGUAGES)
     head = _pick(HEADS, number, (F.col("n_chars") % N_HEADS).cast("int"))
     body = _pick(BODIES, number, (F.floor(F.col("doc_id") / 9) % N_BODIES).cast("int"))
     remark = F.concat(mark, F.lit(" "),
