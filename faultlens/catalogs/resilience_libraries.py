@@ -179,14 +179,14 @@ def resilience_catalog() -> list[ResilienceLibrary]:
 
 
 # A client configured in code adds its library name without an import:
-# (language, text pattern, library).
+# (language, text pattern, substring any match contains, library).
 BUILDER_LIBRARIES = (
-    ("kotlin", r"\bOkHttpClient\.Builder\s*\(\s*\)", "OkHttp"),
-    ("kotlin", r"\bRetrofit\.Builder\s*\(\s*\)", "Retrofit"),
-    ("kotlin", r"\bHttpClient\s*\{", "Ktor Client"),
+    ("kotlin", r"\bOkHttpClient\.Builder\s*\(\s*\)", "OkHttpClient.Builder", "OkHttp"),
+    ("kotlin", r"\bRetrofit\.Builder\s*\(\s*\)", "Retrofit.Builder", "Retrofit"),
+    ("kotlin", r"\bHttpClient\s*\{", "HttpClient", "Ktor Client"),
 )
 
 
 def resilience_library_names() -> list[str]:
-    names = {row.library for row in resilience_catalog()} | {b[2] for b in BUILDER_LIBRARIES}
+    names = {row.library for row in resilience_catalog()} | {b[3] for b in BUILDER_LIBRARIES}
     return sorted(names)

@@ -8,6 +8,7 @@ follow. ``faultlens.operators.signals`` compiles both into Column expressions.
 Views of the text a shape or rule reads:
 
 * ``raw``   - as written;
+* ``lower`` - as written, in lower case, for rules that ignore case;
 * ``bare``  - comments removed;
 * ``code``  - comments removed and string literals blanked.
 
@@ -16,6 +17,7 @@ Names reach a rule one per line, so ``^`` and ``$`` anchor a whole name.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from faultlens.catalogs.domain import LANGUAGES
@@ -40,7 +42,7 @@ class Shape:
 class Rule:
     rule_id: str
     language: str
-    target: str  # a shape name, or "raw" / "bare" / "code" for the text itself
+    target: str  # a shape name, or "raw" / "lower" / "bare" / "code" for the text itself
     pattern: str
     tier: str | None = None
     flags: tuple[str, ...] = ()
@@ -68,83 +70,97 @@ def _has(*parts: str) -> str:
 # --------------------------------------------------------------------------
 # Shapes
 # --------------------------------------------------------------------------
-_IDENT = r"[A-Za-z_$][\w$]*"
+# Patterns begin with a literal or one character class wherever they can, and
+# look behind from there: the engine then skips text it cannot match quickly.
+# A leading \n stands for a line start (the text gets one in front).
+_NAME = r"[A-Za-z_]\w*+"
+_IDENT = r"[A-Za-z_$][\w$]*+"
 
 SHAPES: list[Shape] = [
-    Shape("python", "imports", "code", r"(?m)^[ \t]*import[ \t]+([^\n;]+)",
+    Shape("python", "imports", "code", r"\n[ \t]*+import[ \t]++([^\n;]++)",
           listed=True, prefix="import "),
     Shape("python", "from_imports", "code",
-          r"(?m)^[ \t]*from[ \t]+\.*([A-Za-z_][\w.]*)[ \t]+import\b", prefix="from "),
+          r"\n[ \t]*+from[ \t]++\.*+([A-Za-z_][\w.]*+)[ \t]++import\b", prefix="from "),
     Shape("python", "calls", "code",
-          r"(?<![\w.])(?<!\bdef\s{1,4})(?<!\bclass\s{1,4})([A-Za-z_]\w*)\s*\(", lower=True),
-    Shape("python", "attribute_calls", "code", r"\.\s*([A-Za-z_]\w*)\s*\(", lower=True),
+          rf"\b(?=[A-Za-z_])(?<!\.)(?<!\bdef\s{{1,4}})(?<!\bclass\s{{1,4}})({_NAME})\s*+\(",
+          lower=True),
+    Shape("python", "attribute_calls", "code", rf"\.\s*+({_NAME})\s*+\(", lower=True),
     Shape("python", "decorators", "code",
-          r"(?m)^[ \t]*@([A-Za-z_]\w*)[ \t]*(?=\n(?:[ \t]*@[^\n]*\n)*+[ \t]*def\b)", lower=True),
+          rf"\n[ \t]*+@({_NAME})[ \t]*+(?=\n(?:[ \t]*@[^\n]*\n)*+[ \t]*def\b)", lower=True),
 
-    Shape("java", "imports", "code", r"(?m)^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*\w)"),
-    Shape("java", "annotations", "code", r"@([A-Za-z_]\w*)"),
-    Shape("java", "created", "code", r"\bnew\s+(?:\w+\s*\.\s*)*+(\w+)\s*(?=[(<])"),
-    Shape("java", "extended", "code", r"\bextends\s+(?:\w+\s*\.\s*)*+(\w+)"),
+    Shape("java", "imports", "code", r"\n[^\S\n]*+import\s++(?:static\s++)?([A-Za-z_][\w.]*\w)"),
+    Shape("java", "annotations", "code", rf"@({_NAME})"),
+    Shape("java", "created", "code", r"new(?<=\bnew)\s++(?:\w++\s*+\.\s*+)*+(\w++)\s*+(?=[(<])"),
+    Shape("java", "extended", "code", r"extends(?<=\bextends)\s++(?:\w++\s*+\.\s*+)*+(\w++)"),
     Shape("java", "calls", "code",
-          r"(?:\.\s*(?:<[^<>()]*>\s*)?|[;{}(,=!&|?:+*-]\s*|->\s*|\breturn\s+)"
-          r"(?!return\b|new\b)([A-Za-z_]\w*)(?=\s*\()", lower=True),
+          r"[.;{}(,=!&|?:+*>n-](?:(?<=[^>n])|(?<=->)|(?<=\breturn)(?=\s))\s*+"
+          rf"(?:(?<=\.)<[^<>()]*>\s*+)?(?!return\b|new\b)({_NAME})(?=\s*+\()", lower=True),
 
     Shape("go", "imports", "bare", r'"([^"\n]+)"',
-          within=r"\bimport\s*(?:\([^)]*\)|[^\n(]*)"),
+          within=r"import(?<=\bimport)\s*+(?:\([^)]*\)|[^\n(]*)"),
     Shape("go", "selector_calls", "code",
-          r"(?<![\w.])((?:[A-Za-z_]\w*)?\s*\.\s*[A-Za-z_]\w*)\s*\("),
-    Shape("go", "chained_calls", "code", r"\.\s*([A-Za-z_]\w*)\s*\("),
+          rf"\b(?=[A-Za-z_])(?<!\.)({_NAME}\s*+\.\s*+{_NAME})\s*+\("),
+    Shape("go", "chained_calls", "code", rf"\.\s*+({_NAME})\s*+\("),
     Shape("go", "calls", "code",
-          r"(?<![\w.])(?<!\bfunc\s{1,4})(?<!\)\s{1,2})([A-Za-z_]\w*)\s*\(", lower=True),
-    Shape("go", "literals", "code", r"(?<![\w.])([A-Za-z_]\w*\.[A-Za-z_]\w*)\s*\{",
+          rf"\b(?=[A-Za-z_])(?<!\.)(?<!\bfunc\s{{1,4}})(?<!\)\s{{1,2}})({_NAME})\s*+\(",
+          lower=True),
+    Shape("go", "literals", "code", rf"\b(?=[A-Za-z_])(?<!\.)({_NAME}\.{_NAME})\s*+\{{",
           without=r"\b(?:if|for|switch|select|case)\b[^\n{]*\{"),
 
     Shape("ruby", "requires", "raw", r"""require\s+['"]([^'"]+)['"]"""),
-    Shape("ruby", "sent", "code",
-          r"(?:(?<![&.])\.\s*([a-z_]\w*))", lower=True),
+    Shape("ruby", "sent", "code", r"\.(?<![&.]\.)\s*+([a-z_]\w*+)", lower=True),
     Shape("ruby", "called", "code",
-          r"(?<![\w.:@$])(?<!\bdef\s{1,4})(?<!\bdef self\.)([a-z_]\w*[?!]?)"
+          r"\b(?=[a-z_])(?<![.:@$])(?<!\bdef\s{1,4})(?<!\bdef self\.)([a-z_]\w*+[?!]?)"
           r"(?=\(|[ \t]+do\b|[ \t]*\{|[ \t]+[a-z_]\w*:[ \t])", lower=True),
 
     Shape("csharp", "usings", "code",
-          r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([A-Za-z_][\w.]*)\s*;"),
+          r"\n[^\S\n]*+(?:global\s++)?using\s++(?:static\s++)?(?:\w++\s*+=\s*+)?"
+          r"([A-Za-z_][\w.]*+)\s*+;"),
     Shape("csharp", "invoked", "code",
-          r"(?:(?<![\w>\]?][ \t]{1,2})|(?<=\b(?:await|return)[ \t]{1,2}))(?<![\w.])"
-          r"(\.?[A-Za-z_][\w.]*+)(?:<[^<>()\n]*>)?\s*\(", lower=True),
-    Shape("csharp", "created", "code", r"\bnew\s+([A-Za-z_][\w.]*+(?:<[^()\n]*?>)?)\s*(?=[({\[])"),
-    Shape("csharp", "classes", "code", r"\bclass\s+([A-Za-z_]\w*)"),
-
-    Shape("kotlin", "imports", "raw", r"(?m)^\s*import\s+([\w.]+)"),
-    Shape("swift", "imports", "raw", r"(?m)^\s*import\s+(\w+)"),
+          r"(?=[.A-Za-z_])(?<![\w.])"
+          r"(?:(?<![\w>\]?][ \t]{1,2})|(?<=\b(?:await|return)[ \t]{1,2}))"
+          r"(\.?[A-Za-z_][\w.]*+)(?:<[^<>()\n]*>)?\s*+\(", lower=True),
+    Shape("csharp", "created", "code",
+          r"new(?<=\bnew)\s++([A-Za-z_][\w.]*+(?:<[^()\n]*?>)?)\s*+(?=[({\[])"),
+    Shape("csharp", "classes", "code", rf"class(?<=\bclass)\s++({_NAME})"),
+
+    Shape("kotlin", "imports", "raw", r"\n[^\S\n]*+import\s++([\w.]++)"),
+    Shape("swift", "imports", "raw", r"\n[^\S\n]*+import\s++(\w++)"),
 ]
 
 _SCRIPT_SHAPES = [
     Shape("javascript", "calls", "code",
-          r"(?<![\w$.])(?<!\b(?:function|new)\s{1,4})(?<!\bfunction\s{0,2}\*\s{0,2})"
-          rf"({_IDENT})\s*\((?![^()]*\)\s*\{{)", lower=True),
+          r"(?=[A-Za-z_$])(?<![\w$.])(?<!\b(?:function|new)\s{1,4})"
+          rf"(?<!\bfunction\s{{0,2}}\*\s{{0,2}})({_IDENT})\s*+\((?![^()]*\)\s*\{{)", lower=True),
     Shape("javascript", "method_calls", "code",
-          rf"(?<![\w$.])({_IDENT}\s*\.\s*{_IDENT})\s*\(", lower=True),
-    Shape("javascript", "property_calls", "code", rf"(?<![.?])\.\s*({_IDENT})\s*\(", lower=True),
-    Shape("javascript", "classes", "code", rf"\bclass\s+({_IDENT})", lower=True),
-    Shape("javascript", "created", "code", rf"\bnew\s+({_IDENT})(?![\w$]|\s*\.)", lower=True),
+          rf"(?=[A-Za-z_$])(?<![\w$.])({_IDENT}\s*+\.\s*+{_IDENT})\s*+\(", lower=True),
+    Shape("javascript", "property_calls", "code",
+          rf"\.(?<![.?]\.)\s*+({_IDENT})\s*+\(", lower=True),
+    Shape("javascript", "classes", "code", rf"class(?<=\bclass)\s++({_IDENT})", lower=True),
+    Shape("javascript", "created", "code",
+          rf"new(?<=\bnew)\s++({_IDENT})(?!\s*+\.)", lower=True),
 ]
 SHAPES += _SCRIPT_SHAPES
 SHAPES += [replace(shape, language="typescript") for shape in _SCRIPT_SHAPES]
 SHAPES += [
     Shape("javascript", "imports", "bare",
-          r"""(?:\bimport\s*(?:[\w$*\s{},]*\bfrom\s*)?|\brequire\s*\(\s*)['"]([^'"\n]+)['"]"""),
-    Shape("javascript", "keys", "bare", rf"""[{{,]\s*['"]?({_IDENT})['"]?\s*:(?!:)""", lower=True),
-    Shape("javascript", "short_keys", "code", rf"(?:\{{|,)\s*({_IDENT})\s*(?=[,}}])",
-          lower=True, within=r"(?<!\b(?:import|export)\s{0,4})\{[\w$\s,:.]*\}(?!\s*from\b)"),
+          r"[ir](?:(?<=\bi)mport\s*+(?:[\w$*\s{},]*\bfrom\s*+)?|(?<=\br)equire\s*+\(\s*+)"
+          r"""['"]([^'"\n]+)['"]"""),
+    Shape("javascript", "keys", "bare", rf"""[{{,]\s*+['"]?({_IDENT})['"]?\s*+:(?!:)""",
+          lower=True),
+    Shape("javascript", "short_keys", "code", rf"[{{,]\s*+({_IDENT})\s*+(?=[,}}])", lower=True,
+          within=r"\{(?<!\b(?:import|export)\s{0,4}\{)[\w$\s,:.]*+\}(?!\s*+from\b)"),
     Shape("typescript", "imports", "bare",
-          r"""\bimport\s*(?:[\w$*\s{},]*\bfrom\s*)?['"]([^'"\n]+)['"]"""),
-    Shape("typescript", "keys", "bare", rf"""[{{,]\s*['"]?({_IDENT})['"]?\s*:(?!:)""", lower=True,
-          without=r"\binterface\s+\w[^{]*\{[^}]*\}|\btype\s+\w+[^={;]*=\s*\{[^}]*\}"
-                  r"|\([^()]*\)(?=\s*(?::[^=;{}()]*)?(?:\{|=>))"),
+          r"""import(?<=\bimport)\s*+(?:[\w$*\s{},]*\bfrom\s*+)?['"]([^'"\n]+)['"]"""),
+    Shape("typescript", "keys", "bare", rf"""[{{,]\s*+['"]?({_IDENT})['"]?\s*+:(?!:)""",
+          lower=True,
+          without=r"(?=[it(])(?:\binterface\s+\w[^{]*\{[^}]*\}|\btype\s+\w+[^={;]*=\s*\{[^}]*\}"
+                  r"|\([^()]*\)(?=\s*(?::[^=;{}()]*)?(?:\{|=>)))"),
     Shape("typescript", "decorators", "code",
-          rf"(?<![\w$.])@({_IDENT})(?![\w$]|\s*\.)", lower=True),
+          rf"@(?<![\w$.]@)({_IDENT})(?!\s*+\.)", lower=True),
     Shape("typescript", "types", "code",
-          rf"\b(?:interface|type)\s+({_IDENT})(?=\s*[<={{]|\s+extends\b)", lower=True),
+          rf"[it](?:(?<=\bi)nterface|(?<=\bt)ype)\s++({_IDENT})(?=\s*[<={{]|\s+extends\b)",
+          lower=True),
 ]
 
 # Names that import rules test, per language.
@@ -161,17 +177,33 @@ RULES: list[Rule] = []
 
 
 def _rules(language: str, *rows: tuple, **extra) -> None:
+    """Rows of (id, target, pattern, tier, flags, options). Several patterns
+    make several rules; a pattern may bring the stem it cannot match without."""
     for row in rows:
-        rule_id, target, pattern, tier, *rest = row
+        rule_id, target, patterns, tier, *rest = row
         flags = tuple(rest[0]) if rest else ()
-        options = rest[1] if len(rest) > 1 else {}
-        RULES.append(Rule(f"{language}.{rule_id}", language, target, pattern, tier, flags,
-                          **{**extra, **options}))
+        options = {**extra, **(rest[1] if len(rest) > 1 else {})}
+        for pattern in patterns if isinstance(patterns, list) else [patterns]:
+            stem, pattern = pattern if isinstance(pattern, tuple) else (None, pattern)
+            given = {"stems": (stem,)} if stem else {}
+            RULES.append(Rule(f"{language}.{rule_id}", language, target, pattern, tier, flags,
+                              **{**given, **options}))
+
+
+def _word(word: str, after: str = "", stem: str | None = None) -> tuple[str, str]:
+    """``\\bword`` and what follows, the word first: plain text in front is what
+    the regex engine searches for fastest."""
+    return stem or word, rf"{word}(?<=\b{word}){after}"
+
+
+def _text(literal: str, after: str = "") -> tuple[str, str]:
+    """A literal, at no particular boundary, and what follows."""
+    return literal, re.escape(literal) + after
 
 
 _rules(
     "python",
-    ("try", "code", r"(?m)^[ \t]*(?:try|except)\b[^\n]*:", B, ["try_catch"],
+    ("try", "code", r"\n[ \t]*+(?:try|except)\b[^\n]*:", B, ["try_catch"],
      {"stems": ("try", "except")}),
     ("status_call", "attribute_calls", _is("status_code", "raise_for_status"), B, ["status_check"]),
     ("timeout_call", "calls", _is("timeout"), A, ["timeout"]),
@@ -188,39 +220,36 @@ _rules(
      ["circuit_breaker"]),
 )
 
-# Java, read as written: annotations may sit inside comments.
-_BOUND = r"\b"
+# Java, read as written: annotations count inside comments too.
+_CALL, _OF = r"\s*\(", r"\.of\("
 
 
-def _annotation(*names: str) -> str:
-    each = "|".join(names)
-    return rf"@(?:{each})\b|(?s:/\*\s*@(?:{each})\b.*?\*/)"
+def _annotations(*names: str) -> list[tuple[str, str]]:
+    return [_text("@" + name, r"\b") for name in names]
 
 
 _rules(
     "java",
     ("raw.retry", "raw",
-     _annotation("Retryable", "Retry")
-     + r"|\b(?:RetryConfig|RetryRegistry|RetryTemplate)\b"
-     + r"|\bRetry\.of\(|\.(?:retry|withRetry)\(|\bretryTemplate\.execute\(",
-     A, ["retry"], {"stems": ("Retry", "retry")}),
+     [*_annotations("Retryable", "Retry"),
+      _word("Retry", r"(?:(?:Config|Registry|Template)\b|\.of\()"),
+      _text(".retry("), _text(".withRetry("), _word("retryTemplate", r"\.execute\(")],
+     A, ["retry"]),
     ("raw.breaker", "raw",
-     _annotation("HystrixCommand", "CircuitBreaker")
-     + r"|\b(?:CircuitBreakerConfig|CircuitBreakerRegistry|HystrixCommand)\b"
-     + r"|\bCircuitBreaker\.of\(|\.circuitBreaker\(|withCircuitBreaker\(",
-     A, ["circuit_breaker"], {"stems": ("HystrixCommand", "CircuitBreaker", "circuitBreaker")}),
+     [*_annotations("HystrixCommand", "CircuitBreaker"), _word("HystrixCommand", r"\b"),
+      _word("CircuitBreaker", r"(?:(?:Config|Registry)\b|\.of\()"),
+      _text(".circuitBreaker("), _text("withCircuitBreaker(")],
+     A, ["circuit_breaker"]),
     ("raw.timeout", "raw",
-     _annotation("TimeLimiter")
-     + r"|\b(?:TimeLimiterConfig|TimeLimiterRegistry)\b"
-     + r"|\bTimeLimiter\.of\(|\.timeout\(|withTimeLimiter\(",
-     A, ["timeout"], {"stems": ("TimeLimiter", "timeout")}),
+     [*_annotations("TimeLimiter"), _word("TimeLimiter", r"(?:(?:Config|Registry)\b|\.of\()"),
+      _text(".timeout("), _text("withTimeLimiter(")],
+     A, ["timeout"]),
     ("raw.backoff", "raw",
-     _annotation("Backoff") + r"|\b(?:ExponentialBackOff|BackOffPolicy)\b",
-     A, ["exponential_backoff"], {"stems": ("Backoff", "BackOff")}),
-    ("raw.advice", "raw", _annotation("ControllerAdvice", "RestControllerAdvice"), None,
-     ["global_exception_handler"], {"stems": ("ControllerAdvice",)}),
-    ("raw.handler", "raw", _annotation("ExceptionHandler"), None, ["exception_handler"],
-     {"stems": ("ExceptionHandler",)}),
+     [*_annotations("Backoff"), _word("ExponentialBackOff", r"\b"), _word("BackOffPolicy", r"\b")],
+     A, ["exponential_backoff"]),
+    ("raw.advice", "raw", _annotations("ControllerAdvice", "RestControllerAdvice"), None,
+     ["global_exception_handler"]),
+    ("raw.handler", "raw", _annotations("ExceptionHandler"), None, ["exception_handler"]),
 )
 
 # Java, by shape. A call counts for the first family it belongs to.
@@ -235,11 +264,11 @@ def _family(k: int) -> str:
 
 _rules(
     "java",
-    ("try", "code", r"\btry\s*[({]|\bcatch\s*\(", B, ["try_catch"], {"stems": ("try", "catch")}),
-    ("throw", "code", r"\bthrow\s|\)\s*throws\s", B, [], {"stems": ("throw",)}),
+    ("try", "code", [_word("catch", r"\s*+\("), _word("try", r"\s*+[({]")], B, ["try_catch"]),
+    ("throw", "code", [_word("throw", r"\s"), ("throws", r"\)\s*+throws\s")], B),
     ("status_call", "calls", _is("statuscode", "getstatuscode"), B, ["status_check"]),
-    ("catch_status", "code", r"(?i)\bcatch\s*\([^)]*\)\s*\{[^}]*status_?code", None,
-     ["status_check"], {"stems": ("catch",)}),
+    ("catch_status", "code", _word("catch", r"\s*+\([^)]*+\)\s*+\{[^}]*(?i:status_?code)"), None,
+     ["status_check"]),
     ("retry_annotation", "annotations", _is("Retryable", "Retry"), A, ["retry"]),
     ("backoff_annotation", "annotations", _is("Backoff"), A, ["exponential_backoff"]),
     ("breaker_annotation", "annotations", _is("HystrixCommand", "CircuitBreaker"), A,
@@ -273,7 +302,7 @@ _rules(
 for _language in ("javascript", "typescript"):
     _rules(
         _language,
-        ("try", "code", r"\btry\s*\{", B, ["try_catch"], {"stems": ("try",)}),
+        ("try", "code", _word("try", r"\s*+\{"), B, ["try_catch"]),
         ("timeout_call", "calls", _has("timeout"), A, ["timeout"]),
         ("retry_call", "calls", _has("retry"), A, ["retry"]),
         ("breaker_call", "calls", _has("breaker"), A, ["circuit_breaker"]),
@@ -299,9 +328,9 @@ for _language in ("javascript", "typescript"):
 
 _rules(
     "javascript",
-    ("status_member", "code", r"(?<![.?])\.\s*(?:status|statusCode)(?![\w$])", B,
+    ("status_member", "code", r"\.(?<![.?]\.)\s*+status(?:Code)?(?![\w$])", B,
      ["status_check"], {"stems": ("status",)}),
-    ("catch_member", "code", r"(?<![.?])\.\s*catch(?![\w$])", B, ["promise_catch"],
+    ("catch_member", "code", r"\.(?<![.?]\.)\s*+catch(?![\w$])", B, ["promise_catch"],
      {"stems": ("catch",)}),
     ("axios_retry", "method_calls", r"^[^.\n]*axios[^.\n]*\..*retry", A, ["retry"]),
     ("retry_key", "keys", _is("retries", "retry", "maxretries"), A, ["retry"]),
@@ -310,8 +339,8 @@ _rules(
     ("retry_short_key", "short_keys", _is("retries", "retry", "maxretries"), A, ["retry"]),
     ("backoff_short_key", "short_keys", r"backoff|^retrydelay$", A, ["exponential_backoff"]),
     ("breaker_short_key", "short_keys", r"breaker|^threshold$", A, ["circuit_breaker"]),
-    ("response_ok", "code", r"\b(?:response|res|resp)\s*\.\s*ok\b", B, ["status_check"],
-     {"only": "fixed", "stems": ("ok",)}),
+    ("response_ok", "code", [(".ok", r"\.ok\b(?<=\bres(?:p|ponse)?\.ok)")], B, ["status_check"],
+     {"only": "fixed"}),
 )
 _rules(
     "typescript",
@@ -325,8 +354,8 @@ _rules(
     ("breaker_decorator", "decorators", _has("breaker"), A, ["circuit_breaker"]),
     ("backoff_decorator", "decorators", _has("backoff"), A, ["exponential_backoff"]),
     ("limit_decorator", "decorators", _has("ratelimit", "throttle"), A, ["rate_limiting"]),
-    ("response_ok", "code", r"\b(?:response|res|resp)\s*\.\s*ok\b", B, ["status_check"],
-     {"only": "fixed", "stems": ("ok",)}),
+    ("response_ok", "code", [(".ok", r"\.ok\b(?<=\bres(?:p|ponse)?\.ok)")], B, ["status_check"],
+     {"only": "fixed"}),
 )
 _rules(
     "typescript",
@@ -343,8 +372,10 @@ _rules(
      {"stems": ("err",)}),
     ("err_init", "code", r"\bif\s+(?:\w+\s*,\s*)*+err\s*(?:,\s*\w+\s*)*+:?=[^=]", B,
      ["error_check"], {"stems": ("err",)}),
-    ("defer", "code", r"\bdefer\s", B, [], {"stems": ("defer",)}),
-    ("recover", "code", r"(?s)(?:\bdefer\b|\bfunc\s*\().*\brecover\s*\(\s*\)", B,
+    ("defer", "code", _word("defer", r"\s"), B),
+    # Atomic first steps keep the search linear: a later start cannot succeed
+    # where the first one did not.
+    ("recover", "code", r"(?s)\A(?>.*?(?:\bdefer\b|\bfunc\s*\()).*?\brecover\s*\(\s*\)", B,
      ["defer_recover"], {"stems": ("recover",)}),
     ("status_call", "chained_calls", _is("StatusCode", "Code", "Status"), B, ["status_check"]),
     ("context_timeout", "selector_calls", r"^context\.(?:WithTimeout|WithDeadline)$", A,
@@ -364,8 +395,8 @@ _rules(
     ("breaker_literal", "literals", r"(?i)^[^.\n]*breaker[^.\n]*\..*(?:breaker|settings)", A,
      ["circuit_breaker"]),
     ("retry_literal", "literals", r"(?i)\..*(?:retry|policy)", A, ["retry"]),
-    ("client_timeout", "code", r"\bhttp\.Client\s*\{[^}]*\bTimeout\s*:", A, ["timeout"],
-     {"only": "fixed", "stems": ("http.Client",)}),
+    ("client_timeout", "code", _text("http.Client", r"\s*+\{[^}]*\bTimeout\s*:"), A, ["timeout"],
+     {"only": "fixed"}),
 )
 
 for _shape in ("sent", "called"):
@@ -398,7 +429,7 @@ _rules(
 
 _rules(
     "csharp",
-    ("try", "code", r"\btry\s*\{", B, ["try_catch"], {"stems": ("try",)}),
+    ("try", "code", _word("try", r"\s*+\{"), B, ["try_catch"]),
     ("status_call", "invoked", _has("statuscode"), B, ["status_check"]),
     ("timeout_call", "invoked", _has("timeout"), A, ["timeout"]),
     ("retry_call", "invoked", _has("retry"), A, ["retry"]),
@@ -419,79 +450,86 @@ _rules(
     ("timeout_token", "code",
      r"\w*(?i:timeout)\w*\s*(?:<[^<>()]*>\s*)?\([^)]*\bCancellationToken\b[^)]*\)\s*(?:\{|=>)",
      A, ["timeout"], {"stems": ("CancellationToken",)}),
-    ("success_member", "code", r"\.\s*IsSuccessStatusCode\b", B, ["status_check"],
-     {"only": "fixed", "stems": ("IsSuccessStatusCode",)}),
+    ("success_member", "code", ("IsSuccessStatusCode", r"\.\s*+IsSuccessStatusCode\b"), B,
+     ["status_check"], {"only": "fixed"}),
 )
 
+_KOTLIN_STATUS = r"\s*+\.\s*+(?:code\s*+\(\s*+\)|status)"
+_WITH_TIMEOUT = _word("withTimeout", r"(?:OrNull)?\s*+\(")
 _rules(
     "kotlin",
-    ("try", "raw", r"\btry\s*\{[^}]*\}\s*catch\b", B, ["try_catch"], {"stems": ("catch",)}),
+    ("try", "raw", ("catch", r"try(?<=\btry)\s*+\{[^}]*+\}\s*+catch\b"), B, ["try_catch"]),
     ("status", "raw",
-     r"\b(?:response|result)\s*\.\s*(?:code\s*\(\s*\)|statusCode|status)"
-     r"|\b(?:code|status|statusCode)\s*==\s*\d+"
-     r"|\bisSuccessful\s*\(\s*\)"
-     r"|\b(?:is2xxSuccessful|is4xxClientError|is5xxServerError)",
-     B, ["status_check"], {"stems": ("code", "status", "is2xx", "is4xx", "is5xx", "isSucc")}),
+     [_word("response", _KOTLIN_STATUS), _word("result", _KOTLIN_STATUS),
+      _word("code", r"\s*+==\s*+\d"), _word("status", r"(?:Code)?\s*+==\s*+\d"),
+      _word("isSuccessful", r"\s*+\(\s*+\)"), _word("is2xxSuccessful"),
+      _word("is4xxClientError"), _word("is5xxServerError")],
+     B, ["status_check"]),
     ("timeout", "raw",
-     r"\bwithTimeout(?:OrNull)?\s*\("
-     r"|\b(?:timeout|connectTimeout|readTimeout|writeTimeout|callTimeout)\s*\("
-     r"|\binstall\s*\(\s*HttpTimeout\s*\)"
-     r"|\brequestTimeoutMillis\s*="
-     r"|\btimeout\s*[:=]"
-     r"|\bTimeout\s*\.",
-     A, ["timeout"], {"stems": ("imeout",)}),
+     [_WITH_TIMEOUT,
+      *(_word(f"{part}Timeout", _CALL) for part in ("connect", "read", "write", "call")),
+      _word("timeout", r"\s*+[(:=]"), _word("Timeout", r"\s*+\."),
+      _word("requestTimeoutMillis", r"\s*+="),
+      _word("install", r"\s*+\(\s*+HttpTimeout\s*+\)", stem="HttpTimeout")],
+     A, ["timeout"]),
     ("retry", "raw",
-     r"\bretry(?:Async)?\s*\{"
-     r"|\bRetry\.of"
-     r"|\binstall\s*\(\s*HttpRequestRetry\s*\)"
-     r"|\bfun\s+\w*[Rr]etry\w*\s*\("
-     r"|\b(?:retries|maxRetries|retryCount)\s*[:=]"
-     r"|\brepeat\s*\(",
-     A, ["retry"], {"stems": ("etr", "repeat")}),
-    ("retry_loop", "raw", r"(?i)\bwhile\s*\([^)]*retry", A, ["retry"]),
-    ("backoff", "raw", r"(?i)exponential|backoff", None, ["exponential_backoff"],
-     {"requires": "kotlin.retry"}),
+     [_word("retry", r"(?:Async)?\s*+\{"), _word("Retry", r"\.of"),
+      _word("install", r"\s*+\(\s*+HttpRequestRetry\s*+\)", stem="HttpRequestRetry"),
+      _word("fun", r"\s++\w*[Rr]etry\w*+\s*+\(", stem="etry"),
+      *(_word(name, r"\s*+[:=]") for name in ("retries", "maxRetries", "retryCount")),
+      _word("repeat", _CALL)],
+     A, ["retry"]),
+    ("retry_loop", "lower", _word("while", r"\s*+\([^)]*retry", stem="retry"), A, ["retry"]),
+    ("backoff", "lower", [_text("exponential"), _text("backoff")], None,
+     ["exponential_backoff"], {"requires": "kotlin.retry"}),
     ("breaker", "raw",
-     r"\bcircuitBreaker\s*\{"
-     r"|\bCircuitBreaker\.of"
-     r"|\b(?i:class\s+\w*CircuitBreaker)"
-     r"|\bval\s+\w*[Cc]ircuit\w*\s*="
-     r"|\bvar\s+\w*[Bb]reaker\w*\s*=",
+     [_word("circuitBreaker", r"\s*+\{"), _word("CircuitBreaker", r"\.of"),
+      _word("val", r"\s++\w*[Cc]ircuit\w*+\s*+=", stem="ircuit"),
+      _word("var", r"\s++\w*[Bb]reaker\w*+\s*+=", stem="reaker")],
      A, ["circuit_breaker"]),
+    ("breaker_class", "lower", _word("class", r"\s++\w*circuitbreaker", stem="circuitbreaker"), A,
+     ["circuit_breaker"]),
     ("coroutines", "raw",
-     r"\bwithTimeout(?:OrNull)?\s*\(|\bSupervisorJob\s*\(|\bsupervisorScope\s*\{"
-     r"|\bCoroutineExceptionHandler\s*\{",
-     A, ["coroutine_timeout", "timeout"],
-     {"stems": ("withTimeout", "upervisor", "CoroutineExceptionHandler")}),
-    ("limit", "raw", r"(?i)\b(?:rateLimit|throttle|semaphore)\s*\(", A, ["rate_limiting"]),
+     [_WITH_TIMEOUT, _word("SupervisorJob", _CALL), _word("supervisorScope", r"\s*+\{"),
+      _word("CoroutineExceptionHandler", r"\s*+\{")],
+     A, ["coroutine_timeout", "timeout"]),
+    ("limit", "lower", [_word(name, _CALL) for name in ("ratelimit", "throttle", "semaphore")], A,
+     ["rate_limiting"]),
 )
 
 _rules(
     "swift",
-    ("do", "raw", r"\bdo\s*\{[^}]*\}\s*catch\b", B, ["do_catch"], {"stems": ("catch",)}),
-    ("result", "raw", r"(?:->|:)\s*Result\s*<|\bResult\s*<\w+,\s*\w*Error>", B, ["result_type"],
-     {"stems": ("Result",)}),
+    ("do", "raw", ("catch", r"do(?<=\bdo)\s*+\{[^}]*+\}\s*+catch\b"), B, ["do_catch"]),
+    ("result", "raw",
+     [("Result", r"[>:](?<=->|:)\s*+Result\s*+<"), _word("Result", r"\s*+<\w++,\s*+\w*Error>")],
+     B, ["result_type"]),
     ("async", "raw",
-     r"\basync\s+throws\b|\btry\s+await\b|\basync\s*\{|func\s+\w+\([^)]*\)\s+async\b", B,
-     ["async_throws"], {"stems": ("async", "await")}),
+     [_word("async", r"(?:\s++throws\b|\s*+\{)"), _word("try", r"\s++await\b", stem="await"),
+      ("async", r"func\s+\w+\([^)]*+\)\s++async\b")],
+     B, ["async_throws"]),
     ("status", "raw",
-     r"\.statusCode\s*==\s*\d+|statusCode\s*==\s*200"
-     r"|response\.statusCode|\.validate\((?:\)|statusCode:)|200\.\.\.299"
-     r"|statusCode\s*>=\s*200|(?s:guard.*statusCode.*else)",
-     B, ["status_check"], {"stems": ("statusCode", ".validate(", "200...299")}),
+     [_text(".statusCode", r"\s*+==\s*+\d"), _text("statusCode", r"\s*+[=>]=\s*+200"),
+      _text("response.statusCode"), _text(".validate()"), _text(".validate(statusCode:"),
+      _text("200...299"), ("guard", r"(?s)\A(?>.*?guard)(?>.*?statusCode).*?else")],
+     B, ["status_check"]),
     ("timeout", "raw",
-     r"timeoutIntervalFor(?:Request|Resource)\s*=|\.timeoutInterval\s*=|\.timeout\("
-     r"|timeoutInterval:\s*\d+|\btimeout\s*:\s*\d+|withTimeout\(",
-     A, ["timeout"], {"stems": ("imeout",)}),
+     [*(_text(f"timeoutIntervalFor{part}", r"\s*+=") for part in ("Request", "Resource")),
+      _text(".timeoutInterval", r"\s*+="), _text("timeoutInterval:", r"\s*+\d"),
+      _text(".timeout("), _text("withTimeout("), _word("timeout", r"\s*+:\s*+\d")],
+     A, ["timeout"]),
     ("retry", "raw",
-     r"\.retry\(|\.retryPolicy\(|RetryPolicy\(|(?s:firstly.*\.retry)|\.retryWhen\("
-     r"|func\s+\w*[Rr]etry\w*\s*\(|withRetry\(|\b(?:retries|maxRetries)\s*:\s*\d+"
-     r"|\bretryCount\s*=|for\s+_\s+in\s+\d+\.\.\.retries",
-     A, ["retry"], {"stems": ("etry", "etries")}),
-    ("backoff", "raw", r"(?i)exponential|backoff", None, ["exponential_backoff"],
-     {"requires": "swift.retry"}),
-    ("breaker", "raw", r"(?i:CircuitBreaker)|enum\s+CircuitState", A, ["circuit_breaker"]),
-    ("optional_try", "raw", r"\btry[?!]", B, [], {"only": "fixed", "stems": ("try",)}),
+     [_text(".retry("), _text(".retryPolicy("), _text("RetryPolicy("), _text(".retryWhen("),
+      _text("withRetry("), ("firstly", r"(?s)\A(?>.*?firstly).*?\.retry"),
+      ("etry", r"func\s++\w*[Rr]etry\w*+\s*+\("),
+      *(_word(name, r"\s*+:\s*+\d") for name in ("retries", "maxRetries")),
+      _word("retryCount", r"\s*+="),
+      ("...retries", r"for\s++_\s++in\s++\d++\.\.\.retries")],
+     A, ["retry"]),
+    ("backoff", "lower", [_text("exponential"), _text("backoff")], None,
+     ["exponential_backoff"], {"requires": "swift.retry"}),
+    ("breaker", "lower", _text("circuitbreaker"), A, ["circuit_breaker"]),
+    ("breaker_state", "raw", ("CircuitState", r"enum\s++CircuitState"), A, ["circuit_breaker"]),
+    ("optional_try", "raw", _word("try", r"[?!]"), B, [], {"only": "fixed"}),
 )
 
 # PHP is described but not routed: no extension maps to it.

@@ -9,27 +9,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Every quantifier over an alternation is possessive: the JVM regex engine
-# would otherwise recurse once per character of a long literal.
-_DOUBLE = r'"(?:[^"\\\n]++|\\(?s:.))*+"'
-_SINGLE = r"'(?:[^'\\\n]++|\\(?s:.))*+'"
-_TRIPLE_DOUBLE = r'"""(?:[^"\\]++|\\(?s:.)|"(?!""))*+"""'
-_TRIPLE_SINGLE = r"'''(?:[^'\\]++|\\(?s:.)|'(?!''))*+'''"
-_BACKTICK = r"`(?:[^`\\]++|\\(?s:.))*+`"
-_SCRIPT_REGEX = r"(?<=[=(,:!&|?;\[{]\s{0,2})/(?![/*])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
-_SLASHES = r"//[^\n]*+"
-_HASH = r"#[^\n]*+"
-_BLOCK = r"/\*(?s:.*?)(?:\*/|\z)"
-_RUBY_BLOCK = r"(?m:^=begin\b)(?s:.*?)(?:(?m:^=end\b)[^\n]*+|\z)"
+# A literal or comment is written as (first character, rest). One character
+# class in front lets the engine skip ordinary text at its cheapest; a literal
+# is only tried where it can start. Every quantifier over an alternation is
+# possessive: the JVM engine would otherwise recurse per character.
+_DOUBLE = ('"', r'(?:[^"\\\n]++|\\(?s:.))*+"')
+_SINGLE = ("'", r"(?:[^'\\\n]++|\\(?s:.))*+'")
+_TRIPLE_DOUBLE = ('"', r'""(?:[^"\\]++|\\(?s:.)|"(?!""))*+"""')
+_TRIPLE_SINGLE = ("'", r"''(?:[^'\\]++|\\(?s:.)|'(?!''))*+'''")
+_BACKTICK = ("`", r"(?:[^`\\]++|\\(?s:.))*+`")
+_RAW_BACKTICK = ("`", r"[^`]*+`")
+_VERBATIM = ("@", r'"(?:[^"]++|"")*+"')
+_SCRIPT_REGEX = ("/", r"(?<=[=(,:!&|?;\[{]\s{0,2}/)(?![/*])"
+                      r"(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/")
+_SLASHES = ("/", r"/[^\n]*+")
+_BLOCK = ("/", r"\*(?s:.*?)(?:\*/|\z)")
+_HASH = ("#", r"[^\n]*+")
+_RUBY_BLOCK = ("=", r"(?<=(?m:^)=)begin\b(?s:.*?)(?:(?m:^=end\b)[^\n]*+|\z)")
 
 _STRINGS = {
     "python": (_TRIPLE_DOUBLE, _TRIPLE_SINGLE, _DOUBLE, _SINGLE),
     "java": (_TRIPLE_DOUBLE, _DOUBLE, _SINGLE),
     "javascript": (_DOUBLE, _SINGLE, _BACKTICK, _SCRIPT_REGEX),
     "typescript": (_DOUBLE, _SINGLE, _BACKTICK, _SCRIPT_REGEX),
-    "go": (_DOUBLE, r"`[^`]*+`", _SINGLE),
+    "go": (_DOUBLE, _RAW_BACKTICK, _SINGLE),
     "ruby": (_DOUBLE, _SINGLE),
-    "csharp": (_TRIPLE_DOUBLE, r'@"(?:[^"]++|"")*+"', _DOUBLE, _SINGLE),
+    "csharp": (_TRIPLE_DOUBLE, _VERBATIM, _DOUBLE, _SINGLE),
     "kotlin": (_TRIPLE_DOUBLE, _DOUBLE, _SINGLE),
     "swift": (_TRIPLE_DOUBLE, _DOUBLE),
     "php": (_DOUBLE, _SINGLE),
@@ -42,12 +47,26 @@ _COMMENTS = {
 _C_COMMENTS = (_SLASHES, _BLOCK)
 
 
+def _pieces(pieces) -> str:
+    starts = "".join(dict.fromkeys(first for first, _ in pieces))
+    rest = "|".join(f"(?<={first}){rest}" for first, rest in pieces)
+    return f"[{starts}](?:{rest})"
+
+
 def _strings(language: str) -> str:
-    return "|".join(_STRINGS[language])
+    return _pieces(_STRINGS[language])
+
+
+def _both(language: str) -> str:
+    return _pieces(_STRINGS[language] + _COMMENTS.get(language, _C_COMMENTS))
 
 
-def _comments(language: str) -> str:
-    return "|".join(_COMMENTS.get(language, _C_COMMENTS))
+def _kept_strings(language: str) -> str:
+    """Like ``_both``, with a string literal captured as group 1. The start
+    class is looked at first and consumed by whichever alternative applies."""
+    comments = _COMMENTS.get(language, _C_COMMENTS)
+    starts = "".join(dict.fromkeys(first for first, _ in _STRINGS[language] + comments))
+    return f"(?=[{starts}])(?:({_strings(language)})|{_pieces(comments)})"
 
 
 def sql_text(value: str) -> str:
@@ -59,8 +78,7 @@ def sql_text(value: str) -> str:
 def strip_comments_sql(source: str, language: str) -> str:
     """Comments become a blank; string literals are recognised and kept, so a
     comment marker inside one is left alone."""
-    pattern = f"({_strings(language)})|{_comments(language)}"
-    return f"regexp_replace({source}, {sql_text(pattern)}, '$1 ')"
+    return f"regexp_replace({source}, {sql_text(_kept_strings(language))}, '$1 ')"
 
 
 def mask_strings_sql(source: str, language: str) -> str:
@@ -70,17 +88,15 @@ def mask_strings_sql(source: str, language: str) -> str:
 
 def mask_code_sql(source: str, language: str) -> str:
     """Comments and string literals become blanks, in one pass."""
-    pattern = f"{_strings(language)}|{_comments(language)}"
-    return f"regexp_replace({source}, {sql_text(pattern)}, ' ')"
+    return f"regexp_replace({source}, {sql_text(_both(language))}, ' ')"
 
 
 def strip_comments(text: Column, language: str) -> Column:
-    pattern = f"({_strings(language)})|{_comments(language)}"
-    return F.regexp_replace(text, pattern, "$1 ")
+    return F.regexp_replace(text, _kept_strings(language), "$1 ")
 
 
 def mask_code(text: Column, language: str) -> Column:
-    return F.regexp_replace(text, f"{_strings(language)}|{_comments(language)}", " ")
+    return F.regexp_replace(text, _both(language), " ")
 
 
 def unify_newlines(text: Column) -> Column:

@@ -23,17 +23,18 @@ from faultlens.functions import scalars, text
 from faultlens.functions.python_source import python_facts
 from faultlens.functions.text import sql_text
 
-VIEWS = ("raw", "bare", "code")
+VIEWS = ("raw", "lower", "bare", "code")
 _MAX_BITS = 62
 _NO_NAMES = "CAST(array() AS array<string>)"
 
 # How an import path is written, as the library detectors read it: per line,
 # on the text as written (Python: on masked code, through its own shapes).
 _IMPORT_FORMS = {
-    "java": (r"(?m)^[^\S\n]*import[^\S\n]+(?:static[^\S\n]+)?([a-zA-Z0-9_.]+(?:\.\*)?)[^\S\n]*;",),
-    "csharp": (r"(?m)^[^\S\n]*using[^\S\n]+(?:static[^\S\n]+)?([a-zA-Z0-9_.]+)[^\S\n]*;",),
-    "kotlin": (r"(?m)^[^\S\n]*import[^\S\n]+([a-zA-Z0-9_.]+(?:\.\*)?)",),
-    "swift": (r"(?m)^[^\S\n]*import[^\S\n]+([a-zA-Z0-9_.]+)",),
+    "java": (r"\n[^\S\n]*+import[^\S\n]++(?:static[^\S\n]++)?"
+             r"([a-zA-Z0-9_.]+(?:\.\*)?)[^\S\n]*+;",),
+    "csharp": (r"\n[^\S\n]*+using[^\S\n]++(?:static[^\S\n]++)?([a-zA-Z0-9_.]+)[^\S\n]*+;",),
+    "kotlin": (r"\n[^\S\n]*+import[^\S\n]++([a-zA-Z0-9_.]+(?:\.\*)?)",),
+    "swift": (r"\n[^\S\n]*+import[^\S\n]++([a-zA-Z0-9_.]+)",),
     "ruby": (r"""require(?:_relative)?\s+['"]([^'"]+)['"]""",),
     # Three separate searches: on a long line one form may span another.
     "javascript": (
@@ -103,6 +104,8 @@ def _shape_sql(shape: Shape) -> str:
         source = f"regexp_replace({source}, {sql_text('(?d)' + shape.without)}, '{{')"
     if shape.within:
         source = f"array_join({_find_all(source, shape.within, 0)}, '\\n')"
+    if shape.pattern.startswith(r"\n"):
+        source = f"concat('\\n', {source})"
     names = _find_all(source, shape.pattern)
     if shape.listed:
         first_word = sql_text(r"^\s*([A-Za-z_][\w.]*)")
@@ -124,7 +127,7 @@ class _Compiled:
             # Rules another rule depends on keep a bit of their own.
             opens = next((g for g in gates
                           if not rule.requires and rule.rule_id.startswith(g)), None)
-            key = (rule.target, rule.tier, rule.flags, rule.stems, rule.requires, opens)
+            key = (rule.target, rule.tier, rule.flags, rule.requires, opens)
             grouped[key].append(rule)
         self.groups = list(grouped.values())
 
@@ -133,16 +136,26 @@ class _Compiled:
 
     @staticmethod
     def _predicate(group: list[Rule]) -> str:
-        first = group[0]
-        alternatives = "|".join(f"(?:{rule.pattern})" for rule in group)
-        if first.target not in VIEWS:
-            return _matches(_slot(first.target), "(?dm)" + alternatives)
-        source = f"_{first.target}"
-        matched = _matches(source, "(?d)" + alternatives)
-        if not first.stems:
-            return matched
-        stems = " OR ".join(f"contains({source}, {sql_text(s)})" for s in first.stems)
-        return f"({stems}) AND {matched}"
+        """Names are few: one alternation tests them all. Text is long: each
+        pattern keeps its own literal start, behind its own substring test."""
+        target = group[0].target
+        if target not in VIEWS:
+            alternatives = "|".join(f"(?:{rule.pattern})" for rule in group)
+            return _matches(_slot(target), "(?dm)" + alternatives)
+        tests = []
+        for rule in group:
+            source = f"_{target}"
+            present = [f"contains({source}, {sql_text(stem)})" for stem in rule.stems]
+            if len(rule.stems) == 1 and rule.pattern == re.escape(rule.stems[0]):
+                tests += present
+                continue
+            if rule.pattern.startswith(r"\n"):
+                source = f"concat('\\n', {source})"
+            test = _matches(source, "(?d)" + rule.pattern)
+            if present:
+                test = f"(({' OR '.join(present)}) AND {test})"
+            tests.append(test)
+        return "(" + " OR ".join(dict.fromkeys(tests)) + ")"
 
     def mask(self, wanted) -> int:
         return sum(1 << i for i, group in enumerate(self.groups) if wanted(group[0]))
@@ -225,8 +238,9 @@ def _resilience_bits(language: str, lines: str, rows: list, builders: list) -> s
     if each:
         parts.append(f"aggregate(array({each}), 0L, (bits, bit) -> bits | bit)")
     found = f"CASE WHEN {lines} = '' THEN 0L ELSE {' | '.join(parts)} END"
-    for k, (_, pattern, _) in enumerate(builders, start=len(rows)):
-        found += f" | CASE WHEN {_matches('_raw', '(?d)' + pattern)} THEN {1 << k}L ELSE 0L END"
+    for k, (_, pattern, stem, _) in enumerate(builders, start=len(rows)):
+        found += (f" | CASE WHEN contains(_raw, {sql_text(stem)}) AND "
+                  f"{_matches('_raw', '(?d)' + pattern)} THEN {1 << k}L ELSE 0L END")
     return found
 
 
@@ -238,7 +252,9 @@ def _import_paths(language: str) -> str:
     if language == "go":
         block = f"array_join({_find_all('_raw', _GO_BLOCK)}, '\\n')"
         return _lines(f"concat({_find_all('_raw', _GO_SINGLE)}, {_find_all(block, _GO_LINE)})")
-    found = [_find_all("_raw", form) for form in _IMPORT_FORMS[language]]
+    found = [
+        _find_all("concat('\\n', _raw)" if form.startswith(r"\n") else "_raw", form)
+        for form in _IMPORT_FORMS[language]]
     return _lines(found[0] if len(found) == 1 else f"concat({', '.join(found)})")
 
 
@@ -309,6 +325,8 @@ def classify_files(
         else text.mask_code_sql("_raw", name)
         for name in sorted(readers["code"])
     }, "CAST(NULL AS string)") + " AS _code")
+    folded = _case({n: "lower(_raw)" for n in sorted(readers["lower"])}, "CAST(NULL AS string)")
+    out = out.selectExpr("*", f"{folded} AS _lower")
     parse_ok = "_readable"
     exact_python = exact_python and "python" in languages
     if exact_python:
@@ -343,7 +361,7 @@ def classify_files(
             builders = [b for b in resilience_libraries.BUILDER_LIBRARIES if b[0] == name]
             lines = "concat_ws('\\n', " + ", ".join(map(_slot, IMPORT_SHAPES[name])) + ")"
             library_bits[name] = _resilience_bits(name, lines, resilience[name], builders)
-            library_names[name] = [r.library for r in resilience[name]] + [b[2] for b in builders]
+            library_names[name] = [r.library for r in resilience[name]] + [b[3] for b in builders]
         if http[name]:
             http_bits[name] = _http_bits(name, http[name])
             http_names[name] = [r.canonical for r in http[name]] + [

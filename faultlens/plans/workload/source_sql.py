@@ -385,7 +385,7 @@ def resilience_rows() -> list[tuple[str, str, tuple[str, ...], str, str]]:
         else:
             path = name
         rows.append((row.language, row.library, row.flags, view, form % path))
-    rows += [(lang, lib, (), "raw", pattern) for lang, pattern, lib in BUILDER_LIBRARIES]
+    rows += [(lang, lib, (), "raw", pattern) for lang, pattern, _, lib in BUILDER_LIBRARIES]
     return rows
 
 
@@ -419,7 +419,7 @@ def signals_cte(language: str | None = None) -> str:
     libraries = [(lang, lib, view, pattern) for lang, lib, _, view, pattern in imports]
     rules += [(lang, "advanced", flag, view, pattern)
               for lang, lib, flags, view, pattern in imports
-              if (lang, pattern, lib) not in BUILDER_LIBRARIES
+              if view != "raw" or pattern not in {b[1] for b in BUILDER_LIBRARIES}
               for flag in (flags or (None,))]
     gated = [g for g in GATED if g[0] in chosen] or [("-", "-", "-", "-")]
     return _values(rules, "language, tier, flag, view, pattern", "rule") + ",\n" + _values(
