@@ -115,9 +115,10 @@ def star_bucket(stars: Column) -> Column:
 
 
 def share(part: Column, whole: Column, digits: int = 2, rounding: str = "half_up") -> Column:
-    """Percentage. ``half_even`` reproduces array-library rounding."""
+    """Percentage, null of nothing. ``half_even`` reproduces array-library
+    rounding."""
     rounder = F.bround if rounding == "half_even" else F.round
-    return rounder(part * F.lit(100.0) / whole, digits)
+    return rounder(F.try_divide(part * F.lit(100.0), whole), digits)
 
 
 def effect_size(v: Column) -> Column:

@@ -70,8 +70,8 @@ def _kept_strings(language: str) -> str:
 
 
 def sql_text(value: str) -> str:
-    """SQL literal of any text, whatever the session's escape setting: raw
-    pieces between single quotes, which are written in double quotes."""
+    """SQL literal of any text: raw pieces, so backslashes need no care,
+    between single quotes, which are written in double quotes."""
     return " \"'\" ".join(f"r'{piece}'" for piece in value.split("'"))
 
 

@@ -88,8 +88,8 @@ def adoption_single_vs_multi(counts: DataFrame, patterns=PATTERNS) -> DataFrame:
                  F.col(f"multi_{p}").alias("multi_n"), F.col("multi_repos"))
         for i, p in enumerate(patterns)
     ])
-    single = F.col("single_n") * 100.0 / F.nullif(F.col("single_repos"), F.lit(0))
-    multi = F.col("multi_n") * 100.0 / F.nullif(F.col("multi_repos"), F.lit(0))
+    single = F.try_divide(F.col("single_n") * 100.0, F.col("single_repos"))
+    multi = F.try_divide(F.col("multi_n") * 100.0, F.col("multi_repos"))
     return one.select(F.inline(rows)).select(
         "*", single.alias("single_pct"), multi.alias("multi_pct"),
     ).withColumn("diff_points", F.col("multi_pct") - F.col("single_pct")).withColumn(
@@ -107,7 +107,7 @@ def adoption_mean(comparison: DataFrame) -> DataFrame:
     ).select(
         "*",
         (F.col("multi_mean_pct") - F.col("single_mean_pct")).alias("diff_points"),
-        ((F.col("multi_mean_pct") / F.col("single_mean_pct") - 1) * 100).alias("lift_pct"),
+        ((F.try_divide("multi_mean_pct", "single_mean_pct") - 1) * 100).alias("lift_pct"),
     )
 
 
@@ -116,7 +116,7 @@ def patterns_per_repo(counts: DataFrame, patterns=PATTERNS) -> DataFrame:
     total = reduce(lambda a, b: a + b, [F.col(p) for p in patterns])
     out = counts.select(
         "language", "total_repos", total.alias("total_patterns")
-    ).withColumn("patterns_per_repo", F.col("total_patterns") / F.col("total_repos"))
+    ).withColumn("patterns_per_repo", F.try_divide("total_patterns", "total_repos"))
     # One row per language: the unpartitioned window orders a handful of rows.
     return out.withColumn(
         "rank", F.rank().over(Window.orderBy(F.desc("patterns_per_repo"))))

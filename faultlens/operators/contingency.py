@@ -100,10 +100,11 @@ def row_totals(cells: DataFrame) -> DataFrame:
 
 def contributions(cells: DataFrame) -> DataFrame:
     """Expected count and (observed - expected)^2 / expected of every cell."""
-    expected = F.col("row_total") * F.col("col_total") / F.col("grand_total")
+    expected = F.try_divide(
+        F.col("row_total").cast("double") * F.col("col_total"), F.col("grand_total"))
     out = with_totals(cells).withColumn("expected", expected)
     gap = F.col("n") - F.col("expected")
-    return out.withColumn("contribution", gap * gap / F.col("expected"))
+    return out.withColumn("contribution", F.try_divide(gap * gap, F.col("expected")))
 
 
 def chi_square(cells: DataFrame, correction: bool = True) -> DataFrame:
@@ -111,11 +112,11 @@ def chi_square(cells: DataFrame, correction: bool = True) -> DataFrame:
     follows from them. With one degree of freedom the continuity correction
     moves every gap up to one half towards zero."""
     gap = F.abs(F.col("n") - F.col("expected"))
-    plain = gap * gap / F.col("expected")
+    plain = F.try_divide(gap * gap, F.col("expected"))
     moved = gap - F.least(F.lit(0.5), gap)
     return (
         contributions(cells)
-        .select("*", plain.alias("_plain"), (moved * moved / F.col("expected")).alias("_moved"))
+        .select("*", plain.alias("_plain"), F.try_divide(moved * moved, F.col("expected")).alias("_moved"))
         .agg(
             F.countDistinct("row_key").alias("n_rows"),
             F.countDistinct("col_key").alias("n_cols"),
@@ -129,7 +130,7 @@ def chi_square(cells: DataFrame, correction: bool = True) -> DataFrame:
         .withColumn("chi2", F.when((F.col("dof") == 1) & F.lit(correction), F.col("_moved"))
                     .otherwise(F.col("_plain")))
         .withColumn("cramers_v", cramers_v())
-        .withColumn("below_5_pct", F.col("cells_below_5") * 100.0 / F.col("cells"))
+        .withColumn("below_5_pct", F.try_divide(F.col("cells_below_5") * 100.0, F.col("cells")))
         .select(
             "chi2", "dof", "n", "n_rows", "n_cols", "cramers_v",
             scalars.effect_size(F.col("cramers_v")).alias("effect_size"),
@@ -141,7 +142,7 @@ def chi_square(cells: DataFrame, correction: bool = True) -> DataFrame:
 
 def cramers_v() -> Column:
     smaller = F.least(F.col("n_rows") - 1, F.col("n_cols") - 1)
-    return F.sqrt(F.col("chi2") / (F.col("n") * smaller))
+    return F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * smaller))
 
 
 def with_decision(test: DataFrame) -> DataFrame:

@@ -69,8 +69,7 @@ def category_distribution(labels: DataFrame, label: str = "exception_type",
     rows = F.array(*[
         F.struct(
             F.lit(i).alias("ord"), F.lit(name).alias("category"), F.col(f"n_{i}").alias("n"),
-            (F.col(f"n_{i}") * 100.0 / F.nullif(_total(categories), F.lit(0)))
-            .alias("exact_pct"),
+            F.try_divide(F.col(f"n_{i}") * 100.0, _total(categories)).alias("exact_pct"),
             rounded[i].alias("pct"),
         )
         for i, name in enumerate(categories)

@@ -35,15 +35,15 @@ def language_lines(cells: DataFrame) -> DataFrame:
 
 def test_lines(test: DataFrame) -> DataFrame:
     """The chi-square result as labelled lines."""
-    lines = F.array(
-        F.struct(F.lit(0).alias("ord"),
-                 F.format_string("Chi-square: %.2f", F.col("chi2")).alias("value")),
-        F.struct(F.lit(1), F.format_string("Degrees of freedom: %d", F.col("dof"))),
-        F.struct(F.lit(2), F.format_string("P-value: %.2e", F.col("p_value"))),
-        F.struct(F.lit(3), F.format_string("Cramer's V: %.4f (%s)", F.col("cramers_v"),
-                                           F.col("effect_size"))),
-        F.struct(F.lit(4), F.concat(F.lit("Decision: "), F.col("decision"))),
+    texts = (
+        F.format_string("Chi-square: %.2f", F.col("chi2")),
+        F.format_string("Degrees of freedom: %d", F.col("dof")),
+        F.format_string("P-value: %.2e", F.col("p_value")),
+        F.format_string("Cramer's V: %.4f (%s)", F.col("cramers_v"), F.col("effect_size")),
+        F.concat(F.lit("Decision: "), F.col("decision")),
     )
+    lines = F.array(*[F.struct(F.lit(i).alias("ord"), line.alias("value"))
+                      for i, line in enumerate(texts)])
     return test.select(F.inline(lines))
 
 
