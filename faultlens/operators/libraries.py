@@ -1,8 +1,7 @@
 """Import paths against catalogs, as joins on DataFrames.
 
 For catalogs kept as tables of any size. Each match mode is an equi-join on a
-key both sides can compute, so no mode compares every path with every pattern,
-and Spark broadcasts the catalog only when its measured size allows.
+key both sides can compute, so no mode compares every path with every pattern.
 """
 
 from __future__ import annotations
@@ -11,19 +10,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LENGTHS = 256
+_SALTS = 64
 
 
 def _root(path: Column, separator: str) -> Column:
     return F.substring_index(path, separator, 1)
 
 
+def _per_distinct_path(imports: DataFrame, catalog: DataFrame, keys: Column, heads: Column
+                       ) -> DataFrame:
+    """Match every distinct path once, on any key both sides compute, then
+    return to the imports. Popular paths shrink to one row before keys are
+    spread out; the joins are left to Spark, which broadcasts a side only if
+    its measured size allows and splits skewed partitions otherwise."""
+    paths = imports.select("path").where(F.col("path").isNotNull()).distinct()
+    keyed = paths.select("path", F.explode(keys).alias("_key"))
+    matched = keyed.join(catalog.withColumn("_key", heads), "_key").drop("_key")
+    return imports.join(matched, "path")
+
+
 def match_exact(imports: DataFrame, catalog: DataFrame, separator: str | None = None) -> DataFrame:
     """Whole path, and with a ``separator`` its root segment too."""
     keys = F.array(F.col("path")) if separator is None else F.array_distinct(
         F.array("path", _root(F.col("path"), separator)))
-    return imports.withColumn("_key", F.explode(keys)).join(
-        catalog.withColumnRenamed("pattern", "_key"), "_key"
-    ).withColumnRenamed("_key", "pattern")
+    return _per_distinct_path(imports, catalog, keys, F.col("pattern"))
 
 
 def _lengths(catalog: DataFrame) -> list[int]:
@@ -38,14 +48,11 @@ def _lengths(catalog: DataFrame) -> list[int]:
 def match_prefix(imports: DataFrame, catalog: DataFrame) -> DataFrame:
     """Path starts with pattern: the path's own prefixes, one per pattern
     length, meet the patterns in an equi-join."""
-    lengths = _lengths(catalog)
-    if not lengths:
-        return imports.join(catalog.limit(0), F.lit(False), "inner")
-    wanted = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
+    wanted = F.filter(F.array(*map(F.lit, _lengths(catalog) or [0])),
+                      lambda n: n <= F.length("path"))
     prefixes = F.transform(wanted, lambda n: F.substring(F.col("path"), F.lit(1), n))
-    return imports.withColumn("_key", F.explode(prefixes)).join(
-        catalog.withColumnRenamed("pattern", "_key"), "_key"
-    ).withColumnRenamed("_key", "pattern")
+    return _per_distinct_path(imports, catalog.where(F.length("pattern") > 0), prefixes,
+                              F.col("pattern"))
 
 
 def match_first_segment(imports: DataFrame, catalog: DataFrame, separator: str = ".") -> DataFrame:
@@ -58,17 +65,14 @@ def match_first_segment(imports: DataFrame, catalog: DataFrame, separator: str =
 def match_contains(imports: DataFrame, catalog: DataFrame) -> DataFrame:
     """Path contains pattern: every window of the shortest pattern's length
     meets the patterns' heads; the survivors are checked in full."""
-    lengths = _lengths(catalog)
-    if not lengths:
-        return imports.join(catalog.limit(0), F.lit(False), "inner")
-    shortest = lengths[0]
+    shortest = (_lengths(catalog) or [1])[0]
     starts = F.when(
         F.length("path") >= shortest, F.sequence(F.lit(1), F.length("path") - (shortest - 1)))
     grams = F.array_distinct(F.transform(
         starts, lambda i: F.substring(F.col("path"), i, F.lit(shortest))))
-    heads = catalog.withColumn("_key", F.substring("pattern", 1, shortest))
-    return imports.withColumn("_key", F.explode(grams)).join(heads, "_key").where(
-        F.col("path").contains(F.col("pattern"))).drop("_key")
+    heads = F.substring("pattern", 1, shortest)
+    return _per_distinct_path(imports, catalog.where(F.length("pattern") > 0), grams, heads).where(
+        F.col("path").contains(F.col("pattern")))
 
 
 def require_substring(matches: DataFrame) -> DataFrame:
@@ -92,12 +96,16 @@ def library_catalog(results: DataFrame) -> DataFrame:
     counted = results.select(
         F.explode(F.concat(F.array_distinct("http_libraries"), everything)).alias("library")
     ).groupBy("library").agg(F.count("*").alias("repo_count"))
-    # One row per library of a closed catalog, plus the total.
+    # Every share needs the total. Its row is copied to each of a few salts
+    # and meets the libraries there, so no one task sees the whole catalog.
+    salts = F.when(F.col("library").isNull(), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(
+        F.array(F.pmod(F.hash("library"), F.lit(_SALTS))))
     total = F.max(F.when(F.col("library").isNull(), F.col("repo_count"))).over(
-        Window.partitionBy())
-    return counted.withColumn("_total", total).where(F.col("library").isNotNull()).select(
+        Window.partitionBy("_salt"))
+    return counted.withColumn("_salt", F.explode(salts)).withColumn("_total", total).where(
+        F.col("library").isNotNull()).select(
         "library", "repo_count",
-        (F.col("repo_count") * 100.0 / F.col("_total")).alias("repo_pct"))
+        F.try_divide(F.col("repo_count") * 100.0, F.col("_total")).alias("repo_pct"))
 
 
 def catalog_order(catalog: DataFrame, k: int | None = None) -> DataFrame:

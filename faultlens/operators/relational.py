@@ -84,7 +84,7 @@ def numbered_batches(rows: DataFrame, order: str, size: int, ranges: int | None
     if steps is None:
         ranged = rows.withColumn(low, F.lit(0))
     else:
-        points = rows.agg(F.approx_percentile(order, steps, 1000)).first()[0] or []
+        points = rows.agg(F.approx_percentile(order, steps, max(10_000, 10 * ranges))).first()[0] or []
         splits = F.array(*[F.lit(p) for p in sorted(set(points))]) if points else None
         ranged = rows.withColumn(low, F.lit(0) if splits is None else F.size(
             F.filter(splits, lambda p: p < F.col(order))))
