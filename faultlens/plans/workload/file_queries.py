@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from faultlens.catalogs import domain
@@ -12,7 +14,9 @@ from faultlens.operators.signals import classify_files, merge_flags
 from faultlens.plans.workload import tables
 from faultlens.plans.workload.registry import query
 from faultlens.plans.workload.source_sql import quoted
+from faultlens.session import checkpoint_dir, local_folder
 from faultlens.sources.files import decoded, select_files
+from faultlens.streaming.incremental import current_results, start_scan
 
 FLAGS = tuple(domain.CORE_FLAGS)
 PATTERNS = adoption.PATTERNS
@@ -203,6 +207,34 @@ def repo_results_query(spark, sf_dir):
         *(f"has_{n}" for n in _NAMES.values()))
 
 
+@query("incremental_scan", f"""WITH {_SIGNALS},
+folded AS (SELECT source AS repo_url, count(*) AS total_files,
+    count(*) FILTER (label <> 'None') AS handled_files,
+    arg_min(label, doc_id) FILTER (label <> 'None') AS first_label,
+    bool_or(label = 'Basic') AS b, bool_or(label = 'Advanced') AS a,
+    string_agg(DISTINCT language, ';' ORDER BY language) AS languages
+  FROM files JOIN documents USING (doc_id) GROUP BY source)
+SELECT repo_url, CASE WHEN first_label IS NULL THEN 'None' WHEN a AND b THEN 'Mixed'
+  ELSE first_label END AS exception_type, languages, total_files, handled_files
+FROM folded""")
+def incremental_scan(spark, sf_dir):
+    """The documents as a stream: scanned in micro-batches into a store of
+    partial states, then read back merged."""
+    drops = (
+        spark.readStream.schema("doc_id bigint, text string, lang string, source string")
+        .option("maxFilesPerTrigger", 1).option("pathGlobFilter", "documents.parquet")
+        .parquet(sf_dir)
+    )
+    files = tables.as_files(drops)
+    folder = f"{checkpoint_dir(spark, local_folder(spark))}/incremental-scan-{uuid.uuid4().hex}"
+    start_scan(files, f"{folder}/store", f"{folder}/progress", DOMAINS,
+               languages=tables.DOCUMENT_LANGUAGES, rules=tables.SURROGATE_RULES, shapes=[],
+               libraries=()).awaitTermination()
+    return current_results(spark, f"{folder}/store", DOMAINS).select(
+        "repo_url", "exception_type", F.array_join("languages", ";").alias("languages"),
+        "total_files", "handled_files")
+
+
 _FILE_CELLS = _SIGNALS + """,
 cells AS (SELECT language AS row_key, col_key, count(*) FILTER (label = col_key) AS n
   FROM files, (VALUES ('None'), ('Basic'), ('Mixed'), ('Advanced')) c(col_key) GROUP BY ALL),

@@ -61,6 +61,9 @@ HEADS = {
         "import UIKit\n",
         "import Foundation\n",
     ),
+    "php": (
+        "<?php\nuse GuzzleHttp\\Client;\n", "<?php\n", "<?php\nrequire 'a.php';\n", "<?php\n",
+    ),
 }
 
 BODIES = {
@@ -139,4 +142,12 @@ BODIES = {
         "config.timeoutIntervalForRequest = 5\nif r.statusCode == 404 { stop() }\n",
         "let s = URLSession.shared\nlet b = circuitBreaker\n",
     ),
+    "php": (
+        "function plain($a) { return $a + 1; }\n",
+        "try { call(); } catch (Exception $e) { log($e); }\n",
+        "$info = curl_getinfo($h);\n",
+        "retry(3, $f);\n",
+        "$x->timeout(5); $note = 'backoff(1)';\n",
+        "try { timeout(5); } finally { done(); }\n",
+    ),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens.catalogs import domain
 from faultlens.operators import adoption, contingency, libraries
+from faultlens.operators.analyzers import classify_with
 from faultlens.operators.rollup import flag_counts, rendered
 from faultlens.operators.signals import classify_files, detect_http_libraries, detect_signals
 from faultlens.plans.scan import scan_corpus
@@ -38,6 +39,38 @@ for _language in domain.LANGUAGES:
     _register(_language)
 
 
+@query("signals_python_exact", sql.signals_sql("python"))
+def signals_python_exact(spark, sf_dir):
+    """The standard parser's facts under the same rules."""
+    files = tables.source_files(spark, sf_dir, "python")
+    found = detect_signals(files, languages=("python",), exact_python=True)
+    return found.select("doc_id", "label", joined("flags"), joined("resilience_libraries"))
+
+
+@query("signals_php", sql.signals_sql("php"))
+def signals_php(spark, sf_dir):
+    files = tables.source_files(spark, sf_dir, "php")
+    found = detect_signals(files, languages=("php",), libraries=())
+    return found.select("doc_id", "label", joined("flags"), joined("resilience_libraries"))
+
+
+@query("own_analyzer", f"""WITH {sql.source_cte("go")}
+SELECT doc_id, CASE WHEN contains(raw, 'recover') THEN 'Advanced' WHEN contains(raw, 'err')
+    THEN 'Basic' ELSE 'None' END AS label,
+  CASE WHEN contains(raw, 'recover') THEN 'recovers' ELSE '' END AS flags FROM src""")
+def own_analyzer(spark, sf_dir):
+    def analyze(content: Column) -> Column:
+        recovers = content.contains("recover")
+        return F.when(content.isNotNull(), F.struct(
+            (content.contains("err") & ~recovers).alias("basic"), recovers.alias("advanced"),
+            F.create_map(F.lit("recovers"), recovers).alias("patterns"),
+            F.array().cast("array<string>").alias("libraries")))
+
+    found = classify_with(tables.source_files(spark, sf_dir, "go"), {"go": analyze},
+                          languages=("go",), libraries=())
+    return found.select("doc_id", "label", joined("flags"))
+
+
 _HAS = [("backoff" if f == "exponential_backoff" else f, f) for f in domain.CORE_FLAGS]
 
 

@@ -28,12 +28,12 @@ def _list(items) -> str:
 def source_cte(language: str | None = None) -> str:
     """``src``: the same files ``tables.source_files`` makes."""
     n = len(domain.LANGUAGES)
-    number = f"(doc_id % {n})" if language is None else str(domain.LANGUAGES.index(language))
+    number = f"(doc_id % {n})" if language is None else str(tables.WRITTEN.index(language))
     pick = lambda values: f"({_list(quoted(v) for v in values)})[num + 1]"
     pieces = lambda table, index: (
-        "(" + _list(_list(quoted(p) for p in table[lang]) for lang in domain.LANGUAGES)
+        "(" + _list(_list(quoted(p) for p in table[lang]) for lang in tables.WRITTEN)
         + f")[num + 1][({index}) + 1]")
-    mark = pick([tables.COMMENT[lang] for lang in domain.LANGUAGES])
+    mark = pick([tables.COMMENT[lang] for lang in tables.WRITTEN])
     head = pieces(HEADS, f"n_chars % {tables.N_HEADS}")
     body = pieces(BODIES, f"(doc_id // 9) % {tables.N_BODIES}")
     return f"""
@@ -41,10 +41,10 @@ numbered AS (SELECT *, CAST({number} AS INTEGER) AS num FROM documents),
 src AS (
   SELECT doc_id,
     'https://example.com/corpus/' || CASE WHEN lang = 'en' THEN source
-      ELSE source || '-' || {pick(domain.LANGUAGES)} END AS repo_url,
+      ELSE source || '-' || {pick(tables.WRITTEN)} END AS repo_url,
     'src/' || printf('%012d', doc_id)
-      || {pick([tables.EXTENSION[lang] for lang in domain.LANGUAGES])} AS path,
-    {pick(domain.LANGUAGES)} AS language,
+      || {pick([tables.EXTENSION[lang] for lang in tables.WRITTEN])} AS path,
+    {pick(tables.WRITTEN)} AS language,
     {head} || {mark} || ' ' || replace(text, chr(10), chr(10) || {mark})
       || chr(10) || {body} AS raw
   FROM numbered)"""
@@ -61,6 +61,7 @@ _MASKS = {
     "python": (f"{_T}|{_D}|{_S}", _H), "ruby": (f"{_D}|{_S}", _H),
     "java": (f"{_D}|{_S}", _C), "csharp": (f"{_D}|{_S}", _C), "go": (f"{_D}|{_B}|{_S}", _C),
     "javascript": (f"{_D}|{_S}|{_B}", _C), "typescript": (f"{_D}|{_S}|{_B}", _C),
+    "php": (f"{_D}|{_S}", f"{_C}|{_H}"),
 }
 
 
@@ -298,6 +299,10 @@ SIGNALS: dict[str, list[tuple]] = {
         ("advanced", "circuit_breaker", "raw", r"(?i)CircuitBreaker|enum\s+CircuitState"),
         ("basic", None, "raw", r"\btry[?!]"),
     ],
+    "php": [
+        ("basic", None, "code", r"\btry\s*\{|\bcurl_getinfo\s*\("),
+        ("advanced", None, "code", r"(^|[^\w>$])(timeout|retry|CircuitBreaker|backoff)\s*\("),
+    ],
 }
 
 # Shown only where another flag is: (language, flag, opening flag, pattern).
@@ -417,6 +422,7 @@ def signals_cte(language: str | None = None) -> str:
              for lang in chosen for tier, flag, view, pattern in SIGNALS[lang]]
     imports = [r for r in resilience_rows() if r[0] in chosen]
     libraries = [(lang, lib, view, pattern) for lang, lib, _, view, pattern in imports]
+    libraries = libraries or [("-", "-", "-", "-")]
     rules += [(lang, "advanced", flag, view, pattern)
               for lang, lib, flags, view, pattern in imports
               if view != "raw" or pattern not in {b[1] for b in BUILDER_LIBRARIES}

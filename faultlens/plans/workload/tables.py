@@ -19,9 +19,11 @@ from faultlens.sources.files import spread
 N_HEADS = 4
 N_BODIES = 6
 DOCUMENT_LANGUAGES = ("en", "fr", "de", "es")
-EXTENSION = {language: ext for ext, language in domain.EXTENSION_LANGUAGE.items()}
-COMMENT = {language: "#" if language in ("python", "ruby") else "//"
-           for language in domain.LANGUAGES}
+# Languages there are code pieces for; PHP has rules but no routed extension.
+WRITTEN = domain.LANGUAGES + ("php",)
+EXTENSION = {**{language: ext for ext, language in domain.EXTENSION_LANGUAGE.items()},
+             "php": ".php"}
+COMMENT = {language: "#" if language in ("python", "ruby") else "//" for language in WRITTEN}
 
 # Surrogate rules: tokens that occur in the documents stand in for code signals.
 SURROGATE_RULES = (
@@ -47,7 +49,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of repositories (``source``)."""
-    return documents(spark, sf_dir).select(
+    return as_files(documents(spark, sf_dir))
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("source").alias("repo_url"),
         F.format_string("%012d", "doc_id").alias("path"),
         F.col("lang").alias("language"),
@@ -62,21 +68,21 @@ def _array(items) -> str:
 
 
 def _pick(table: dict, language: Column, index: Column) -> Column:
-    pieces = _array(_array(map(sql_text, table[name])) for name in domain.LANGUAGES)
+    pieces = _array(_array(map(sql_text, table[name])) for name in WRITTEN)
     return F.element_at(F.element_at(F.expr(pieces), language + 1), index + 1)
 
 
 def source_files(spark: SparkSession, sf_dir: str, language: str | None = None) -> DataFrame:
     """Every document as a source file: of ``language``, or of each in turn."""
     number = (F.col("doc_id") % len(domain.LANGUAGES)).cast("int") if language is None \
-        else F.lit(domain.LANGUAGES.index(language))
+        else F.lit(WRITTEN.index(language))
 
     def of_language(values) -> Column:
         return F.element_at(F.expr(_array(map(sql_text, values))), number + 1)
 
-    name = of_language(domain.LANGUAGES)
-    ext = of_language(EXTENSION[n] for n in domain.LANGUAGES)
-    mark = of_language(COMMENT[n] for n in domain.LANGUAGES)
+    name = of_language(WRITTEN)
+    ext = of_language(EXTENSION[n] for n in WRITTEN)
+    mark = of_language(COMMENT[n] for n in WRITTEN)
     head = _pick(HEADS, number, (F.col("n_chars") % N_HEADS).cast("int"))
     body = _pick(BODIES, number, (F.floor(F.col("doc_id") / 9) % N_BODIES).cast("int"))
     remark = F.concat(mark, F.lit(" "),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if fallback is None:
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
     return fallback
+
+
+def local_folder(spark: SparkSession) -> str | None:
+    """A folder of this machine's own, for a session that has no other machine."""
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="faultlens-")
+    return None

@@ -13,6 +13,9 @@ from faultlens.catalogs import domain
 from faultlens.functions import scalars, text
 
 
+_SHARE = 128 << 10  # bytes below which a task is not worth starting
+
+
 def decoded(content: Column) -> tuple[Column, Column]:
     """(text, decode_ok). UTF-8 only: other bytes are flagged, never guessed."""
     ok = F.is_valid_utf8(content.cast("string"))
@@ -77,9 +80,8 @@ def spread(table: DataFrame, *keys: str, small: int = 1 << 30) -> DataFrame:
     known to be small, shuffling it costs less than scanning text on a few
     cores; anything larger is left as its files lie.
     """
-    spark = table.sparkSession
-    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    width = spark.sparkContext.defaultParallelism
-    if int(str(size)) > small or width <= 1:
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    width = min(table.sparkSession.sparkContext.defaultParallelism, size // _SHARE)
+    if size > small or width <= 1:
         return table
     return table.repartition(width, *keys)
