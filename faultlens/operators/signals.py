@@ -142,20 +142,25 @@ class _Compiled:
         if target not in VIEWS:
             alternatives = "|".join(f"(?:{rule.pattern})" for rule in group)
             return _matches(_slot(target), "(?dm)" + alternatives)
-        tests = []
+        source = f"_{target}"
+
+        def contains(stems) -> str:
+            return "(" + " OR ".join(f"contains({source}, {sql_text(s)})" for s in stems) + ")"
+
+        covered: dict[tuple[str, ...], list[str]] = defaultdict(list)
         for rule in group:
-            source = f"_{target}"
-            present = [f"contains({source}, {sql_text(stem)})" for stem in rule.stems]
+            text_of = f"concat('\\n', {source})" if rule.pattern.startswith(r"\n") else source
+            test = _matches(text_of, "(?d)" + rule.pattern)
             if len(rule.stems) == 1 and rule.pattern == re.escape(rule.stems[0]):
-                tests += present
-                continue
-            if rule.pattern.startswith(r"\n"):
-                source = f"concat('\\n', {source})"
-            test = _matches(source, "(?d)" + rule.pattern)
-            if present:
-                test = f"(({' OR '.join(present)}) AND {test})"
-            tests.append(test)
-        return "(" + " OR ".join(dict.fromkeys(tests)) + ")"
+                test = contains(rule.stems)
+            elif rule.stems and rule.stems != rule.cover:
+                test = f"({contains(rule.stems)} AND {test})"
+            covered[rule.cover].append(test)
+        tests = []
+        for cover, inner in covered.items():
+            either = "(" + " OR ".join(dict.fromkeys(inner)) + ")"
+            tests.append(f"({contains(cover)} AND {either})" if cover else either)
+        return "(" + " OR ".join(tests) + ")"
 
     def mask(self, wanted) -> int:
         return sum(1 << i for i, group in enumerate(self.groups) if wanted(group[0]))
@@ -359,7 +364,8 @@ def classify_files(
             signal_bits[name] = _bits(predicates)
         if resilience[name]:
             builders = [b for b in resilience_libraries.BUILDER_LIBRARIES if b[0] == name]
-            lines = "concat_ws('\\n', " + ", ".join(map(_slot, IMPORT_SHAPES[name])) + ")"
+            lines = _slot(IMPORT_SHAPES[name][0]) if len(IMPORT_SHAPES[name]) == 1 else (
+                "concat_ws('\\n', " + ", ".join(map(_slot, IMPORT_SHAPES[name])) + ")")
             library_bits[name] = _resilience_bits(name, lines, resilience[name], builders)
             library_names[name] = [r.library for r in resilience[name]] + [b[3] for b in builders]
         if http[name]:
