@@ -91,7 +91,7 @@ class _Kept:
 def kept_terms(texts: pa.Array, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of the kept terms of each text; a long text's blocks are joined."""
     find, rows, places = _Kept(kept), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for data, bounds, first in text_blocks(texts):
+    for data, bounds, first, *_ in text_blocks(texts):
         r, p = find(*_block_terms(data, bounds))
         rows.append(r + first)
         places.append(p)
@@ -105,7 +105,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             rows, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             labels = batch.column(1).to_numpy(zero_copy_only=False)
-            for data, bounds, first in text_blocks(batch.column(0)):
+            for data, bounds, first, *_ in text_blocks(batch.column(0)):
                 r, t = _distinct(*_block_terms(data, bounds))
                 rows.append(r + first)
                 terms.append(t)

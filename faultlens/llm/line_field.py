@@ -115,7 +115,7 @@ def _line_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, length, features) of every line of the texts, in order."""
-    parts = [(r + first, n, f) for data, bounds, first in text_blocks(texts)
+    parts = [(r + first, n, f) for data, bounds, first, *_ in text_blocks(texts)
              for r, n, f in [_line_features(data, bounds)]]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, FEATURES), np.float32)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm import (
-    factor_machine, line_field, mixing, packing, planes, simhash, spotsigs, topk, url_reputation,
+    factor_machine, kneser_ney, line_field, mixing, packing, planes, simhash, spotsigs, topk, url_reputation,
 )
 from faultlens.llm.labelled import remainder
 
@@ -66,6 +66,12 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    return kneser_ney.score(docs, kneser_ney.count(docs.filter(~held_out)), held_out)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select(
@@ -87,7 +93,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_exact_topk, op3_source_mix, op4_line_quality, op5_toxicity,
-        op6_token_planes, op7_spotsigs, op9_simhash, op10_url_reputation)
+        op6_token_planes, op7_spotsigs, op8_kneser_ney, op9_simhash, op10_url_reputation)
 }
 
 ORACLE = {"op3_source_mix": mixing.REPORT_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,22 @@ def runs(member: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def text_blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Texts laid end to end, about ``size`` bytes at a time: (bytes, bounds, first row).
+class Block(NamedTuple):
+    """Texts laid end to end. ``bounds``: where in ``data`` its rows begin, and its end;
+    ``first``: its first row; ``begins``, ``ends``: whether the first row begins and the
+    last row ends here."""
 
-    ``bounds`` are the places in the block where its rows begin, and its end. A long
-    text is cut at white space and goes on in the next block, whose first row it is.
+    data: np.ndarray
+    bounds: np.ndarray
+    first: int
+    begins: bool
+    ends: bool
+
+
+def text_blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
+    """The texts of a column, about ``size`` bytes at a time.
+
+    A long text is cut at white space and goes on in the next block.
     """
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
@@ -107,5 +119,5 @@ def text_blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[np.ndarra
                     last, high = row, space.start()
         inside = offsets[row:last + 1] if last > row else np.array([low, high])
         bounds = np.clip(inside, low, high) - low
-        yield data[low:high], bounds, row
+        yield Block(data[low:high], bounds, row, low == int(offsets[row]), last > row)
         row, low = last, high
