@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultlens.shipping import ship_package
+
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
@@ -21,8 +23,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
     Where the setting is unset and the session has no other machine (tests), it is
-    in a folder of this machine; on a cluster that is an error.
+    in a folder of this machine; on a cluster that is an error. Every operator with
+    Python functions begins here, so this also brings the package to the workers.
     """
+    ship_package(spark)
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if not configured:
         if not spark.sparkContext.master.startswith("local["):
