@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # A literal or comment is written as (first character, rest). One character
 # class in front lets the engine skip ordinary text at its cheapest; a literal
@@ -116,11 +112,5 @@ def normalise_source(text: Column) -> Column:
     return F.regexp_replace(cleaned, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; Spark has no built-in for it."""
-    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
-
-
 def find_all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))

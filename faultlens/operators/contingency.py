@@ -14,22 +14,19 @@ from faultlens.functions import scalars
 from faultlens.functions.chi2 import chi2_sf
 
 
-MAX_COLUMN_KEYS = 1000
+#: Copies of the column keys among which rows are spread to meet them.
+_SALTS = 64
 
 
 def contingency(data: DataFrame, row: str, col: str, keys=None) -> DataFrame:
     """Observed cells, a zero for every pair of keys that never meets.
 
-    One pass: a conditional count per column key. ``keys`` is the column
-    domain; without it the domain is read from the data first, as a pivot
-    would, and must be small.
+    With ``keys``, the column domain, one pass: a conditional count per key.
+    Without, pairs are counted once, and the counted rows and columns, however
+    many, make the grid that is filled with zeros.
     """
     if keys is None:
-        found = data.select(col).where(F.col(col).isNotNull()).distinct().limit(
-            MAX_COLUMN_KEYS + 1).collect()
-        if len(found) > MAX_COLUMN_KEYS:
-            raise ValueError(f"{col} has over {MAX_COLUMN_KEYS} values; not a table column")
-        keys = sorted(r[0] for r in found)
+        return _observed_grid(data.select(F.col(row).alias("row_key"), F.col(col).alias("col_key")))
     cells = F.array(*[
         F.struct(F.lit(key).alias("col_key"), F.col(f"_{i}").alias("n"))
         for i, key in enumerate(keys)])
@@ -38,6 +35,18 @@ def contingency(data: DataFrame, row: str, col: str, keys=None) -> DataFrame:
     return counted.select("row_key", F.inline(cells))
 
 
+def _observed_grid(pairs: DataFrame) -> DataFrame:
+    counted = pairs.where("row_key IS NOT NULL").groupBy("row_key", "col_key").agg(
+        F.count("*").alias("n"))
+    rows = counted.select("row_key").distinct().withColumn(
+        "_salt", F.pmod(F.hash("row_key"), F.lit(_SALTS)))
+    columns = counted.select("col_key").where("col_key IS NOT NULL").distinct().withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    grid = rows.join(columns, "_salt").drop("_salt")
+    return grid.join(counted, ["row_key", "col_key"], "left").withColumn(
+        "n", F.coalesce("n", F.lit(0)))
+
+
 def pivoted(data: DataFrame, row: str, col: str, keys) -> DataFrame:
     """Wide form over a known column domain."""
     return data.groupBy(row).agg(

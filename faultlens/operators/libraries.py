@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LENGTHS = 256
+#: Windows of this length find a pattern in a path; a shorter pattern is found by itself.
+WINDOW = 4
 _SALTS = 64
 
 
@@ -37,11 +38,9 @@ def match_exact(imports: DataFrame, catalog: DataFrame, separator: str | None =
 
 
 def _lengths(catalog: DataFrame) -> list[int]:
-    """Distinct pattern lengths: the only catalog fact the driver needs."""
-    rows = catalog.select(F.length("pattern").alias("n")).where("n > 0").distinct().limit(
-        MAX_LENGTHS + 1).collect()
-    if len(rows) > MAX_LENGTHS:
-        raise ValueError(f"patterns of over {MAX_LENGTHS} different lengths")
+    """Distinct pattern lengths, the only catalog fact the driver needs: at most as
+    many numbers as the longest pattern has characters."""
+    rows = catalog.select(F.length("pattern").alias("n")).where("n > 0").distinct().collect()
     return sorted(r["n"] for r in rows)
 
 
@@ -63,14 +62,18 @@ def match_first_segment(imports: DataFrame, catalog: DataFrame, separator: str =
 
 
 def match_contains(imports: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Path contains pattern: every window of the shortest pattern's length
-    meets the patterns' heads; the survivors are checked in full."""
-    shortest = (_lengths(catalog) or [1])[0]
-    starts = F.when(
-        F.length("path") >= shortest, F.sequence(F.lit(1), F.length("path") - (shortest - 1)))
-    grams = F.array_distinct(F.transform(
-        starts, lambda i: F.substring(F.col("path"), i, F.lit(shortest))))
-    heads = F.substring("pattern", 1, shortest)
+    """Path contains pattern: a path's distinct windows of one to ``WINDOW``
+    characters meet the patterns. A pattern that is shorter than ``WINDOW`` is a
+    window itself, so it meets only paths that contain it; a longer one meets those
+    that contain its head, which are then checked in full."""
+    def windows(n: int) -> Column:
+        starts = F.when(F.length("path") >= n, F.sequence(F.lit(1), F.length("path") - (n - 1)))
+        return F.coalesce(F.array_distinct(F.transform(
+            starts, lambda i: F.substring(F.col("path"), i, F.lit(n)))),
+            F.array().cast("array<string>"))
+
+    grams = F.concat(*(windows(n) for n in range(1, WINDOW + 1)))
+    heads = F.substring("pattern", 1, WINDOW)
     return _per_distinct_path(imports, catalog.where(F.length("pattern") > 0), grams, heads).where(
         F.col("path").contains(F.col("pattern")))
 

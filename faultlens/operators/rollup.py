@@ -1,13 +1,16 @@
 """File signals to one row per repository, in one shuffle.
 
-Every state is constant-size and mergeable - counters, booleans, bit sets over
-closed name lists, and the label of the smallest path - so a repository that
-holds a third of all files still sends one partial row per map task. Partials
-can also be stored and merged later (see ``faultlens.streaming``).
+Every state is small and mergeable - counters, booleans, bit sets over listed
+names, the label of the smallest path, and the distinct names that are not listed
+- so a repository that holds a third of all files still sends one partial row per
+map task. Partials can also be stored and merged later (see
+``faultlens.streaming``); they carry the version of the lists their bits follow.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +28,8 @@ _WORD = 62
 
 @dataclass(frozen=True)
 class Domains:
-    """Closed lists of names a set column may hold; their order is the bit
-    order of stored partials."""
+    """Names that are kept as bits; their order is the bit order of stored
+    partials. Other names are kept, too, as text."""
 
     languages: tuple[str, ...] = domain.LANGUAGES
     http_libraries: tuple[str, ...] = field(default_factory=lambda: tuple(http_library_names()))
@@ -41,6 +44,12 @@ class Domains:
             "resilience_libraries": self.resilience_libraries,
         }
 
+    @property
+    def version(self) -> str:
+        """Changes with any list, so that bits are never read by another list."""
+        lists = [*self.sets().values(), self.flags]
+        return hashlib.sha1(json.dumps(lists).encode()).hexdigest()[:16]
+
 
 def _words(names: tuple[str, ...]) -> list[tuple[str, ...]]:
     return [names[i:i + _WORD] for i in range(0, len(names), _WORD)]
@@ -53,6 +62,19 @@ def _encode(values: str, names: tuple[str, ...]) -> Column:
                   f"bits | coalesce(try_element_at(map({table}), name), 0L))")
 
 
+def _unlisted(kind: str, values: str, names: tuple[str, ...]) -> str:
+    """SQL: the names outside the list, marked with their kind."""
+    table = ", ".join(map(sql_text, names))
+    return (f"transform(filter({values}, name -> NOT array_contains(array({table}), name)), "
+            f"name -> concat({sql_text(kind + ':')}, name))")
+
+
+def _of_kind(kind: str) -> Column:
+    start = f"{kind}:"
+    return F.transform(F.filter("unlisted", lambda n: n.startswith(start)),
+                       lambda n: F.substring(n, len(start) + 1, 1 << 30))
+
+
 def _set_names(names: tuple[str, ...], bits: str) -> Column:
     table = ", ".join(map(sql_text, names))
     return F.expr(f"CASE WHEN {bits} = 0L THEN CAST(array() AS array<string>) "
@@ -72,8 +94,8 @@ def partial_rollup(
 ) -> DataFrame:
     """Mergeable state per group. ``order`` defines which file is first.
 
-    A file counts as failed when it could not be analysed: it has no label,
-    but its language (unless unreadable) and HTTP libraries still count.
+    A file counts as failed when it could not be analysed: it has no label and no
+    flags, but its language (unless unreadable) and HTTP libraries still count.
     ``canonical`` files native error handling
     (``rescue``, ``do``/``catch``, error checks) under ``try_catch`` as well.
     """
@@ -86,8 +108,13 @@ def partial_rollup(
         language = "CASE WHEN coalesce(decode_ok, true) THEN array(language) ELSE array() END"
     flags = canonical_flags(F.col("flags")) if canonical else F.col("flags")
     present = signals.columns
+    others = [
+        _unlisted(column, language if column == "languages" else column, names)
+        for column, names in domains.sets().items() if column == "languages" or column in present]
+    others.append(_unlisted("flags", "_flags", domains.flags))
 
-    slim = signals.select(
+    no_flags = F.array().cast("array<string>")
+    slim = signals.withColumn("_flags", F.when(analysed, flags).otherwise(no_flags)).select(
         *by,
         F.when(label.isNotNull(), F.col(order)).alias("_order"),
         label.alias("_label"),
@@ -96,7 +123,9 @@ def partial_rollup(
         (label == "Advanced").alias("_is_advanced"),
         (analysed & F.col("basic")).alias("basic"),
         (analysed & F.col("advanced")).alias("advanced"),
-        flags.alias("_flags"),
+        "_flags",
+        F.expr(f"nullif(concat({', '.join(others)}), CAST(array() AS array<string>))")
+        .alias("_unlisted"),
         *(
             _encode(
                 language if column == "languages" else column, word).alias(f"{column}_{i}")
@@ -119,6 +148,8 @@ def partial_rollup(
         *(F.bit_or(c).alias(c) for c in sets),
         *(F.expr(f"count_if(array_contains(_flags, {sql_text(flag)})) AS n_{flag}")
           for flag in domains.flags),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_unlisted")))).alias("unlisted"),
+        F.lit(domains.version).alias("lists"),
     )
 
 
@@ -136,6 +167,8 @@ def merge_partials(partials: DataFrame, by=("repo_url",)) -> DataFrame:
         F.min_by("first_label", "first_order").alias("first_label"),
         *(F.max(c).alias(c) for c in anys),
         *(F.bit_or(c).alias(c) for c in bits),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("unlisted")))).alias("unlisted"),
+        F.when(F.min("lists") == F.max("lists"), F.min("lists")).alias("lists"),
     )
     return merged.select(*[c for c in columns if c in merged.columns])
 
@@ -158,22 +191,27 @@ def any_label() -> Column:
 def finish_rollup(
     partials: DataFrame, by=("repo_url",), domains: Domains | None = None, fold: str = "ordered",
 ) -> DataFrame:
-    """Typed repository rows from merged partials."""
+    """Typed repository rows from merged partials. Partials whose bits follow
+    other lists than ``domains`` are an error."""
     domains = domains or Domains()
     exception_type = folded_label() if fold == "ordered" else any_label()
-    total, failed = F.col("total_files"), F.col("failed_files")
+    total = F.when(F.col("lists") == domains.version, F.col("total_files")).otherwise(
+        F.raise_error(F.lit("these partial states were written with other lists of names")))
+    failed = F.col("failed_files")
     return partials.select(
         *by,
         exception_type.alias("exception_type"),
         scalars.recommendation(exception_type).alias("recommendation"),
         *(
-            _decode([(word, f"{column}_{i}") for i, word in enumerate(_words(names))])
-            .alias(column)
+            F.array_sort(F.concat(
+                _decode([(word, f"{column}_{i}") for i, word in enumerate(_words(names))]),
+                _of_kind(column))).alias(column)
             for column, names in domains.sets().items() if f"{column}_0" in partials.columns
         ),
-        "total_files", "failed_files", "handled_files",
-        success_rate(total, failed).alias("parser_success_rate"),
-        F.when(total == 0, "no_files").when(failed == total, "all_failed").otherwise("ok")
+        total.cast("bigint").alias("total_files"), "failed_files", "handled_files",
+        success_rate(F.col("total_files"), failed).alias("parser_success_rate"),
+        F.when(F.col("total_files") == 0, "no_files")
+        .when(failed == F.col("total_files"), "all_failed").otherwise("ok")
         .alias("status"),
         *(
             F.expr(f"n_{flag} > 0 AS has_"
@@ -181,6 +219,7 @@ def finish_rollup(
             for flag in domain.CORE_FLAGS if flag in domains.flags
         ),
         *(f"n_{flag}" for flag in domains.flags),
+        _of_kind("flags").alias("other_flags"),
     )
 
 
@@ -195,9 +234,25 @@ def repo_results(signals: DataFrame, by=("repo_url",), domains: Domains | None =
         partial_rollup(signals, by, domains, order, canonical), by, domains, fold)
 
 
+def _key(repo: Column) -> Column:
+    """Repository key of a URL; a folder's name is its key already."""
+    return F.when(repo.contains("/"), scalars.repo_key(repo)).otherwise(repo)
+
+
 def with_empty_repositories(results: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Add repositories without a single supported file (rate 0, ``no_files``)."""
-    joined = repositories.select("repo_url").dropDuplicates().join(results, "repo_url", "left")
+    """Add repositories without a single supported file (rate 0, ``no_files``).
+
+    Both sides meet by repository key, so a list of URLs fits results that are
+    named by folder; results of repositories that are not listed stay.
+    """
+    listed = repositories.select(
+        F.col("repo_url").alias("_listed"), _key(F.col("repo_url")).alias("_key"),
+    ).where(F.col("_listed").isNotNull()).dropDuplicates(["_key"])
+    joined = (
+        results.withColumn("_key", _key(F.col("repo_url")))
+        .join(listed, "_key", "full")
+        .withColumn("repo_url", F.coalesce("repo_url", "_listed"))
+    )
     empty = F.array().cast("array<string>")
     fills = []
     for name, kind in results.dtypes:

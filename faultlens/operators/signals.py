@@ -11,6 +11,7 @@ the driver hands Catalyst a handful of strings instead of thousands of calls.
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from collections import defaultdict
 
@@ -36,9 +37,14 @@ _IMPORT_FORMS = {
     "kotlin": (r"\n[^\S\n]*+import[^\S\n]++([a-zA-Z0-9_.]+(?:\.\*)?)",),
     "swift": (r"\n[^\S\n]*+import[^\S\n]++([a-zA-Z0-9_.]+)",),
     "ruby": (r"""require(?:_relative)?\s+['"]([^'"]+)['"]""",),
-    # Three separate searches: on a long line one form may span another.
+    # Three separate searches: on a long line one form may span another. The first
+    # goes from an import word by word to the line's first ``from`` with a name. Where
+    # there is none, no import before the line's end has one, so it passes over the
+    # rest of the line (but for an import at its very end) and finds nothing: every
+    # line is read twice at most.
     "javascript": (
-        r"""import\s+.*?\s+from\s+['"]([^'"]+)['"]""",
+        r"""import(?=\s)(?:(?:\s{2,}+from|\s++\S++(?:[^\S\n]++(?!from\s+['"][^'"]+['"])\S++)*+\s++from)"""
+        r"""\s++['"]([^'"]+)['"]|(?:[^\ni]++|i(?!mport[^\S\n]*+\n))*+)""",
         r"""import\s+['"]([^'"]+)['"]""",
         r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""",
     ),
@@ -450,12 +456,15 @@ def merge_flags(left: Column, right: Column) -> Column:
     return F.array_sort(F.array_union(F.coalesce(left, empty), F.coalesce(right, empty)))
 
 
-def rules_from_table(table: DataFrame, limit: int = 2000) -> list[Rule]:
-    """Rules kept as a table: ``rule_id, language, target, pattern, tier,
-    flags array<string>``. Rules are configuration; a table too large to be
-    that is refused rather than pulled to the driver."""
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules; this is not a rule table")
-    return [Rule(r["rule_id"], r["language"], r["target"], r["pattern"], r["tier"],
-                 tuple(r["flags"] or ())) for r in rows]
+def rules_from_table(table: DataFrame) -> list[Rule]:
+    """Rules kept as a table: ``rule_id, language, target, pattern, tier, flags
+    array<string>``, and any of a rule's other fields as columns. Rules are
+    configuration that is compiled into the plan, so the table comes to the driver."""
+    fields = {f.name: f for f in dataclasses.fields(Rule)}
+
+    def rule(row: dict) -> Rule:
+        given = {k: tuple(v) if isinstance(v, list) else v
+                 for k, v in row.items() if k in fields and v is not None}
+        return Rule(**{"flags": (), "tier": None, **given})
+
+    return [rule(r.asDict()) for r in table.collect()]

@@ -6,5 +6,6 @@ from faultlens.plans.workload import (  # noqa: F401
     relational_queries,
     source_queries,
     stat_queries,
+    store_queries,
 )
 from faultlens.plans.workload.registry import ORACLE, QUERIES  # noqa: F401

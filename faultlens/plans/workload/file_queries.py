@@ -222,15 +222,15 @@ def incremental_scan(spark, sf_dir):
     partial states, then read back merged."""
     drops = (
         spark.readStream.schema("doc_id bigint, text string, lang string, source string")
-        .option("maxFilesPerTrigger", 1).option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{sf_dir}/documents.parquet*")
     )
     files = tables.as_files(drops)
     folder = f"{checkpoint_dir(spark, local_folder(spark))}/incremental-scan-{uuid.uuid4().hex}"
     start_scan(files, f"{folder}/store", f"{folder}/progress", DOMAINS,
                languages=tables.DOCUMENT_LANGUAGES, rules=tables.SURROGATE_RULES, shapes=[],
                libraries=()).awaitTermination()
-    return current_results(spark, f"{folder}/store", DOMAINS).select(
+    return current_results(spark, f"{folder}/store", DOMAINS, merge=True).select(
         "repo_url", "exception_type", F.array_join("languages", ";").alias("languages"),
         "total_files", "handled_files")
 

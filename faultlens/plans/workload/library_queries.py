@@ -14,10 +14,8 @@ _H = """h AS (SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) A
 i AS (SELECT page_id, language, unnest(paths) AS path FROM h)"""
 
 
-def _words(shortest: int) -> str:
-    return f"""w AS (SELECT DISTINCT word AS pattern FROM (SELECT unnest(
-    regexp_extract_all(lower(text), '([a-z]+)', 1)) AS word FROM benchmark)
-  WHERE length(word) >= {shortest})"""
+_WORDS = """w AS (SELECT DISTINCT unnest(
+    regexp_extract_all(lower(text), '([a-z]+)', 1)) AS pattern FROM benchmark)"""
 
 
 def _imports(spark, sf_dir):
@@ -25,7 +23,7 @@ def _imports(spark, sf_dir):
         "page_id", "language", F.explode("paths").alias("path"))
 
 
-@query("library_exact", f"""WITH {_H}, {_words(2)} SELECT page_id, path, pattern
+@query("library_exact", f"""WITH {_H}, {_WORDS} SELECT page_id, path, pattern
 FROM i JOIN w ON pattern = path OR pattern = split_part(path, '.', 1)""")
 def library_exact(spark, sf_dir):
     return libraries.match_exact(
@@ -33,7 +31,7 @@ def library_exact(spark, sf_dir):
     ).select("page_id", "path", "pattern")
 
 
-@query("library_prefix", f"""WITH {_H}, {_words(2)} SELECT page_id, path, pattern
+@query("library_prefix", f"""WITH {_H}, {_WORDS} SELECT page_id, path, pattern
 FROM i JOIN w ON starts_with(path, pattern)""")
 def library_prefix(spark, sf_dir):
     return libraries.match_prefix(
@@ -41,11 +39,11 @@ def library_prefix(spark, sf_dir):
     ).select("page_id", "path", "pattern")
 
 
-@query("library_contains", f"""WITH {_H}, {_words(4)} SELECT page_id, path, pattern
+@query("library_contains", f"""WITH {_H}, {_WORDS} SELECT page_id, path, pattern
 FROM i JOIN w ON contains(path, pattern)""")
 def library_contains(spark, sf_dir):
     return libraries.match_contains(
-        _imports(spark, sf_dir), tables.benchmark_words(spark, sf_dir, 4)
+        _imports(spark, sf_dir), tables.benchmark_words(spark, sf_dir)
     ).select("page_id", "path", "pattern")
 
 
@@ -57,11 +55,11 @@ SELECT path, pattern FROM w JOIN hosts ON starts_with(path, split_part(pattern,
 def library_first_segment(spark, sf_dir):
     hosts = tables.load(spark, sf_dir, "pages").select(
         scalars.url_host(F.col("url")).alias("pattern")).distinct()
-    paths = tables.benchmark_words(spark, sf_dir, 1).withColumnRenamed("pattern", "path")
+    paths = tables.benchmark_words(spark, sf_dir).withColumnRenamed("pattern", "path")
     return libraries.match_first_segment(paths, hosts).select("path", "pattern")
 
 
-@query("library_requires_substring", f"""WITH {_H}, {_words(2)} SELECT page_id, path, pattern
+@query("library_requires_substring", f"""WITH {_H}, {_WORDS} SELECT page_id, path, pattern
 FROM i JOIN w ON starts_with(path, pattern)
 WHERE length(pattern) % 2 = 0 OR contains(path, 'th')""")
 def library_requires_substring(spark, sf_dir):
@@ -71,7 +69,7 @@ def library_requires_substring(spark, sf_dir):
     return libraries.require_substring(matches).select("page_id", "path", "pattern")
 
 
-@query("library_flags", f"""WITH {_H}, {_words(2)}
+@query("library_flags", f"""WITH {_H}, {_WORDS}
 SELECT page_id, path, library, flag FROM (SELECT page_id, path, pattern AS library,
   unnest(list_distinct([substr(pattern, 1, 1), right(pattern, 1)])) AS flag
   FROM i JOIN w ON pattern = path)""")

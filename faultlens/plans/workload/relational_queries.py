@@ -22,9 +22,10 @@ def latest_wins(spark, sf_dir):
 
 
 @query("resume_anti_join", """SELECT c_custkey, c_name FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def resume_anti_join(spark, sf_dir):
-    done = tables.load(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    done = tables.load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").withColumnRenamed(
+        "o_custkey", "c_custkey")
     return relational.not_yet_done(
         tables.load(spark, sf_dir, "customer"), done, "c_custkey").select("c_custkey", "c_name")
 

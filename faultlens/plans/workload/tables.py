@@ -14,7 +14,6 @@ from faultlens.catalogs import domain
 from faultlens.catalogs.signals import Rule
 from faultlens.functions.text import sql_text
 from faultlens.plans.workload.snippets import BODIES, HEADS
-from faultlens.sources.files import spread
 
 N_HEADS = 4
 N_BODIES = 6
@@ -40,11 +39,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(load(spark, sf_dir, "documents"), "doc_id")
+    return load(spark, sf_dir, "documents")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(load(spark, sf_dir, "pages"), "page_id")
+    return load(spark, sf_dir, "pages")
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +126,11 @@ def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("language").alias("languages"))
 
 
-def benchmark_words(spark: SparkSession, sf_dir: str, shortest: int = 2) -> DataFrame:
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lower-case words of the benchmark texts as catalog patterns."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
     return load(spark, sf_dir, "benchmark").select(
-        F.explode(words).alias("pattern")
-    ).where(F.length("pattern") >= shortest).distinct()
+        F.explode(words).alias("pattern")).distinct()
 
 
 def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

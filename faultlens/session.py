@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -35,8 +36,12 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback
 
 
+@functools.cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="faultlens-")
+
+
 def local_folder(spark: SparkSession) -> str | None:
-    """A folder of this machine's own, for a session that has no other machine."""
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="faultlens-")
-    return None
+    """A folder of this machine's own, for a session that has no other machine and
+    names no shared folder. It goes when the process ends."""
+    return _own_folder().name if spark.sparkContext.master.startswith("local[") else None

@@ -6,6 +6,8 @@ of large Parquet files and prunes by language.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,6 @@ from faultlens.catalogs import domain
 from faultlens.functions import scalars, text
 
 
-_SHARE = 128 << 10  # bytes below which a task is not worth starting
-
-
 def decoded(content: Column) -> tuple[Column, Column]:
     """(text, decode_ok). UTF-8 only: other bytes are flagged, never guessed."""
     ok = F.is_valid_utf8(content.cast("string"))
@@ -42,8 +41,11 @@ def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*{" + endings + "}")
         .load(root)
     )
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    inside = F.substring_index(F.col("path"), base, -1)
+    # Cut after the root where the path begins with it, else after its first occurrence.
+    base = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    whole = F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "")
+    inside = F.when(whole.startswith(base), F.substr(whole, F.lit(len(base) + 1))).otherwise(
+        F.substr(whole, F.instr(whole, base) + F.lit(len(base))))
     placed = found.select(
         F.substring_index(inside, "/", 1).alias("repo_url"),
         F.regexp_replace(inside, "^[^/]*/", "").alias("path"),
@@ -72,16 +74,3 @@ def pack_files(files: DataFrame, path: str, partitions: int | None = None,
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
-
-def spread(table: DataFrame, *keys: str, small: int = 1 << 30) -> DataFrame:
-    """Use every core on a table too small to fill them.
-
-    A Parquet scan is no wider than its row groups. If the whole table is
-    known to be small, shuffling it costs less than scanning text on a few
-    cores; anything larger is left as its files lie.
-    """
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    width = min(table.sparkSession.sparkContext.defaultParallelism, size // _SHARE)
-    if size > small or width <= 1:
-        return table
-    return table.repartition(width, *keys)

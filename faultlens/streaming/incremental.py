@@ -9,6 +9,8 @@ overwrites that batch's own folder, so results are exactly-once.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,9 +40,11 @@ def new_files(spark: SparkSession, path: str, files_per_trigger: int = 50,
 def start_scan(files: DataFrame, store: str, checkpoint: str | None = None,
                domains: Domains | None = None, **classify) -> StreamingQuery:
     """Scan everything available, then stop. Progress lives under the shared
-    checkpoint folder unless ``checkpoint`` names another."""
+    checkpoint folder, for each store in a folder of its own, unless ``checkpoint``
+    names another."""
     spark = files.sparkSession
-    location = checkpoint or checkpoint_dir(spark) + "/corpus-scan"
+    name = hashlib.sha1(store.rstrip("/").encode()).hexdigest()[:16]
+    location = checkpoint or f"{checkpoint_dir(spark)}/corpus-scan-{name}"
     signals = classify_files(files, **classify)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
@@ -60,11 +64,11 @@ def stored_partials(spark: SparkSession, store: str) -> DataFrame:
 
 
 def current_results(spark: SparkSession, store: str, domains: Domains | None = None,
-                    merge: bool = True) -> DataFrame:
-    """Repository rows of the store.
+                    merge: bool = False) -> DataFrame:
+    """Repository rows of the store: a repository's newest batch replaces earlier ones.
 
-    ``merge``: batches hold disjoint files of a repository. Otherwise every
-    batch scanned whole repositories anew, and the newest batch wins.
+    With ``merge``, batches hold disjoint files of a repository and are added up; a
+    file that is delivered twice then counts twice.
     """
     partials = stored_partials(spark, store)
     if merge:

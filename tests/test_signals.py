@@ -259,8 +259,6 @@ def test_own_rules_replace_the_built_in_ones(spark):
     out = classify_files(files, languages=("lua", "perl"), rules=rules, shapes=[], libraries=())
     assert [(r["label"], r["flags"]) for r in out.orderBy("id").collect()] == [
         ("Mixed", ["todo"]), ("Basic", ["todo"]), ("None", [])]
-    with pytest.raises(ValueError, match="rule table"):
-        rules_from_table(table, limit=1)
     with pytest.raises(ValueError, match="no such shape"):
         classify_files(files, languages=("lua",), shapes=[], libraries=(),
                        rules=[Rule("x", "lua", "calls", "a", "basic")])

@@ -31,18 +31,18 @@ def test_incremental_scan(spark, tmp_path):
         query.awaitTermination()
 
     run()
-    assert plain(inc.current_results(spark, store)) == plain(
+    assert plain(inc.current_results(spark, store, merge=True)) == plain(
         scan_corpus(files(spark, range(25)), languages=("python",)))
     files(spark, range(25, 40)).coalesce(2).write.mode("append").parquet(drops)
     run()
     run()  # nothing new
     batch = scan_corpus(everything, languages=("python",))
-    assert plain(inc.current_results(spark, store)) == plain(batch)
+    assert plain(inc.current_results(spark, store, merge=True)) == plain(batch)
     assert inc.progress(spark, store).count() == 5
 
     compacted = str(tmp_path / "compacted")
     inc.compact(spark, store, compacted)
-    assert plain(inc.current_results(spark, compacted)) == plain(batch)
+    assert plain(inc.current_results(spark, compacted, merge=True)) == plain(batch)
 
     listed = spark.createDataFrame([("repo0",), ("repo9",)], "repo_url string")
     left = inc.remaining(listed, inc.current_results(spark, store)).collect()
@@ -58,9 +58,10 @@ def test_newest_batch_wins_when_repositories_are_scanned_anew(spark, tmp_path):
         partial_rollup(classify_files(files(spark, numbers), languages=("python",))).write.parquet(
             f"{store}/batch_id={batch}")
     newest = {r["repo_url"]: r["total_files"] for r in
-              inc.current_results(spark, store, merge=False).collect()}
+              inc.current_results(spark, store).collect()}
     assert newest == {"repo0": 1, "repo1": 1, "repo2": 1}
-    merged = {r["repo_url"]: r["total_files"] for r in inc.current_results(spark, store).collect()}
+    merged = {r["repo_url"]: r["total_files"] for r in
+              inc.current_results(spark, store, merge=True).collect()}
     assert merged["repo2"] == 2
 
 

@@ -39,9 +39,6 @@ def test_normalise(spark):
     assert got == ["a\nb\nc", "x\ny'\"z\"", "p\tq"]
 
 
-def test_nfkc(spark):
-    assert apply(spark, text.nfkc(F.col("t")), "ﬁ①", None) == ["fi1", None]
-
 
 def test_sql_literal_round_trip(spark):
     for value in ("it's", "a\\b'c\\", '"x"', "'", "", "\\n", "é\n'"):
