@@ -199,12 +199,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         "shard", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
 
     @F.pandas_udf("long")
-    def crc_of(parts):
+    def joined(parts):
         import pandas as pd
 
         return pd.Series([
-            p[0]["part"] if len(p) == 1 else joined_crc([(x["part"], 4 * x["n"]) for x in p])
-            for p in parts])
+            None if p is None else joined_crc([(x["part"], 4 * x["n"]) for x in p])
+            for p in parts], dtype="Int64")
+
+    # Only documents that go over the end of a block have parts to join.
+    several = F.size("parts") > 1
 
     parts = blocks.mapInArrow(
         _parts(False), "shard int, shard_start long, doc_id long, n_tokens long, at long, n long, part long")
@@ -213,7 +216,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("at", "n", "part"))).alias("parts"))
         .join(F.broadcast(shards), "shard")
         .select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens",
-                crc_of("parts").alias("ids_crc32"))
+                F.when(several, joined(F.when(several, F.col("parts"))))
+                .otherwise(F.col("parts")[0]["part"]).alias("ids_crc32"))
     )
 
 

@@ -20,9 +20,11 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 
-#: Chunks whose pieces are plain to see: words with punctuation, on one or more lines.
-SIMPLE = re.compile(f"[{LETTERS}]+[.,!;:?]*(?:\n[{LETTERS}]+[.,!;:?]*)*")
-PUNCTUATION = re.compile("([.,!;:?]+)")
+#: Chunks whose pieces are plain to see: words and the signs after them, on one or more
+#: lines. Apostrophes can begin a piece of letters, and ``|`` is the mark between chunks.
+SIGNS = r'.,!;:?"#$%&()*+/<=>@\[\\\]^_`{}~-'
+SIMPLE = re.compile(f"[{LETTERS}]+[{SIGNS}]*(?:\n[{LETTERS}]+[{SIGNS}]*)*")
+PUNCTUATION = re.compile(f"([{SIGNS}]+)")
 #: Where a long text may be cut: before a single blank between two runs.
 CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: Where white space is more than single blanks between chunks.
@@ -49,6 +51,15 @@ def _byte_alphabet() -> np.ndarray:
 ALPHABET = _byte_alphabet()
 
 
+def _folded(text: str) -> str:
+    """Lower case, where that is letter by letter; other texts are left to the vocabulary."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
@@ -108,17 +119,20 @@ class Encoder:
             uneven = [i for i, t in enumerate(texts) if UNEVEN.search(t)]
             for i, ids in zip(uneven, self._plainly([texts[i] for i in uneven])):
                 out[i] = ids
-        split = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
-        wanted = set().union(*(chunks[1:] for _, chunks in split))
+            split = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
+            firsts = self._plainly([chunks.pop(0) for _, chunks in split])
+        else:
+            split = [(i, _folded(t).split(" ")) for i, t in enumerate(texts)]
+            firsts = [b""] * len(split)
+        wanted = set().union(*(chunks for _, chunks in split))
         new = wanted - self.chunks.keys()
         if len(self.chunks) + len(new) > CACHED:
             self.chunks.clear()
             new = wanted
         if new:
             self._learn(list(new))
-        firsts = self._plainly([chunks[0] for _, chunks in split])
         for (i, chunks), first in zip(split, firsts):
-            out[i] = first + b"".join(map(self.chunks.__getitem__, chunks[1:]))
+            out[i] = first + b"".join(map(self.chunks.__getitem__, chunks))
         return out
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:

@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import Counter
 
@@ -13,15 +14,21 @@ from faultlens.llm.tokens import BLOCK, encoder
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, length string, rank int"
 ODD = ["", " ", "a  b", "word's it's 's", "x\n\n y", "foo.bar, baz!!qux ", "<|endoftext|> hi<|endoftext|>",
        "中文   abc", "tab\tb \t c", "\x1cabc\x1d d", "ÉÀ ŒUVRE İx ẞ", "a | b||c | d", "AB12 cd.ef",
-       "  lead", "trail  ", "don't CAN'T we'LL", "a​b c", "é café.", "x 　 y", "\x00 a\x00b"]
+       "  lead", "trail  ", "don't CAN'T we'LL", "a​b c", "é café.", "x 　 y", "\x00 a\x00b",
+       "of%%% a### b*** c&&& (d) [e] f_g h_ \\i j\\ k|l m| n'o p' q.*** A!!\nB?? c", "ΑΣ ΣΑΣ Σ"]
 
 
-def plain_ids(name, text):
+@functools.cache
+def plain_tokenizer(name):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary(name))
     tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text, add_special_tokens=False).ids
+    return tokenizer
+
+
+def plain_ids(name, text):
+    return plain_tokenizer(name).encode(text, add_special_tokens=False).ids
 
 
 def docs_of(spark, texts, ids=None):
@@ -39,7 +46,7 @@ def test_encoder_equals_the_library(name):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="aZé ñ.,!'|\n\t　 中1 ", max_size=30), max_size=6))
+@given(st.lists(st.text(alphabet="aZéΣ%_* ñ.,!'|\n\t　 中1 ", max_size=30), max_size=6))
 def test_encoder_on_random_texts(texts):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         for text, ids in zip(texts, encoder(vocabulary(name)).encode_many(texts)):
