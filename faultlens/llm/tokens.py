@@ -14,6 +14,8 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode white space, as the vocabularies' patterns see it, and letters that
 #: fold and compose one by one (fixed values).
@@ -30,6 +32,9 @@ CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 #: Where white space is more than single blanks between chunks.
 UNEVEN = re.compile(f" [{WHITE}]")
 
+#: A sign that is a piece of its own, in vocabularies that drop white space.
+LONE = re.compile(f"(?<=[{LETTERS}])([.,])(?= )")
+
 #: Entries of the cache, and characters that are cut into chunks at a time.
 CACHED, BLOCK = 600_000, 1 << 20
 
@@ -112,29 +117,55 @@ class Encoder:
         rest = [c for c in chunks if c not in self.chunks]
         self.chunks.update(zip(rest, self._plainly([" " + c for c in rest])))
 
-    def _block(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that are short together. A chunk stands for the blank before it, too."""
-        out: list[bytes | None] = [None] * len(texts)
-        if self.blank:
-            uneven = [i for i, t in enumerate(texts) if UNEVEN.search(t)]
-            for i, ids in zip(uneven, self._plainly([texts[i] for i in uneven])):
-                out[i] = ids
-            split = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
-            firsts = self._plainly([chunks.pop(0) for _, chunks in split])
-        else:
-            split = [(i, _folded(t).split(" ")) for i, t in enumerate(texts)]
-            firsts = [b""] * len(split)
-        wanted = set().union(*(chunks for _, chunks in split))
-        new = wanted - self.chunks.keys()
+    def _known(self, chunks: set[str]) -> None:
+        """See to it that the chunks are in the cache."""
+        new = chunks - self.chunks.keys()
         if len(self.chunks) + len(new) > CACHED:
             self.chunks.clear()
-            new = wanted
+            new = chunks
         if new:
             self._learn(list(new))
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are short together."""
+        if not texts:
+            return []
+        return self._with_blanks(texts) if self.blank else self._without_blanks(texts)
+
+    def _with_blanks(self, texts: list[str]) -> list[bytes]:
+        """A chunk stands for the blank before it, too."""
+        out: list[bytes | None] = [None] * len(texts)
+        uneven = [i for i, t in enumerate(texts) if UNEVEN.search(t)]
+        for i, ids in zip(uneven, self._plainly([texts[i] for i in uneven])):
+            out[i] = ids
+        split = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
+        firsts = self._plainly([chunks.pop(0) for _, chunks in split])
+        self._known(set().union(*(chunks for _, chunks in split)))
         for (i, chunks), first in zip(split, firsts):
             out[i] = first + b"".join(map(self.chunks.__getitem__, chunks))
         return out
 
+    def _without_blanks(self, texts: list[str]) -> list[bytes]:
+        """White space only parts words here, so lines and single signs are parted, too.
+
+        Each distinct word is looked up once; the ids of all words are then gathered.
+        """
+        even = [LONE.sub(r" \1", _folded(t).replace("\n", " ")) for t in texts]
+        split = pc.split_pattern(pa.array(even, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._known(set(words))
+        ids = [self.chunks[word] for word in words]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        n = lengths[at]
+        ends = np.cumsum(n)
+        place = np.repeat(starts[at] - (ends - n), n) + np.arange(n.sum())
+        raw = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+        cuts = (4 * np.concatenate(([0], ends))[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text in turn; a long text is encoded block by block."""
         held, size = [], 0
