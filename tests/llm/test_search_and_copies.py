@@ -197,3 +197,28 @@ def test_near_pairs_equal_brute_force(spark):
     expected = {frozenset((a, b)): spotsigs.jaccard(sets[a], sets[b]) for a in sets for b in sets
                 if a < b and spotsigs.jaccard(sets[a], sets[b]) >= 0.8}
     assert found == pytest.approx(expected) and found
+
+
+@pytest.mark.parametrize("least_hot", [1, 1000])
+def test_components_of_stars_and_chains(spark, monkeypatch, least_hot):
+    """Hubs joined by broadcast and by shuffle give what a plain union of sets gives."""
+    from faultlens.llm import components as module
+
+    monkeypatch.setattr(module, "LEAST_HOT", least_hot)
+    rng = np.random.default_rng(3)
+    links = [(0, i) for i in range(100, 140)] + [(900, i) for i in range(200, 240)]
+    links += [(i, i + 1) for i in range(300, 360)] + [(7, 7), (139, 400), (400, 139)]
+    links += [tuple(x) for x in rng.integers(500, 800, (120, 2)).tolist()]
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    table = spark.createDataFrame(links, "a long, b long")
+    found = {r["node"]: r["root"] for r in module.components(table).collect()}
+    assert found == {x: find(x) for x in root if find(x) != x}
