@@ -1,9 +1,10 @@
 """Rules as Catalyst expressions: one narrow pass over the files, no shuffle.
 
 Per file the text views are built once, names are lifted out per shape, and
-every group of rules sets one bit of a ``bigint``. Tiers, flags and library
-names are then read off the bits. Rows are routed by ``CASE language``, so a
-single scan serves all languages and only the row's own rules run.
+every group of rules sets one bit of a ``bigint``, or of several bigints where a
+language has many groups. Tiers, flags and library names are then read off the
+bits. Rows are routed by ``CASE language``, so a single scan serves all languages
+and only the row's own rules run.
 
 The few hundred patterns are written as SQL text, one expression per step:
 the driver hands Catalyst a handful of strings instead of thousands of calls.
@@ -25,7 +26,7 @@ from faultlens.functions.python_source import python_facts
 from faultlens.functions.text import sql_text
 
 VIEWS = ("raw", "lower", "bare", "code")
-_MAX_BITS = 62
+_WORD_BITS = 62
 _NO_NAMES = "CAST(array() AS array<string>)"
 
 # How an import path is written, as the library detectors read it: per line,
@@ -83,8 +84,6 @@ def _bits(predicates: list[str]) -> str:
     Folding an array, rather than chaining ORs, keeps hundreds of patterns out
     of one generated method, which would outgrow the JVM's method size limit.
     """
-    if len(predicates) > _MAX_BITS:
-        raise ValueError(f"{len(predicates)} rule groups in one language; at most {_MAX_BITS}")
     if not predicates:
         return "0L"
     each = ", ".join(f"CASE WHEN {p} THEN {1 << i}L ELSE 0L END" for i, p in enumerate(predicates))
@@ -168,16 +167,31 @@ class _Compiled:
             tests.append(f"({contains(cover)} AND {either})" if cover else either)
         return "(" + " OR ".join(tests) + ")"
 
+    def words(self) -> int:
+        """How many bigints the bits of the groups take."""
+        return -(-len(self.groups) // _WORD_BITS)
+
     def mask(self, wanted) -> int:
+        """The groups wanted, over all words."""
         return sum(1 << i for i, group in enumerate(self.groups) if wanted(group[0]))
 
-    def gated(self, bits: str) -> str:
+    def gated(self, words: list[str]) -> list[str]:
         """Dependent rules lose their bit where no opening rule is set."""
+        out = list(words)
         for gate in sorted({g[0].requires for g in self.groups if g[0].requires}):
             dependent = self.mask(lambda r, g=gate: r.requires == g)
             opening = self.mask(lambda r, g=gate: not r.requires and r.rule_id.startswith(g))
-            bits = f"CASE WHEN {bits} & {opening}L = 0L THEN {bits} & {~dependent}L ELSE {bits} END"
-        return bits
+            closed = " AND ".join(
+                f"{word} & {mask}L = 0L" for word, mask in zip(words, _split(opening, len(words)))
+                if mask) or "true"
+            out = [f"CASE WHEN {closed} THEN {bits} & {~mask}L ELSE {bits} END" if mask else bits
+                   for bits, mask in zip(out, _split(dependent, len(words)))]
+        return out
+
+
+def _split(mask: int, words: int) -> list[int]:
+    """A mask word by word, the lowest first."""
+    return [mask >> _WORD_BITS * w & (1 << _WORD_BITS) - 1 for w in range(words)]
 
 
 def _any_bit(bits: str, masks: dict[str, int]) -> str:
@@ -186,6 +200,14 @@ def _any_bit(bits: str, masks: dict[str, int]) -> str:
     return f"({bits} & {_case(masks, '0L')} <> 0L)" if masks else "false"
 
 
+def _any_word(words: list[str], masks: dict[str, int]) -> str:
+    """``_any_bit`` over several words."""
+    split = {name: _split(mask, len(words)) for name, mask in masks.items()}
+    tests = [_any_bit(word, {name: parts[w] for name, parts in split.items()})
+             for w, word in enumerate(words)]
+    return "(" + (" OR ".join(t for t in tests if t != "false") or "false") + ")"
+
+
 def _names_of(bits: str, names: dict[str, list[str]]) -> str:
     """Sorted distinct names whose bit is set."""
     own = _case({
@@ -357,7 +379,9 @@ def classify_files(
     out = out.selectExpr("*", f"{_case(paths, 'CAST(NULL AS string)')} AS _import_paths")
 
     # 3. One bit per rule group and per catalog row.
-    signal_bits, library_bits, http_bits = {}, {}, {}
+    words = [f"_signals_{w}" for w in range(max([c.words() for c in compiled.values()], default=0))]
+    signal_bits: list[dict[str, str]] = [{} for _ in words]
+    library_bits, http_bits = {}, {}
     library_names: dict[str, list[str]] = {}
     http_names: dict[str, list[str]] = {}
     for name in languages:
@@ -366,8 +390,8 @@ def classify_files(
             predicates = [
                 "_facts.has_try" if group[0].rule_id == "python.try" else predicate
                 for group, predicate in zip(compiled[name].groups, predicates)]
-        if predicates:
-            signal_bits[name] = _bits(predicates)
+        for w in range(compiled[name].words()):
+            signal_bits[w][name] = _bits(predicates[w * _WORD_BITS:(w + 1) * _WORD_BITS])
         if resilience[name]:
             builders = [b for b in resilience_libraries.BUILDER_LIBRARIES if b[0] == name]
             lines = _slot(IMPORT_SHAPES[name][0]) if len(IMPORT_SHAPES[name]) == 1 else (
@@ -381,20 +405,22 @@ def classify_files(
     out = out.selectExpr(
         *(f"`{c}`" for c in keep),
         f"CASE WHEN {parse_ok} THEN 'ok' ELSE 'failed' END AS parse_status",
-        f"coalesce({_case(signal_bits, '0L')}, 0L) AS _signals",
+        *(f"coalesce({_case(bits, '0L')}, 0L) AS {word}" for word, bits in zip(words, signal_bits)),
         f"coalesce({_case(library_bits, '0L')}, 0L) AS _libraries",
         f"coalesce({_case(http_bits, '0L')}, 0L) AS _http",
     )
     # A filter on a label must not be pushed below this point, where it would
     # repeat every pattern. Filters do not move through a generated row.
-    facts = ["parse_status", "_signals", "_libraries", "_http"]
+    facts = ["parse_status", *words, "_libraries", "_http"]
     out = out.select(*keep, F.inline(F.array(F.struct(*facts))))
 
     # 4. Read tiers, flags and names off the bits.
-    gates = {name: compiled[name].gated("_signals") for name in languages}
-    gates = {name: sql for name, sql in gates.items() if sql != "_signals"}
-    if gates:
-        out = out.withColumn("_signals", F.expr(_case(gates, "_signals")))
+    gated = {name: compiled[name].gated(words) for name in languages}
+    gates = {word: {name: sqls[w] for name, sqls in gated.items() if sqls[w] != word}
+             for w, word in enumerate(words)}
+    if any(gates.values()):
+        out = out.withColumns({
+            word: F.expr(_case(by_name, word)) for word, by_name in gates.items() if by_name})
 
     def rule_mask(wanted) -> dict[str, int]:
         return {name: compiled[name].mask(wanted) for name in languages}
@@ -411,15 +437,15 @@ def classify_files(
         by_library = library_mask(lambda row, f=flag: f in row.flags)
         if any(by_rule.values()) or any(by_library.values()):
             flags.append(
-                f"CASE WHEN {_any_bit('_signals', by_rule)} OR "
+                f"CASE WHEN {_any_word(words, by_rule)} OR "
                 f"{_any_bit('_libraries', by_library)} THEN {sql_text(flag)} END")
     found = f"array_compact(array({', '.join(flags)}))" if flags else _NO_NAMES
     # Importing a resilience library is itself an advanced signal.
-    advanced = (f"{_any_bit('_signals', rule_mask(lambda r: r.tier == 'advanced'))} OR "
+    advanced = (f"{_any_word(words, rule_mask(lambda r: r.tier == 'advanced'))} OR "
                 f"{_any_bit('_libraries', library_mask(lambda _: True))}")
     out = out.selectExpr(
         *(f"`{c}`" for c in keep), "parse_status",
-        f"{_any_bit('_signals', rule_mask(lambda r: r.tier == 'basic'))} AS basic",
+        f"{_any_word(words, rule_mask(lambda r: r.tier == 'basic'))} AS basic",
         f"({advanced}) AS advanced",
         f"{found} AS flags",
         f"{_names_of('_http', http_names)} AS http_libraries",

@@ -287,3 +287,23 @@ def test_long_literals_do_not_overflow_the_stack(spark):
             ("swift", "firstly " + body), ("go", "defer x() " + body)]
     out = classify_files(files_of(spark, rows)).orderBy("id").collect()
     assert [r["label"] for r in out] == ["Advanced", "Advanced", "Advanced", "None", "Basic"]
+
+
+def test_any_number_of_rule_groups(spark):
+    """200 groups take several bigints; a gate opens and closes rules of another one."""
+    rules = [Rule("gate.open", "lua", "raw", "open_sesame", "basic", flags=("gate",))]
+    rules += [Rule(f"r{i}", "lua", "raw", f"word_{i}_", "basic", flags=(f"flag_{i}",))
+              for i in range(198)]
+    rules.append(Rule("late", "lua", "raw", "treasure", "advanced", flags=("late",),
+                      requires="gate."))
+    files = spark.createDataFrame([
+        ("a", "lua", "word_0_ word_61_ word_62_ word_150_ treasure"),
+        ("b", "lua", "open_sesame treasure word_197_"), ("c", "lua", "")],
+        "path string, language string, content string")
+    out = classify_files(files, languages=("lua",), rules=rules, shapes=[], libraries=())
+    found = {r["path"]: (r["label"], sorted(r["flags"])) for r in out.collect()}
+    assert found == {
+        "a": ("Basic", ["flag_0", "flag_150", "flag_61", "flag_62"]),
+        "b": ("Mixed", ["flag_197", "gate", "late"]),
+        "c": ("None", []),
+    }
