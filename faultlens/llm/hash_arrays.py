@@ -57,14 +57,15 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.cumsum(out[0], dtype=np.uint64), out[1:]
 
 
-def summed(hashes: np.ndarray, columns: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct hashes in order, with the sums of their rows."""
+def summed(hashes: np.ndarray, columns: Iterable[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct hashes in order, with the sums of their rows; floats are added as long ones."""
     if not len(hashes):
         return hashes, list(columns)
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
     starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    return hashes[starts], [np.add.reduceat(c[order], starts) for c in columns]
+    return hashes[starts], [
+        np.add.reduceat(c[order], starts, dtype="<f8" if c.dtype.kind == "f" else c.dtype) for c in columns]
 
 
 def store(folder: str, name: str, shard: int, arrays: Mapping[str, np.ndarray]) -> None:
@@ -79,7 +80,7 @@ def store(folder: str, name: str, shard: int, arrays: Mapping[str, np.ndarray])
         system.move(draft, f"{path}/{name}-{shard}-{key}")
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=1 << 15)
 def mapped(folder: str, name: str, shard: int, key: str, kind: str) -> np.ndarray:
     """An array of a shard, mapped into memory; empty if nothing was stored.
 
@@ -117,6 +118,17 @@ def find(
     return out
 
 
+def holds(folder: str, name: str, shards: int, hashes: np.ndarray) -> np.ndarray:
+    """Which of sorted ``hashes`` are stored."""
+    out = np.zeros(len(hashes), bool)
+    for shard, at in split(hashes, shards):
+        stored = mapped(folder, name, shard, "hash", "<u8")
+        if len(stored):
+            place = np.minimum(np.searchsorted(stored, hashes[at]), len(stored) - 1)
+            out[at] = stored[place] == hashes[at]
+    return out
+
+
 def merged(rows: Iterable[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """(shard, hashes, columns) of the pieces of shards that come one after another.
 
@@ -125,7 +137,7 @@ def merged(rows: Iterable[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray,
     """
     def total(held):
         return summed(np.concatenate([h for h, _ in held]),
-                      [np.concatenate(c) for c in zip(*(c for _, c in held))])
+                      map(np.concatenate, zip(*(c for _, c in held))))
 
     shard, held, size, least = None, [], 0, 0
     for of, blob in rows:

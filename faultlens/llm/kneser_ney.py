@@ -1,28 +1,29 @@
-"""Interpolated modified Kneser-Ney language model of word pairs.
+"""Interpolated modified Kneser-Ney language model of any order.
 
 Every job runs over the whole training texts:
 
-1. Pairs of following words are hashed and counted, and stored as sorted hash
+1. The grams of the highest order are hashed and counted, and stored as sorted hash
    arrays with their counts; the counts of counts give the discounts.
-2. Each word's totals are summed with the pairs' counts looked up in those arrays:
-   its occurrences, what its discounts free as a context, and in how many different
-   pairs it comes second (an occurrence of a pair that occurs n times adds 1/n). The
-   words are stored in the same way.
+2. Order by order downwards, each shorter gram's totals are summed with the longer
+   grams' counts looked up in those arrays: its occurrences, the sum of what follows it
+   as a context, what the discounts free there, and in how many different longer grams
+   it comes last, its continuation count (an occurrence of a longer gram that occurs
+   n times adds 1/n). They are stored in the same way.
 3. Texts are scored by workers that map the arrays into memory.
 
-The model's order is two, since the arrays of pairs alone are about as large as the
-texts; what it stores and gathers grows with the corpus, in shards.
+A text stands after as many starts as a context is long. What the model stores and
+gathers grows with the corpus, in shards.
 
 Results in special cases: a null or empty text is its end alone; an unknown word has
 the share that is left for words never seen; a context never seen leaves the
-distribution of second words; without training texts every token has probability 1;
+distribution of the next shorter one; without training texts every token has probability 1;
 rows that repeat a doc_id count each; a null doc_id counts as empty text in the
 choice of training rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -34,7 +35,10 @@ from faultlens.llm import hash_arrays
 from faultlens.llm.storage import shared_folder
 from faultlens.llm.words import FACTOR, IS_SPACE, Block, Hasher, mix, runs, text_blocks
 
-#: Bytes of training text for each shard, pairs that a worker gathers, bytes of a block.
+#: Words of the longest grams of the registered query.
+ORDER = 3
+
+#: Bytes of training text for each shard, grams that a worker gathers, bytes of a block.
 SHARD, GATHERED, BLOCK = 1 << 25, 1 << 22, 1 << 21
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,9 +46,9 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 #: Hashes of what stands before and after a text (fixed values).
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 
-PAIR = {"count": "<u1"}
-LARGE = 255  # in "count": the number is among the few large ones, beside
-WORD = {"token": "<u8", "context": "<u8", "second": "<u8", "freed": "<f8"}
+LARGE = 255  # in a column of counts: the number is among the few large ones, beside
+#: Columns of counts of the grams below the highest order, which have "token" alone.
+COUNTS = ("token", "context", "second")
 
 
 class Discounts(NamedTuple):
@@ -74,70 +78,99 @@ class Model(NamedTuple):
 
     folder: str
     shards: int
-    pair: Discounts
-    second: Discounts
+    order: int
+    discounts: tuple[Discounts, ...]  # of grams of one word, of two, ...
     tokens: int  # training tokens
     words: int  # distinct ones
     pairs: int  # distinct pairs
-    freed: float  # what the discounts of second words free, of 1
+    freed: float  # what the discounts of single words free, of 1
 
 
-def _sequences(block: Block, last: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token, row) of each token of a block, ends included.
+def _sequences(block: Block, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's words with starts and ends, the places of its tokens, and their rows.
 
-    ``last``: the token before the block, where its first row goes on from another.
+    ``last``: the words before the block, where its first row goes on from another;
+    as many as there are starts before a row.
     """
     data = LOWER[block.data]
     starts, ends = runs(~IS_SPACE[data], block.bounds[1:-1])
     row = np.searchsorted(block.bounds, starts, side="right") - 1
-    n = len(block.bounds) - 1
-    flat = np.empty(len(starts) + 2 * n, np.uint64)
-    of = np.empty(len(flat), np.int64)
-    first = np.searchsorted(row, np.arange(n)) + 2 * np.arange(n)
-    final = np.searchsorted(row, np.arange(n), side="right") + 2 * np.arange(n) + 1
-    place = np.arange(len(starts)) + 2 * row + 1
-    flat[first], flat[final], flat[place] = START, END, Hasher(data)(starts, ends)
-    of[first], of[final], of[place] = np.arange(n), np.arange(n), row
+    n, before = len(block.bounds) - 1, len(last)
+    flat = np.full(len(starts) + (before + 1) * n, START)
+    of = np.full(len(flat), -1)
+    final = np.searchsorted(row, np.arange(n), side="right") + (before + 1) * np.arange(n) + before
+    place = np.arange(len(starts)) + (before + 1) * row + before
+    flat[final], flat[place] = END, Hasher(data)(starts, ends)
+    of[final], of[place] = np.arange(n), row
     if not block.begins:
-        flat[0] = last
+        flat[:before] = last
     if not block.ends:
         flat, of = flat[:-1], of[:-1]
-    token = flat != START
-    token[0] = False  # a start, or the token before
-    at = np.flatnonzero(token)
-    return flat[at - 1], flat[at], of[at]
-
-
-def _tokens(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(context, token, row) block by block."""
-    last = START
-    for block in text_blocks(texts, BLOCK):
-        context, token, row = _sequences(block, last)
-        if len(token):
-            last = token[-1]
-        elif block.begins:
-            last = START
-        yield context, token, row + block.first
-
+    at = np.flatnonzero(of >= 0)
+    return flat, at, of[at]
 
-def _pair_hash(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(context * np.uint64(FACTOR) + token)
 
+def _longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(grams * np.uint64(FACTOR) + words)
 
-def _pair_counts(folder: str, shards: int, hashes: np.ndarray) -> np.ndarray:
-    """Counts of sorted distinct pairs."""
-    counts = hash_arrays.find(folder, "pair", shards, hashes, PAIR)["count"].astype(np.int64)
-    large = np.flatnonzero(counts == LARGE)
-    if len(large):
-        counts[large] = hash_arrays.find(folder, "large", shards, hashes[large], {"count": "<u8"})["count"]
-    return counts
 
-
-def _pieces(gathered: Iterator[tuple[np.ndarray, list[np.ndarray]]], shards: int):
-    """Rows (shard, piece) of sums; ``gathered`` is summed up to GATHERED rows at a time."""
+def _tokens(texts: pa.Array, order: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """(grams, contexts, row) block by block: for each token, the hashes of the grams of
+    one word, of two, ... that end with it, and of those that end before it."""
+    last = np.full(order - 1, START)
+    for block in text_blocks(texts, BLOCK):
+        flat, at, row = _sequences(block, last)
+        last = flat[len(flat) - order + 1:]
+        grams, contexts, hashes = [flat[at]], [], flat
+        for _ in range(order - 1):
+            contexts.append(hashes[at - 1])
+            hashes = np.concatenate((hashes[:1], _longer(hashes[:-1], flat[1:])))
+            grams.append(hashes[at])
+        yield grams, contexts, row + block.first
+
+
+def _store(folder: str, name: str, shard: int, hashes: np.ndarray,
+           counts: dict[str, np.ndarray], **beside: np.ndarray) -> None:
+    """Grams that occur once are stored as their hash alone, since all their counts are 1."""
+    once = counts["token"] == 1
+    hash_arrays.store(folder, f"{name}-once", shard, {"hash": hashes[once]})
+    hashes = hashes[~once]
+    counts = {key: c[~once] for key, c in counts.items()}
+    hash_arrays.store(folder, name, shard, {
+        "hash": hashes, **{k: np.minimum(c, LARGE).astype("<u1") for k, c in counts.items()},
+        **{k: c[~once] for k, c in beside.items()}})
+    for key, c in counts.items():
+        large = np.flatnonzero(c >= LARGE)
+        hash_arrays.store(folder, f"{name}-{key}", shard, {
+            "hash": hashes[large], "count": c[large].astype("<u8")})
+
+
+def _counts(folder: str, name: str, shards: int, hashes: np.ndarray, keys: tuple[str, ...],
+            freed: float | None = None) -> dict[str, np.ndarray]:
+    """Columns of sorted distinct grams; ``freed``: what a gram that occurs once has there."""
+    found = hash_arrays.find(folder, name, shards, hashes, {
+        **dict.fromkeys(keys, "<u1"), **({} if freed is None else {"freed": "<f8"})})
+    once = hash_arrays.holds(folder, f"{name}-once", shards, hashes)
+    for key in keys:
+        counts = found[key] = found[key].astype(np.int64)
+        large = np.flatnonzero(counts == LARGE)
+        if len(large):
+            counts[large] = hash_arrays.find(
+                folder, f"{name}-{key}", shards, hashes[large], {"count": "<u8"})["count"]
+        counts[once] = 1
+    if freed is not None:
+        found["freed"][once] = freed
+    return found
+
+
+def _pieces(gathered: Iterator[tuple[np.ndarray, list[np.ndarray]]], shards: int, kinds: Sequence[str],
+            most: int):
+    """Rows (shard, piece) of sums of columns of ``kinds``; ``gathered`` is summed up to
+    ``most`` rows at a time."""
     def rows(held):
         hashes, columns = hash_arrays.summed(
-            np.concatenate([h for h, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held))])
+            np.concatenate([h for h, _ in held]), map(np.concatenate, zip(*(c for _, c in held))))
+        columns = [c.astype(kind, copy=False) for c, kind in zip(columns, kinds)]
         for shard, at in hash_arrays.split(hashes, shards):
             yield pa.record_batch(
                 [pa.array([shard], pa.int32()),
@@ -148,7 +181,7 @@ def _pieces(gathered: Iterator[tuple[np.ndarray, list[np.ndarray]]], shards: int
     for hashes, columns in gathered:
         held.append((hashes, columns))
         size += len(hashes)
-        if size > GATHERED:
+        if size > most:
             yield from rows(held)
             held, size = [], 0
     if size:
@@ -176,93 +209,124 @@ def _totals(rows: list[list[int]]) -> pa.RecordBatch:
                            names=["n1", "n2", "n3", "n4", "kinds", "total"])
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _sum(totals: DataFrame) -> list[int]:
-    row = totals.agg(*(F.sum(c) for c in totals.columns)).first()
+    """The sums of the totals. The pieces behind them are stored by then, so that their
+    shuffle's files go at once, not when the driver's memory is next collected."""
+    conf = totals.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        row = totals.agg(*(F.sum(c) for c in totals.columns)).first()
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return [x or 0 for x in row]
 
 
-def count(docs: DataFrame) -> Model:
-    """The model of the texts of ``docs(text)``."""
+def count(docs: DataFrame, order: int = 2) -> Model:
+    """The model of the texts of ``docs(text)`` with grams of up to ``order`` (2 or more) words."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = docs.sparkSession
-    folder = shared_folder(spark, "word-pairs")
+    folder = shared_folder(spark, "grams")
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = size // SHARD + 1
 
-    def pairs(batches):
+    def longest(batches):
         def gathered():
             for batch in batches:
-                for context, token, _ in _tokens(batch.column(0)):
-                    yield (found := np.unique(_pair_hash(context, token), return_counts=True))[0], [
-                        found[1].astype(np.uint32)]
+                for grams, _, _ in _tokens(batch.column(0), order):
+                    yield (found := np.unique(grams[-1], return_counts=True))[0], [found[1].astype(np.uint32)]
 
-        yield from _pieces(gathered(), shards)
+        yield from _pieces(gathered(), shards, ["<u4"], GATHERED)
 
-    def store_pairs(batches):
+    def store_longest(batches):
         for shard, hashes, (counts,) in hash_arrays.merged(_shard_rows(batches)):
-            large = counts >= LARGE
-            hash_arrays.store(folder, "pair", shard, {
-                "hash": hashes, "count": np.minimum(counts, LARGE).astype("<u1")})
-            hash_arrays.store(folder, "large", shard, {
-                "hash": hashes[large], "count": counts[large].astype("<u8")})
+            _store(folder, str(order), shard, hashes, {"token": counts})
             yield _totals([[*_times(counts), len(counts), counts.sum()]])
 
     found = _sum(_by_shard(
-        texts.mapInArrow(pairs, "shard int, piece binary"), shards).mapInArrow(store_pairs, _TOTALS))
-    pair, n_pairs, tokens = discounts(*found[:4]), found[4], found[5]
-
-    def words(batches):
+        texts.mapInArrow(longest, "shard int, piece binary"), shards).mapInArrow(store_longest, _TOTALS))
+    tokens, taken = found[5], (discounts(*found[:4]),)
+    for length in range(order - 1, 0, -1):
+        found = _sum(_count_below(texts, folder, shards, order, length, taken[0]))
+        taken = (discounts(*found[:4]), *taken)
+    n1, n2, _, _, n_words, pairs = found
+    freed = (taken[0].one * n1 + taken[0].two * n2 + taken[0].more * (n_words - n1 - n2)) / max(1, pairs)
+    return Model(folder, shards, order, taken, tokens, n_words, pairs, freed)
+
+
+def _count_below(
+    texts: DataFrame, folder: str, shards: int, order: int, length: int, above: Discounts,
+) -> DataFrame:
+    """Store the grams of ``length`` words, from those of one more; totals of continuation counts."""
+    longer = length + 1
+    # Shares travel as short floats where grams are many: a sum of up to 2**23 is exact when rounded.
+    share = "<f4" if length > 1 else "<f8"
+
+    def shorter(batches):
         def gathered():
             for batch in batches:
-                for context, token, _ in _tokens(batch.column(0)):
-                    hashes, at = np.unique(_pair_hash(context, token), return_inverse=True)
-                    n = _pair_counts(folder, shards, hashes)[at]
-                    kinds, place = np.unique(np.concatenate((context, token)), return_inverse=True)
-                    first, second = place[:len(context)], place[len(context):]
+                for grams, contexts, _ in _tokens(batch.column(0), order):
+                    hashes, at = np.unique(grams[length], return_inverse=True)
+                    found = _counts(folder, str(longer), shards, hashes,
+                                    ("token",) if longer == order else ("token", "second"))
+                    each = (1 / found["token"])[at]  # an occurrence's share of its gram
+                    n = found["token" if longer == order else "second"][at]
+                    kinds, place = np.unique(
+                        np.concatenate((contexts[length - 1], grams[length - 1])), return_inverse=True)
+                    first, second = place[:len(n)], place[len(n):]
                     k = len(kinds)
                     yield kinds, [
                         np.bincount(second, minlength=k).astype(np.uint32),
-                        np.bincount(first, minlength=k).astype(np.uint32),
-                        np.bincount(first, n == 1, k).astype(np.uint32),
-                        np.bincount(first, n == 2, k).astype(np.uint32),
-                        np.bincount(first, (n > 2) / n, k), np.bincount(second, 1 / n, k)]
-
-        yield from _pieces(gathered(), shards)
-
-    def store_words(batches):
-        for shard, hashes, (token, context, ones, twos, more, second) in hash_arrays.merged(_shard_rows(batches)):
-            freed = pair.one * ones + pair.two * np.rint(twos / 2) + pair.more * np.rint(more)
-            second = np.rint(second).astype("<u8")
-            hash_arrays.store(folder, "word", shard, {
-                "hash": hashes, "token": token.astype("<u8"), "context": context.astype("<u8"),
-                "second": second, "freed": freed / np.maximum(context, 1)})
+                        np.bincount(first, n * each, k), np.bincount(first, (n == 1) * each, k),
+                        np.bincount(first, (n == 2) * each, k), np.bincount(first, (n > 2) * each, k),
+                        np.bincount(second, each, k)]
+
+        yield from _pieces(gathered(), shards, ["<u4", *[share] * 5], GATHERED // 2)
+
+    def store_shorter(batches):
+        for shard, hashes, (token, *sums) in hash_arrays.merged(_shard_rows(batches)):
+            context, ones, twos, more, second = map(np.rint, sums)
+            freed = above.one * ones + above.two * twos + above.more * more
+            second = second.astype(np.int64)
+            _store(folder, str(length), shard, hashes,
+                   {"token": token, "context": context.astype(np.int64), "second": second},
+                   freed=(freed / np.maximum(context, 1)).astype("<f8"))
             yield _totals([[*_times(second), (token > 0).sum(), second.sum()]])
 
-    of_words = _by_shard(
-        texts.mapInArrow(words, "shard int, piece binary"), shards).mapInArrow(store_words, _TOTALS)
-    n1, n2, n3, n4, n_words, seconds = _sum(of_words)
-    second = discounts(n1, n2, n3, n4)
-    more = n_words - n1 - n2
-    freed = (second.one * n1 + second.two * n2 + second.more * more) / max(1, seconds)
-    return Model(folder, shards, pair, second, tokens, n_words, n_pairs, freed)
+    return _by_shard(
+        texts.mapInArrow(shorter, "shard int, piece binary"), shards).mapInArrow(store_shorter, _TOTALS)
 
 
-def token_scores(model: Model, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_scores(
+    model: Model, grams: list[np.ndarray], contexts: list[np.ndarray],
+) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each token after its context, and its count in training."""
-    pair_hashes, pair_at = np.unique(_pair_hash(context, token), return_inverse=True)
-    counts = _pair_counts(model.folder, model.shards, pair_hashes)
-    discounted = (counts - model.pair.of(counts))[pair_at]
-    kinds, at = np.unique(np.concatenate((context, token)), return_inverse=True)
-    found = hash_arrays.find(model.folder, "word", model.shards, kinds, WORD)
-    second = found["second"].astype(np.int64)
-    alone = ((second - model.second.of(second)) / max(1, model.pairs)
-             + model.freed / (model.words + 1))
-    u, w = at[:len(context)], at[len(context):]
-    total = found["context"][u].astype(float)
-    seen = total > 0
-    p = np.where(
-        seen, discounted / np.maximum(total, 1) + found["freed"][u] * alone[w], alone[w])
-    return p, found["token"][w].astype(np.int64)
+    for length in range(1, model.order + 1):
+        if length > 1:
+            total, left = found["context"][u], found["freed"][u]
+        if length < model.order:
+            kinds, at = np.unique(
+                np.concatenate((contexts[length - 1], grams[length - 1])), return_inverse=True)
+            found = _counts(model.folder, str(length), model.shards, kinds, COUNTS,
+                            model.discounts[length].one)
+            u, w = at[:len(at) // 2], at[len(at) // 2:]
+            n = found["second"]
+        else:
+            kinds, w = np.unique(grams[-1], return_inverse=True)
+            n = _counts(model.folder, str(length), model.shards, kinds, ("token",))["token"]
+        n = (n - model.discounts[length - 1].of(n))[w]
+        if length == 1:
+            known = found["token"][w]
+            p = n / max(1, model.pairs) + model.freed / (model.words + 1)
+        else:
+            p = np.where(total > 0, n / np.maximum(total, 1) + left * p, p)
+    return p, known
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
@@ -271,11 +335,11 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             sums = [np.zeros(n) for _ in range(4)]
-            for context, token, row in _tokens(batch.column(2)):
+            for grams, contexts, row in _tokens(batch.column(2), model.order):
                 if model.tokens:
-                    p, known = token_scores(model, context, token)
+                    p, known = token_scores(model, grams, contexts)
                 else:
-                    p, known = np.ones(len(token)), np.zeros(len(token), np.int64)
+                    p, known = np.ones(len(row)), np.zeros(len(row), np.int64)
                 base = np.log10((known + 1) / (model.tokens + model.words + 1))
                 for total, values in zip(sums, (np.ones(len(row)), known > 0, base, np.log10(p))):
                     total += np.bincount(row, values, n)

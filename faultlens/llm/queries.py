@@ -69,7 +69,8 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 7) == 2
-    return kneser_ney.score(docs, kneser_ney.count(docs.filter(~held_out)), held_out)
+    model = kneser_ney.count(docs.filter(~held_out), order=kneser_ney.ORDER)
+    return kneser_ney.score(docs, model, held_out)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import functools
 import math
 import os
 import random
@@ -177,6 +178,62 @@ def test_scores_equal_the_definition(spark, monkeypatch):
         assert r["score"] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(seq, seq[1:])))
 
 
+def slow_model_of_order(texts, order):
+    """Probabilities by definition: continuation counts below the highest order."""
+    counts = {order: Counter()}
+    for text in texts:
+        seq = ["<s>"] * (order - 1) + [*text.lower().split(), "</s>"]
+        counts[order].update(tuple(seq[i - order + 1:i + 1]) for i in range(order - 1, len(seq)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(gram[1:] for gram in counts[k + 1])
+
+    def off(k, n):
+        found = list(counts[k].values())
+        d = kneser_ney.discounts(*(found.count(j) for j in (1, 2, 3, 4)))
+        return d[min(n, 3) - 1] if n else 0
+
+    def p(gram):
+        k = len(gram)
+        after = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        lower = p(gram[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
+        if not after:
+            return lower
+        n = counts[k][gram]
+        return (n - off(k, n) + sum(off(k, m) for m in after.values()) * lower) / sum(after.values())
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_of_any_order_equal_the_definition(spark, monkeypatch, order):
+    monkeypatch.setattr(kneser_ney, "SHARD", 400)
+    monkeypatch.setattr(kneser_ney, "GATHERED", 50)
+    monkeypatch.setattr(kneser_ney, "BLOCK", 64)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(0, 25), weights=[20, 9, 5, 3, 1])) for _ in range(30)]
+    texts += ["", "A a A", "never seen a b", "a " * 300, "a b " * 40]
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(3)
+    model = kneser_ney.count(docs.filter("doc_id % 5 != 0"), order=order)
+    p = functools.cache(slow_model_of_order([t for i, t in enumerate(texts) if i % 5], order))
+    for r in kneser_ney.score(docs, model, F.col("doc_id") % 5 == 0).collect():
+        seq = ["<s>"] * (order - 1) + [*texts[r["doc_id"]].lower().split(), "</s>"]
+        grams = [tuple(seq[i - order + 1:i + 1]) for i in range(order - 1, len(seq))]
+        assert r["n_tokens"] == len(grams)
+        assert r["score"] == pytest.approx(sum(math.log10(p(g)) for g in grams))
+
+
+def test_the_query_looks_beyond_one_word(spark, monkeypatch, tmp_path):
+    rows = [(i, t, "s") for i, t in enumerate(["x a b", "y a c"] * 40)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    asked, count = [], kneser_ney.count
+    monkeypatch.setattr(kneser_ney, "count", lambda docs, **k: asked.append(m := count(docs, **k)) or m)
+    queries.op8_kneser_ney(spark, str(tmp_path)).collect()
+    assert asked[0].order >= 3
+    extra = docs_of(spark, [(1, "x a b", "s"), (2, "y a b", "s")])
+    likely, unlikely = (r["score"] for r in kneser_ney.score(extra, asked[0], F.lit(True)).orderBy("doc_id").collect())
+    assert likely > unlikely + 0.5
+
+
 def test_model_without_training_texts(spark):
     docs = docs_of(spark, [(1, "a b", "s"), (2, None, "s")])
     model = kneser_ney.count(docs.limit(0))
