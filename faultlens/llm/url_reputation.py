@@ -6,11 +6,12 @@ outcomes of pages are counted per host, and each host's rate of good pages is
 shrunk through a beta-binomial prior towards its registered domain, that towards
 the public suffix, and that towards all pages. The strength of each prior is
 estimated from the spread of the rates at that level (method of moments). A host
-is allowed if the lower posterior bound of its rate reaches the threshold.
+is blocked on evidence only: if the upper posterior bound of its rate is below the
+threshold. One with few labels has a wide interval and stays.
 
 Results in special cases: a null URL or one without ``://`` has an empty host and
 path; a host without labelled pages has the reputation of its domain, suffix or
-of all pages; without any outcome the prior is even. Rows that repeat a page_id
+of all pages; without any outcome the prior is even and nothing but rules blocks. Rows that repeat a page_id
 are judged one by one; outcomes of a page_id that repeats are counted once, as
 the worst of them. Other columns are ignored.
 """
@@ -108,10 +109,11 @@ def _strength(rates: DataFrame, keys: Sequence[str], center: str) -> DataFrame:
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, n, good, mean, bound for each host of ``hosts(host)``.
+    """host, n, good, mean, bound, upper for each host of ``hosts(host)``.
 
     ``outcomes(host, n, good)``: labelled pages and good ones among them per host.
-    ``bound`` is the mean less ``z`` posterior standard deviations.
+    ``bound`` and ``upper`` are the mean less and plus ``z`` posterior standard deviations,
+    for which the prior is worth no more pages than are labelled at the domain's other hosts.
     """
     base = (
         hosts.select("host").distinct().join(outcomes, "host", "left").na.fill(0, ["n", "good"])
@@ -131,7 +133,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     ).alias("suffix_mean"))
     domains = by_domain.join(suffixes, "suffix")
     domains = domains.join(_strength(domains, ["suffix"], "suffix_mean"), "suffix", "left").select(
-        "domain", (
+        "domain", F.col("n").alias("domain_n"), (
             (F.col("good") + F.coalesce("strength", F.lit(ROOT_STRENGTH)) * F.col("suffix_mean"))
             / (F.col("n") + F.coalesce("strength", F.lit(ROOT_STRENGTH)))).alias("domain_mean"))
     own = base.join(domains, "domain")
@@ -140,16 +142,18 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     alpha = F.col("good") + prior * F.col("domain_mean")
     weight = F.col("n") + prior
     mean = alpha / weight
+    evidence = F.col("n") + F.least(prior, F.col("domain_n") - F.col("n"))
+    away = z * F.sqrt(mean * (1 - mean) / (evidence + 1))
     return own.select(
         "host", "n", "good", mean.alias("mean"),
-        F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("bound"))
+        F.greatest(F.lit(0.0), mean - away).alias("bound"), F.least(F.lit(1.0), mean + away).alias("upper"))
 
 
 def judge(
     pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule] = RULES,
     threshold: float = 0.7, z: float = 1.645,
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's mean and bound, for each page.
+    """page_id, host, path, rule, verdict, and the host's mean and bounds, for each page.
 
     ``outcomes(page_id, good)``: labelled pages, good 0 or 1 (null: not labelled).
     """
@@ -174,6 +178,6 @@ def judge(
             "page_id", "host", "path", F.col("fit.text").alias("rule"),
             F.coalesce(
                 F.col("fit.action"),
-                F.when(F.col("bound") >= threshold, "allow").otherwise("block")).alias("verdict"),
-            "mean", "bound")
+                F.when(F.col("upper") < threshold, "block").otherwise("allow")).alias("verdict"),
+            "mean", "bound", "upper")
     )

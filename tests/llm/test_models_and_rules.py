@@ -124,6 +124,24 @@ def test_hosts_are_shrunk_and_filtered(spark):
     assert all(r["bound"] <= r["mean"] for r in found.values())
 
 
+def test_hosts_are_blocked_on_evidence_only(spark):
+    pages, outcomes = [], []
+    hosts = [(f"average{k}.a.org", 15, 5) for k in range(6)]
+    hosts += [("bad.a.org", 4, 80), ("new.a.org", 0, 0), ("new.c.com", 0, 0), ("one.b.org", 0, 1)]
+    for host, good, bad in hosts:
+        for k in range(good + bad + 1):
+            pages.append((len(pages), f"s://{host}/{k}"))
+            if k < good + bad:
+                outcomes.append((len(pages) - 1, int(k < good)))
+    page_rows = spark.createDataFrame(pages, "page_id long, url string")
+    outcome_rows = spark.createDataFrame(outcomes, "page_id long, good int")
+    found = {r["host"]: r["verdict"] for r in url_reputation.judge(page_rows, outcome_rows, rules=()).collect()}
+    assert found.pop("bad.a.org") == "block"
+    assert set(found.values()) == {"allow"}, found
+    unlabelled = url_reputation.judge(page_rows, outcome_rows.limit(0), rules=()).collect()
+    assert {r["verdict"] for r in unlabelled} == {"allow"}
+
+
 def slow_model(texts):
     """Probabilities by definition, with plain dictionaries."""
     pairs, tokens = Counter(), Counter()
