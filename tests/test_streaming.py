@@ -65,6 +65,45 @@ def test_newest_batch_wins_when_repositories_are_scanned_anew(spark, tmp_path):
     assert merged["repo2"] == 2
 
 
+def test_only_a_redelivered_file_is_replaced(spark, tmp_path):
+    drops, store, state, small = (str(tmp_path / n) for n in ("drops", "store", "state", "small"))
+
+    def deliver(frame):
+        frame.coalesce(1).write.mode("append").parquet(drops)
+        inc.start_scan(inc.new_files(spark, drops, 1), store, state, languages=("python",)).awaitTermination()
+
+    def row(path, body):
+        return ("repo0", path, ".py", "python", body, True, 10)
+
+    def frame(*rows):
+        return spark.createDataFrame(rows, inc.FILES_SCHEMA)
+
+    first = [row("a.py", BODIES[1]), row("b.py", BODIES[0]), row(None, BODIES[0])]
+    second = [row("c.py", BODIES[2]), row("b.py", BODIES[3]), row("b.py", BODIES[3]), row(None, BODIES[1])]
+    deliver(frame(*first))
+    deliver(frame(*second))
+    stand = frame(first[0], first[2], second[0], second[1], second[3])
+    expected = plain(scan_corpus(stand, languages=("python",)))
+    assert plain(inc.current_results(spark, store)) == expected
+    assert {(r["batch_id"], r["n_rows"]) for r in inc.progress(spark, store).collect()} == {(0, 1), (1, 1)}
+    inc.compact(spark, store, small)
+    assert plain(inc.current_results(spark, small)) == expected
+
+
+def test_compaction_follows_the_rule_of_reading(spark, tmp_path):
+    from faultlens.operators.rollup import partial_rollup
+    from faultlens.operators.signals import classify_files
+
+    store = str(tmp_path / "store")
+    for batch, numbers in ((0, (0, 4, 1)), (1, (4,))):
+        partial_rollup(classify_files(files(spark, numbers), languages=("python",))).write.parquet(
+            f"{store}/batch_id={batch}")
+    for merge in (False, True):
+        target = str(tmp_path / f"compacted-{merge}")
+        inc.compact(spark, store, target, merge)
+        assert plain(inc.current_results(spark, target)) == plain(inc.current_results(spark, store, merge=merge))
+
+
 def test_latest_wins_on_a_hot_key(spark):
     rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id)) AS k", "id AS v")
     got = {r["k"]: r["v"] for r in latest_wins(rows, "k", "v").collect()}
