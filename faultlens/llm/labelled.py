@@ -16,15 +16,21 @@ def training_texts(
 ) -> DataFrame:
     """text, label (0 or 1) of at most ``most`` labelled rows outside the held-out fold.
 
-    The rows are those whose ids have the smallest hashes. A doc_id with several
-    labels has the smallest; rows without a doc_id or a label teach nothing.
+    The rows are those whose ids have the smallest hashes, of the ids that ``docs`` has.
+    A doc_id with several labels has the smallest, and one with several rows is
+    learnt from the text with the smallest hash; rows without a doc_id or a label
+    teach nothing.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("text").cast("string"))
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col(label).cast("int").alias("label"))
         .filter("labelled_id is not null and label in (0, 1)")
         .filter(remainder(F.col("labelled_id"), modulus) != held_out)
         .groupBy("labelled_id").agg(F.min("label").alias("label"))
+        .join(rows.select("labelled_id").distinct(), "labelled_id", "left_semi")
         .orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("text").cast("string")).join(
-        F.broadcast(chosen), "labelled_id").select("text", "label")
+    # Rows that repeat an id are folded before the shuffle, so that a hot id sends one row per task.
+    return rows.join(F.broadcast(chosen), "labelled_id").groupBy("labelled_id").agg(
+        F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("row")
+    ).select("row.text", "row.label")

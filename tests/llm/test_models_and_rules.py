@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from faultlens.llm import factor_machine, kneser_ney, line_field, mixing, queries, url_reputation
+from faultlens.llm.labelled import training_texts
 
 SF_DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, size string, target int, score int"
@@ -277,6 +278,20 @@ def labelled(spark):
     return docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
 
 
+def test_training_rows_are_bounded_and_from_the_input(spark):
+    rows = [(i, f"text {i}", "s") for i in range(20)] + [(7, f"copy {k}", "s") for k in range(50)] + [(8, None, "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    docs = docs_of(spark, rows)
+
+    def taught(docs, most):
+        return sorted(map(tuple, training_texts(docs, labels, "toxic", 5, 9, most).collect()), key=str)
+
+    everything = taught(docs, 100)
+    assert len(everything) == 20 and taught(docs.repartition(7), 100) == everything
+    assert {t: y for t, y in everything if t and t.startswith("text")}["text 5"] == 1
+    assert len(taught(docs, 12)) == 12 and set(taught(docs, 12)) <= set(everything)
+
+
 def test_classifiers_learn_and_take_any_text(spark):
     docs, labels = labelled(spark)
     quality = line_field.scorer(line_field.fit(docs, labels))
