@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm import (
-    factor_machine, kneser_ney, line_field, mixing, packing, planes, simhash, spotsigs, topk, url_reputation,
+    factor_machine, kneser_ney, line_field, merkle, mixing, packing, pieces, planes, simhash, spotsigs, sql,
+    topk, turn_trie, url_reputation,
 )
 from faultlens.llm.labelled import remainder
 
@@ -91,10 +92,27 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "pages"), page_outcomes(_table(spark, sf_dir, "labels")))
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_exact_topk, op3_source_mix, op4_line_quality, op5_toxicity,
-        op6_token_planes, op7_spotsigs, op8_kneser_ney, op9_simhash, op10_url_reputation)
+        op6_token_planes, op7_spotsigs, op8_kneser_ney, op9_simhash, op10_url_reputation,
+        op11_turn_trie, op12_merkle_manifest, op13_piece_round_trip)
 }
 
-ORACLE = {"op3_source_mix": mixing.REPORT_SQL}
+ORACLE = {
+    "op3_source_mix": mixing.REPORT_SQL,
+    "op11_turn_trie": sql.TRIE,
+    "op12_merkle_manifest": sql.MANIFEST,
+}
