@@ -11,7 +11,8 @@ Views of the text a shape or rule reads:
 * ``raw``   - as written;
 * ``lower`` - as written, in lower case, for rules that ignore case;
 * ``bare``  - comments removed;
-* ``code``  - comments removed and string literals blanked.
+* ``code``  - comments removed and string literals blanked;
+* ``blocks`` - pairs of what stands inside what, such as ``catch>status``, see ``blocks``.
 
 Names reach a rule one per line, so ``^`` and ``$`` anchor a whole name.
 """
@@ -224,6 +225,9 @@ _rules(
      ["circuit_breaker"]),
 )
 
+#: A loop that goes on after a failure it has caught: its catch block waits or starts the next round.
+_RETRIES = "caught_loop>wait|caught_loop>again"
+
 # Java, read as written: annotations count inside comments too.
 _CALL, _OF = r"\s*\(", r"\.of\("
 
@@ -271,8 +275,8 @@ _rules(
     ("try", "code", [_word("catch", r"\s*+\("), _word("try", r"\s*+[({]")], B, ["try_catch"]),
     ("throw", "code", [_word("throw", r"\s"), ("throws", r"\)\s*+throws\s")], B),
     ("status_call", "calls", _is("statuscode", "getstatuscode"), B, ["status_check"]),
-    ("catch_status", "code", _word("catch", r"\s*+\([^)]*+\)\s*+\{[^}]*(?i:status_?code)"), None,
-     ["status_check"]),
+    ("catch_status", "blocks", "catch>status", None, ["status_check"]),
+    ("retry_loop", "blocks", _RETRIES, A, ["retry"], {"only": "fixed"}),
     ("retry_annotation", "annotations", _is("Retryable", "Retry"), A, ["retry"]),
     ("backoff_annotation", "annotations", _is("Backoff"), A, ["exponential_backoff"]),
     ("breaker_annotation", "annotations", _is("HystrixCommand", "CircuitBreaker"), A,
@@ -328,6 +332,7 @@ for _language in ("javascript", "typescript"):
         ("breaker_new", "created", _has("breaker"), A, ["circuit_breaker"]),
         ("limit_new", "created", _is("bottleneck"), A, ["rate_limiting"]),
         ("abort_new", "created", _is("abortcontroller"), A, ["timeout"]),
+        ("retry_loop", "blocks", _RETRIES, A, ["retry"], {"only": "fixed"}),
     )
 
 _rules(
@@ -377,10 +382,10 @@ _rules(
     ("err_init", "code", r"\bif\s+(?:\w+\s*,\s*)*+err\s*(?:,\s*\w+\s*)*+:?=[^=]", B,
      ["error_check"], {"stems": ("err",)}),
     ("defer", "code", _word("defer", r"\s"), B),
-    # Atomic first steps keep the search linear: a later start cannot succeed
-    # where the first one did not.
-    ("recover", "code", r"(?s)\A(?>.*?(?:\bdefer\b|\bfunc\s*\()).*?\brecover\s*\(\s*\)", B,
-     ["defer_recover"], {"stems": ("recover",)}),
+    ("recover", "blocks", "literal>recover", B, ["defer_recover"]),
+    ("defer_recover", "code", _word("defer", r"\s++recover\s*+\("), B, ["defer_recover"]),
+    ("retry_loop", "blocks", _RETRIES, A, ["retry"], {"only": "fixed"}),
+    ("wait_loop", "blocks", "caught_loop>wait", A, ["exponential_backoff"], {"only": "fixed"}),
     ("status_call", "chained_calls", _is("StatusCode", "Code", "Status"), B, ["status_check"]),
     ("context_timeout", "selector_calls", r"^context\.(?:WithTimeout|WithDeadline)$", A,
      ["timeout"]),
@@ -427,6 +432,8 @@ _rules(
     ("backoff_option", "code",
      r"\b(?:retryable|retriable)\b[^\n]*?\w*(?:backoff|exponential)\w*:", A,
      ["exponential_backoff"], {"stems": ("backoff", "exponential")}),
+    ("retry_loop", "blocks", "caught_loop>again|caught_loop>wait", A, ["retry"], {"only": "fixed"}),
+    ("wait_retry", "blocks", "catch>wait&catch>again", A, ["exponential_backoff"], {"only": "fixed"}),
     ("retry_keyword", "code", r"(?m)^[ \t]*retry\b[ \t]*(?:$|if\b|unless\b)", A, ["retry"],
      {"only": "fixed", "stems": ("retry",)}),
 )
@@ -448,9 +455,8 @@ _rules(
     ("breaker_class", "classes", _has("CircuitBreaker"), A, ["circuit_breaker"]),
     ("retry_class", "classes", _has("Retry"), A, ["retry"]),
     ("timeout_class", "classes", _has("Timeout"), A, ["timeout"]),
-    ("retry_loop", "code",
-     r"(?<=[\w>\]?])\s+\w*(?i:retry|retries)\w*\s*(?:<[^<>()]*>\s*)?\([^)]*\)\s*\{"
-     r"[^}]*\b(?:while|for)\s*\(", A, ["retry"], {"stems": ("while", "for")}),
+    ("retry_method", "blocks", "retry_method>loop", A, ["retry"]),
+    ("retry_loop", "blocks", _RETRIES, A, ["retry"], {"only": "fixed"}),
     ("timeout_token", "code",
      r"\w*(?i:timeout)\w*\s*(?:<[^<>()]*>\s*)?\([^)]*\bCancellationToken\b[^)]*\)\s*(?:\{|=>)",
      A, ["timeout"], {"stems": ("CancellationToken",)}),

@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from faultlens.catalogs import domain, http_libraries, resilience_libraries
 from faultlens.catalogs.signals import IMPORT_SHAPES, SHAPES, Rule, Shape, signal_rules
 from faultlens.functions import scalars, text
+from faultlens.functions.blocks import block_pairs_sql, pairs_test
 from faultlens.functions.python_source import python_facts
 from faultlens.functions.text import sql_text
 
 VIEWS = ("raw", "lower", "bare", "code")
+#: Target of rules that ask what stands inside what.
+BLOCK_PAIRS = "blocks"
 _WORD_BITS = 62
 _NO_NAMES = "CAST(array() AS array<string>)"
 
@@ -144,6 +147,8 @@ class _Compiled:
         """Names are few: one alternation tests them all. Text is long: each
         pattern keeps its own literal start, behind its own substring test."""
         target = group[0].target
+        if target == BLOCK_PAIRS:
+            return "(" + " OR ".join(pairs_test("_blocks", rule.pattern) for rule in group) + ")"
         if target not in VIEWS:
             alternatives = "|".join(f"(?:{rule.pattern})" for rule in group)
             return _matches(_slot(target), "(?dm)" + alternatives)
@@ -333,17 +338,21 @@ def classify_files(
     # Which shapes and views does each language need?
     used_shapes: dict[str, dict[str, Shape]] = {}
     readers: dict[str, set[str]] = defaultdict(set)
+    nested: dict[str, str] = {}
     for name in languages:
         targets = {group[0].target for group in compiled[name].groups}
         if resilience[name] or (http[name] and name == "python"):
             targets |= set(IMPORT_SHAPES[name])
         used_shapes[name] = {
             s.name: s for s in shapes if s.language == name and s.name in targets}
-        missing = targets - set(VIEWS) - set(used_shapes[name])
+        missing = targets - {*VIEWS, BLOCK_PAIRS} - set(used_shapes[name])
         if missing:
             raise ValueError(f"{name}: no such shape: {', '.join(sorted(missing))}")
         for view in (targets & set(VIEWS)) | {s.view for s in used_shapes[name].values()}:
             readers[view].add(name)
+        if BLOCK_PAIRS in targets:
+            readers["code"].add(name)
+            nested[name] = block_pairs_sql("_code", name)
 
     # 1. Text views, each built once per file and only where something reads it.
     readable = (F.coalesce("decode_ok", F.lit(True)) if "decode_ok" in files.columns
@@ -367,6 +376,9 @@ def classify_files(
             F.when(F.col("language") == "python", F.col("_raw"))))
         parse_ok = "(_readable AND coalesce(_facts.ok, true))"
 
+    if nested:
+        out = out.selectExpr("*", f"{_case(nested, '0L')} AS _blocks")
+
     # 2. Names per shape; a slot is shared by the languages that use its name.
     slots: dict[str, dict[str, str]] = defaultdict(dict)
     for name in languages:

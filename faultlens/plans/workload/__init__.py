@@ -3,6 +3,7 @@
 from faultlens.plans.workload import (  # noqa: F401
     file_queries,
     library_queries,
+    nested_queries,
     relational_queries,
     source_queries,
     stat_queries,

@@ -151,3 +151,54 @@ BODIES = {
         "try { timeout(5); } finally { done(); }\n",
     ),
 }
+
+#: Nested code: what a rule asks for stands at several depths, or just outside.
+NESTED = {
+    "java": (
+        "class A { void f() { while (more()) { try { call(); } catch (E e) { if (e.soft()) { log(e); }"
+        " Thread.sleep(5); } } } }\n",
+        "class A { void f() { try { a(); } catch (E e) { if (b) { c(); } log(e.getStatusCode()); } } }\n",
+        "class A { void f() { for (int i = 0; i < 3; i++) { g(i); } try { a(); } catch (E e) { log(e); }"
+        " Thread.sleep(1); } }\n",
+        "class A { void f() { do { if (x) { try { a(); } catch (E e) { { continue; } } } } while (n(1)); } }\n",
+        "class A { void f() { try { a(); } catch (E e) { log(e); } { int statusCode = 1; } } }\n",
+        "class A { void f() { for (X x : xs) { String s = \"catch (E e) { sleep(1); }\"; } } }\n",
+    ),
+    "javascript": (
+        "async function f() { for (let i = 0; i < 3; i++) { try { return await g(i); } catch (e)"
+        " { await sleep(100 * i); } } }\n",
+        "function f() { while (n) { if (a) { b(); } } try { g(); } catch (e) { sleep(1); } }\n",
+        "function f() { while (n) { try { g(); } catch { if (soft) { continue; } } } }\n",
+        "function f() { for (const x of xs) { try { g(x); } catch (e) { log(e); } } sleep(2); }\n",
+        "function f() { try { xs.forEach(x => { g(x); }); } catch (e) { h(); } }\n",
+        "function f() { do { try { g(); } catch (e) { setTimeout(h, 5); } } while (n); }\n",
+    ),
+    "go": (
+        "func f() { for i := 0; i < 3; i++ { if err := g(); err != nil { time.Sleep(wait); continue } } }\n",
+        "func f() { defer func() { if x { if r := recover(); r != nil { log(r) } } }() }\n",
+        "func f() { func() { g() }(); recover() }\n",
+        "func f() error { for i := range xs { if err := g(i); err != nil { return err } } return nil }\n",
+        "func f() { go func(n int) { { recover() } }(3) }\n",
+        "func f() { for { if err != nil { continue } } }\n",
+    ),
+    "ruby": (
+        "def f\n  n = 0\n  begin\n    g\n  rescue E => e\n    if n < 3\n      sleep 2\n      retry\n    end\n"
+        "  end\nend\n",
+        "3.times do |i|\n  begin\n    g\n  rescue E\n    next\n  end\nend\n",
+        "def f\n  begin\n    g\n  rescue E\n    log\n  ensure\n    sleep 1\n  end\nend\n",
+        "while more\n  begin\n    g\n  rescue E\n    sleep 1\n  end\nend\n",
+        "loop do\n  g\nend\nbegin\n  h\nrescue E\n  sleep 1\nend\n",
+        "def f\n  g\nend\n",
+    ),
+    "csharp": (
+        "class A { async Task RunRetries(int n) { if (n > 0) { while (true) { await G(); } } } }\n",
+        "class A { void Run() { CallRetry(1); for (int i = 0; i < 3; i++) { G(); } } }\n",
+        "class A { void Run() { foreach (var x in xs) { try { G(x); } catch (E e)"
+        " { if (e.Soft) { Log(e); } Task.Delay(5); } } } }\n",
+        "class A { void RetryOnce() { G(); } void Run() { while (n) { G(); } } }\n",
+        "class A { void Run() { try { G(); } catch { Thread.Sleep(1); } } }\n",
+        "class A { void Run() { while (n) { try { G(); } catch (E) { { continue; } } } } }\n",
+    ),
+}
+NESTED["typescript"] = tuple(
+    piece.replace("function f()", "function f(): Promise<void>") for piece in NESTED["javascript"])
