@@ -12,7 +12,7 @@ from dataclasses import dataclass
 #: Kinds of blocks. ``caught_loop`` is a catch block somewhere inside a loop.
 KINDS = ("loop", "try", "catch", "retry_method", "literal", "caught_loop")
 #: What may stand inside a block, besides a block.
-EVENTS = ("status", "wait", "again", "recover")
+EVENTS = ("status", "wait", "again", "recover", "bare_loop")
 
 #: Balanced parentheses, three deep.
 PARENS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
@@ -87,7 +87,9 @@ BLOCKS: dict[str, Blocks] = {
          ("retry_method",
           rf"(?<=[\w>\]?])\s++\w*+(?<=(?i:retry|retries)\w{{0,40}})\s*+(?:<[^<>()]*+>\s*+)?{PARENS}"
           r"(?:\s*+where\b(?:[^{;(w]++|w(?!here\b)|\(\))*+)*+(?=\s*+\{)", r"^\s")),
-        (_event("wait", r"Delay|Sleep", r"\s*+\(", r"(?<=\.)"), _AGAIN),
+        (_event("wait", r"Delay|Sleep", r"\s*+\(", r"(?<=\.)"), _AGAIN,
+         # A loop without a brace; tried after the headings.
+         ("bare_loop", rf"{_WORD}(?:for|foreach|while)\b(?=\s*+\()", r"^(?:for|foreach|while)$")),
         needs=((("etry", "etries", "ETRY"), ("for", "while")),
                (("catch",), ("for", "while", "do"), ("Delay", "Sleep", "continue"))),
     ),

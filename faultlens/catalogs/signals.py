@@ -455,7 +455,7 @@ _rules(
     ("breaker_class", "classes", _has("CircuitBreaker"), A, ["circuit_breaker"]),
     ("retry_class", "classes", _has("Retry"), A, ["retry"]),
     ("timeout_class", "classes", _has("Timeout"), A, ["timeout"]),
-    ("retry_method", "blocks", "retry_method>loop", A, ["retry"]),
+    ("retry_method", "blocks", "retry_method>loop|retry_method>bare_loop", A, ["retry"]),
     ("retry_loop", "blocks", _RETRIES, A, ["retry"], {"only": "fixed"}),
     ("timeout_token", "code",
      r"\w*(?i:timeout)\w*\s*(?:<[^<>()]*>\s*)?\([^)]*\bCancellationToken\b[^)]*\)\s*(?:\{|=>)",
