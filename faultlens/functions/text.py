@@ -77,9 +77,9 @@ def strip_comments_sql(source: str, language: str) -> str:
     return f"regexp_replace({source}, {sql_text(_kept_strings(language))}, '$1 ')"
 
 
-def mask_strings_sql(source: str, language: str) -> str:
+def mask_strings_sql(source: str, language: str, by: str = " ") -> str:
     """String literals of comment-free text become a blank."""
-    return f"regexp_replace({source}, {sql_text(_strings(language))}, ' ')"
+    return f"regexp_replace({source}, {sql_text(_strings(language))}, '{by}')"
 
 
 def mask_code_sql(source: str, language: str) -> str:

@@ -24,6 +24,7 @@ from faultlens.catalogs.signals import IMPORT_SHAPES, SHAPES, Rule, Shape, signa
 from faultlens.functions import scalars, text
 from faultlens.functions.blocks import block_pairs_sql, pairs_test
 from faultlens.functions.python_source import python_facts
+from faultlens.functions.python_syntax import unparsable_sql
 from faultlens.functions.text import sql_text
 
 VIEWS = ("raw", "lower", "bare", "code")
@@ -306,6 +307,7 @@ def classify_files(
     shapes: list[Shape] | None = None,
     libraries: tuple[str, ...] = ("http", "resilience"),
     exact_python: bool = False,
+    check_syntax: bool = True,
 ) -> DataFrame:
     """Detect libraries and signals of every file and label it.
 
@@ -316,8 +318,10 @@ def classify_files(
 
     ``rules`` and ``shapes`` replace the built-in ones; a rule with language
     ``*`` applies to each of ``languages``. ``libraries`` selects which kinds of
-    library are looked for. ``exact_python`` parses Python instead of matching
-    it, which also finds syntax errors (``parse_status = 'failed'``).
+    library are looked for. ``check_syntax`` marks Python files whose strings, brackets
+    or indentation don't fit together as ``parse_status = 'failed'``, with nothing found
+    in them. ``exact_python`` parses Python instead of matching it, which finds every
+    syntax error.
     """
     if mode not in ("fixed", "parity"):
         raise ValueError(f"mode must be 'fixed' or 'parity', not {mode!r}")
@@ -354,6 +358,12 @@ def classify_files(
             readers["code"].add(name)
             nested[name] = block_pairs_sql("_code", name)
 
+    # The syntax check reads literals as names of their own, which no rule minds.
+    check_syntax = check_syntax and not exact_python and "python" in languages and bool(
+        readers["code"] & {"python"})
+    if check_syntax:
+        readers["bare"].add("python")
+
     # 1. Text views, each built once per file and only where something reads it.
     readable = (F.coalesce("decode_ok", F.lit(True)) if "decode_ok" in files.columns
                 else F.col("content").isNotNull())
@@ -363,7 +373,8 @@ def classify_files(
         name: text.strip_comments_sql("_raw", name) for name in sorted(readers["bare"])
     }, "CAST(NULL AS string)") + " AS _bare")
     out = out.selectExpr("*", _case({
-        name: text.mask_strings_sql("_bare", name) if name in readers["bare"]
+        name: text.mask_strings_sql("_bare", name, "0" if check_syntax and name == "python" else " ")
+        if name in readers["bare"]
         else text.mask_code_sql("_raw", name)
         for name in sorted(readers["code"])
     }, "CAST(NULL AS string)") + " AS _code")
@@ -375,6 +386,12 @@ def classify_files(
         out = out.withColumn("_facts", python_facts(
             F.when(F.col("language") == "python", F.col("_raw"))))
         parse_ok = "(_readable AND coalesce(_facts.ok, true))"
+    broken = "false"
+    if check_syntax:
+        out = out.selectExpr(
+            "*", f"(CASE WHEN language = 'python' THEN coalesce({unparsable_sql('_code')}, false) ELSE false END) "
+            "AS _broken")
+        parse_ok, broken = "(_readable AND NOT _broken)", "_broken"
 
     if nested:
         out = out.selectExpr("*", f"{_case(nested, '0L')} AS _blocks")
@@ -414,12 +431,16 @@ def classify_files(
             http_bits[name] = _http_bits(name, http[name])
             http_names[name] = [r.canonical for r in http[name]] + [
                 c[3] for c in http_libraries.TEXT_CLIENTS if c[0] == name]
+    def bits_of(branches: dict[str, str]) -> str:
+        found = f"coalesce({_case(branches, '0L')}, 0L)"
+        return found if broken == "false" else f"CASE WHEN {broken} THEN 0L ELSE {found} END"
+
     out = out.selectExpr(
         *(f"`{c}`" for c in keep),
         f"CASE WHEN {parse_ok} THEN 'ok' ELSE 'failed' END AS parse_status",
-        *(f"coalesce({_case(bits, '0L')}, 0L) AS {word}" for word, bits in zip(words, signal_bits)),
-        f"coalesce({_case(library_bits, '0L')}, 0L) AS _libraries",
-        f"coalesce({_case(http_bits, '0L')}, 0L) AS _http",
+        *(f"{bits_of(bits)} AS {word}" for word, bits in zip(words, signal_bits)),
+        f"{bits_of(library_bits)} AS _libraries",
+        f"{bits_of(http_bits)} AS _http",
     )
     # A filter on a label must not be pushed below this point, where it would
     # repeat every pattern. Filters do not move through a generated row.

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultlens.catalogs.signals import signal_rules
+from faultlens.functions import scalars
 from faultlens.functions.text import sql_text
+from faultlens.operators.rollup import repo_results
 from faultlens.operators.signals import BLOCK_PAIRS, classify_files
 from faultlens.plans.workload import tables
 from faultlens.plans.workload.registry import query
-from faultlens.plans.workload.snippets import NESTED
+from faultlens.plans.workload.snippets import BROKEN_PYTHON, NESTED
 from faultlens.plans.workload.source_sql import quoted
 
 PIECES = 6
@@ -109,3 +111,31 @@ def _register(language: str) -> None:
 
 for _language in NESTED:
     _register(_language)
+
+
+def broken_files(spark, sf_dir: str):
+    """Documents as Python files, some of which no parser accepts."""
+    pieces = F.expr("array(" + ", ".join(map(sql_text, BROKEN_PYTHON)) + ")")
+    body = F.element_at(pieces, (F.floor(F.col("n_chars") / 3) % len(BROKEN_PYTHON) + 1).cast("int"))
+    remark = F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n#")))
+    return tables.documents(spark, sf_dir).select(
+        "doc_id", F.col("source").alias("repo_url"), F.format_string("%012d.py", "doc_id").alias("path"),
+        F.lit("python").alias("language"), F.concat(remark, F.lit("\n"), body).alias("content"))
+
+
+# Which pieces are broken is written out here: the even ones.
+@query("broken_python_rates", f"""WITH f AS (SELECT source AS repo_url,
+  (n_chars // 3) % {len(BROKEN_PYTHON)} % 2 = 0 AS broken, (n_chars // 3) % {len(BROKEN_PYTHON)} = 3 AS tries
+  FROM documents)
+SELECT repo_url, count(*) AS total_files, count(*) FILTER (broken) AS failed_files,
+  round(count(*) FILTER (NOT broken) / count(*)::DOUBLE, 6) AS rate,
+  printf('%.2f%%', 100.0::DOUBLE * count(*) FILTER (NOT broken) / count(*)) AS success,
+  CASE WHEN bool_and(broken) THEN 'all_failed' ELSE 'ok' END AS status,
+  bool_or(tries) AS has_try_catch, false AS has_retry FROM f GROUP BY repo_url""")
+def broken_python_rates(spark, sf_dir):
+    """Success rates of repositories with broken files; nothing in a broken file counts."""
+    found = repo_results(classify_files(broken_files(spark, sf_dir), languages=("python",)))
+    rate = F.col("parser_success_rate")
+    return found.select(
+        "repo_url", "total_files", "failed_files", F.round(rate, 6).alias("rate"),
+        scalars.format_rate(rate).alias("success"), "status", "has_try_catch", "has_retry")

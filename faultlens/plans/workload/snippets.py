@@ -202,3 +202,13 @@ NESTED = {
 }
 NESTED["typescript"] = tuple(
     piece.replace("function f()", "function f(): Promise<void>") for piece in NESTED["javascript"])
+
+#: Python that no parser accepts, and next to each piece one like it that is fine.
+BROKEN_PYTHON = (
+    "def f(:\n    pass\n", "def f():\n    pass\n",
+    "try:\n    f(1, [2)\nexcept E:\n    pass\n", "try:\n    f(1, [2])\nexcept E:\n    pass\n",
+    "x = 'retry(3)\n", "x = 'retry(3)'\n",
+    "if a:\n    b()\n  c()\n", "if a:\n    b()\n    c()\n",
+    "while a:\nb()\n", "while a: b()\n",
+    'x = """timeout(1)\n', 'x = """timeout(1)\n"""\n',
+)
