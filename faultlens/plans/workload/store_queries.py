@@ -16,7 +16,7 @@ from faultlens.plans.workload.registry import query
 from faultlens.session import checkpoint_dir, local_folder
 from faultlens.sources import repositories
 from faultlens.sources.tables import append_results, load_results, load_table
-from faultlens.streaming import incremental
+from faultlens.streaming import incremental, keyed
 
 
 def _folder(spark, name: str) -> str:
@@ -148,3 +148,42 @@ def chunk_report(spark, sf_dir):
         partial_rollup(signals.where(F.col("doc_id") % 2 == batch), domains=_LISTS).write.parquet(
             f"{store}/batch_id={batch}")
     return incremental.progress(spark, store).withColumn("batch_id", F.col("batch_id").cast("int"))
+
+
+_RULES = {r.flags[0]: r.pattern for r in tables.SURROGATE_RULES}
+_DELIVERED = "doc_id long, repo_url string, path string, language string, content string, version long"
+
+
+@query("keyed_stream", f"""WITH s AS (SELECT source AS repo_url, lang AS language, doc_id,
+    CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text FROM documents),
+g AS (SELECT *, {', '.join(f"regexp_matches(text, '{p}') AS {f}" for f, p in _RULES.items())} FROM s),
+f AS (SELECT *, CASE WHEN (try_catch OR status_check) AND (timeout OR retry OR circuit_breaker) THEN 'Mixed'
+  WHEN timeout OR retry OR circuit_breaker THEN 'Advanced' WHEN try_catch OR status_check THEN 'Basic'
+  ELSE 'None' END AS label FROM g),
+r AS (SELECT repo_url, count(*) AS total_files, count(*) FILTER (label <> 'None') AS handled_files,
+  arg_min(label, doc_id) FILTER (label <> 'None') AS first_label, bool_or(label = 'Basic') AS b,
+  bool_or(label = 'Advanced') AS a, string_agg(DISTINCT language, ';' ORDER BY language) AS languages,
+  count(*) FILTER (retry) AS n_retry, count(*) FILTER (try_catch) AS n_try_catch FROM f GROUP BY repo_url)
+SELECT repo_url, total_files, handled_files, languages, n_retry, n_try_catch,
+  CASE WHEN first_label IS NULL THEN 'None' WHEN a AND b THEN 'Mixed' ELSE first_label END AS exception_type
+FROM r""")
+def keyed_stream(spark, sf_dir):
+    """The documents as deliveries in three micro-batches: all of them, then a third in a newer
+    version that is empty and a third in an older one, then some once more."""
+    session, folder = keyed.stateful_session(spark), _folder(spark, "keyed-stream")
+    docs = tables.document_files(spark, sf_dir).select(
+        "doc_id", "repo_url", "path", "language", "content", F.lit(1).cast("long").alias("version"))
+    third = F.col("doc_id") % 3
+    changed = docs.where(third < 2).withColumns({
+        "content": F.lit(""), "version": F.when(third == 0, 2).otherwise(0).cast("long")})
+    for batch in (docs, changed, docs.where(F.col("doc_id") % 5 == 0)):
+        batch.write.mode("append").parquet(f"{folder}/drops")
+        stream = session.readStream.schema(_DELIVERED).parquet(f"{folder}/drops")
+        keyed.start_keyed_scan(
+            stream, f"{folder}/store", F.col("version"), f"{folder}/progress",
+            languages=tables.DOCUMENT_LANGUAGES, rules=tables.SURROGATE_RULES, shapes=[], libraries=(),
+        ).awaitTermination()
+    count = lambda flag: F.coalesce(F.try_element_at("flags", F.lit(flag)), F.lit(0))
+    return keyed.keyed_results(spark, f"{folder}/store").select(
+        "repo_url", "total_files", "handled_files", F.array_join("languages", ";").alias("languages"),
+        count("retry").alias("n_retry"), count("try_catch").alias("n_try_catch"), "exception_type")
