@@ -14,7 +14,7 @@ from faultlens.operators.signals import classify_files
 from faultlens.plans.workload import tables
 from faultlens.plans.workload.registry import query
 from faultlens.session import checkpoint_dir, local_folder
-from faultlens.sources import repositories
+from faultlens.sources import clustered, repositories
 from faultlens.sources.tables import append_results, load_results, load_table
 from faultlens.streaming import incremental, keyed
 
@@ -187,3 +187,26 @@ def keyed_stream(spark, sf_dir):
     return keyed.keyed_results(spark, f"{folder}/store").select(
         "repo_url", "total_files", "handled_files", F.array_join("languages", ";").alias("languages"),
         count("retry").alias("n_retry"), count("try_catch").alias("n_try_catch"), "exception_type")
+
+
+@query("clustered_results", """WITH b AS (SELECT user_id, event_id % 4 AS batch, count(*) AS n,
+  max(event_id) AS last, bool_or(event_type = 'error') AS failed FROM events GROUP BY ALL)
+SELECT 'r' || user_id AS repo_url, n, last, failed FROM b
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch DESC) = 1""")
+def clustered_results(spark, sf_dir):
+    """Results in a store in hash buckets: a base, two batches that are merged into it, one more."""
+    folder = _folder(spark, "clustered")
+
+    def part(batch: int):
+        return tables.load(spark, sf_dir, "events").where(F.col("event_id") % 4 == batch).groupBy(
+            F.concat(F.lit("r"), "user_id").alias("repo_url")).agg(
+            F.count("*").alias("n"), F.max("event_id").alias("last"),
+            F.bool_or(F.col("event_type") == "error").alias("failed"))
+
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    clustered.create_store(part(0), folder, "repo_url", buckets)
+    for batch in (1, 2):
+        clustered.append_batch(part(batch), folder, batch)
+    clustered.merge_batches(spark, folder)
+    clustered.append_batch(part(3), folder, 3)
+    return clustered.load_clustered(spark, folder)
