@@ -1,16 +1,22 @@
 """Import paths against catalogs, as joins on DataFrames.
 
-For catalogs kept as tables of any size. Each match mode is an equi-join on a
-key both sides can compute, so no mode compares every path with every pattern.
+For catalogs kept as tables of any size. No mode compares every path with every pattern:
+an exact match is an equi-join; prefixes are found as ranges of sorted paths, and
+fragments by an automaton over the patterns that reads each path once. For the last two,
+distinct paths are dealt to lots, and each lot meets the patterns that can match there;
+a lot is what one shuffle partition holds.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Windows of this length find a pattern in a path; a shorter pattern is found by itself.
-WINDOW = 4
+from faultlens.shipping import ship_package
+
 _SALTS = 64
 
 
@@ -37,21 +43,108 @@ def match_exact(imports: DataFrame, catalog: DataFrame, separator: str | None =
     return _per_distinct_path(imports, catalog, keys, F.col("pattern"))
 
 
-def _lengths(catalog: DataFrame) -> list[int]:
-    """Distinct pattern lengths, the only catalog fact the driver needs: at most as
-    many numbers as the longest pattern has characters."""
-    rows = catalog.select(F.length("pattern").alias("n")).where("n > 0").distinct().collect()
-    return sorted(r["n"] for r in rows)
+def _in_lots(imports: DataFrame, catalog: DataFrame, shard, match, shards: int = 1) -> DataFrame:
+    """Distinct paths against patterns, lot by lot. ``shard`` gives the shards of a path
+    (as an array) and of a pattern; ``match(paths, patterns)`` gives the numbers of the
+    rows that match, as two lists."""
+    import pyarrow as pa
+
+    spark = imports.sparkSession
+    ship_package(spark)
+    lots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    paths = imports.select("path").where(F.col("path").isNotNull()).distinct().select(
+        "path", F.explode(shard[0]).alias("_shard"), F.pmod(F.xxhash64("path"), F.lit(lots)).alias("_lot"))
+    patterns = catalog.where(F.length("pattern") > 0).select(
+        *catalog.columns, shard[1].alias("_shard"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("_lot"))
+    columns = catalog.columns
+
+    def matched(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = match(left.column("path").to_pylist(), right.column("pattern").to_pylist())
+        rows, of = (pa.array(x, pa.int64()) for x in found)
+        table = right.select(columns).take(of)
+        return table.append_column("path", left.column("path").take(rows))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in catalog.schema)
+    hits = paths.groupBy("_shard", "_lot").cogroup(patterns.groupBy("_shard", "_lot")).applyInArrow(
+        matched, f"{kinds}, path string")
+    return imports.join(hits, "path")
+
+
+def prefix_ranges(paths: list[str], patterns: list[str]) -> tuple[list[int], list[int]]:
+    """Paths that start with a pattern are neighbours once sorted: two binary searches a pattern."""
+    order = sorted(range(len(paths)), key=lambda i: paths[i].encode())
+    keys = [paths[i].encode() for i in order]
+    rows, of = [], []
+    for k, pattern in enumerate(patterns):
+        low = bisect_left(keys, pattern.encode())
+        high = bisect_left(keys, pattern.encode() + b"\xff", low)
+        rows += order[low:high]
+        of += [k] * (high - low)
+    return rows, of
+
+
+class Automaton:
+    """Where to go on from each prefix of the patterns, by character; where else, if the
+    path does not go on there; and the patterns that end there."""
+
+    def __init__(self, patterns: list[str]):
+        self.goto: list[dict[str, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        for k, pattern in enumerate(patterns):
+            state = 0
+            for c in pattern:
+                if c not in self.goto[state]:
+                    self.goto[state][c] = len(self.goto)
+                    self.goto.append({})
+                    self.ends.append([])
+                state = self.goto[state][c]
+            self.ends[state].append(k)
+        #: The longest proper suffix that is a prefix, too, and the nearest such with an end.
+        self.fail = [0] * len(self.goto)
+        self.also = [0] * len(self.goto)
+        waiting = deque(self.goto[0].values())
+        while waiting:
+            state = waiting.popleft()
+            back = self.fail[state]
+            self.also[state] = back if self.ends[back] else self.also[back]
+            for c, after in self.goto[state].items():
+                self.fail[after] = self.step(back, c)
+                waiting.append(after)
+
+    def step(self, state: int, c: str) -> int:
+        while state and c not in self.goto[state]:
+            state = self.fail[state]
+        return self.goto[state].get(c, 0)
+
+    def found(self, path: str) -> set[int]:
+        state, seen, out = 0, set(), set()
+        for c in path:
+            state = self.step(state, c)
+            at = state if self.ends[state] else self.also[state]
+            # Past a state that was met before, everything is known.
+            while at and at not in seen:
+                seen.add(at)
+                out.update(self.ends[at])
+                at = self.also[at]
+        return out
+
+
+def fragments(paths: list[str], patterns: list[str]) -> tuple[list[int], list[int]]:
+    automaton = Automaton(patterns)
+    rows, of = [], []
+    for i, path in enumerate(paths):
+        hits = automaton.found(path)
+        rows += [i] * len(hits)
+        of += hits
+    return rows, of
 
 
 def match_prefix(imports: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Path starts with pattern: the path's own prefixes, one per pattern
-    length, meet the patterns in an equi-join."""
-    wanted = F.filter(F.array(*map(F.lit, _lengths(catalog) or [0])),
-                      lambda n: n <= F.length("path"))
-    prefixes = F.transform(wanted, lambda n: F.substring(F.col("path"), F.lit(1), n))
-    return _per_distinct_path(imports, catalog.where(F.length("pattern") > 0), prefixes,
-                              F.col("pattern"))
+    """Path starts with pattern: both have the same first character, and within it the
+    matches of a pattern are a range of the sorted paths."""
+    first = F.substring("path", 1, 1)
+    return _in_lots(imports, catalog, (F.array(first), F.substring("pattern", 1, 1)), prefix_ranges, 8)
 
 
 def match_first_segment(imports: DataFrame, catalog: DataFrame, separator: str = ".") -> DataFrame:
@@ -61,21 +154,16 @@ def match_first_segment(imports: DataFrame, catalog: DataFrame, separator: str =
     return match_prefix(imports, keyed).drop("pattern").withColumnRenamed("_pattern", "pattern")
 
 
-def match_contains(imports: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Path contains pattern: a path's distinct windows of one to ``WINDOW``
-    characters meet the patterns. A pattern that is shorter than ``WINDOW`` is a
-    window itself, so it meets only paths that contain it; a longer one meets those
-    that contain its head, which are then checked in full."""
-    def windows(n: int) -> Column:
-        starts = F.when(F.length("path") >= n, F.sequence(F.lit(1), F.length("path") - (n - 1)))
-        return F.coalesce(F.array_distinct(F.transform(
-            starts, lambda i: F.substring(F.col("path"), i, F.lit(n)))),
-            F.array().cast("array<string>"))
-
-    grams = F.concat(*(windows(n) for n in range(1, WINDOW + 1)))
-    heads = F.substring("pattern", 1, WINDOW)
-    return _per_distinct_path(imports, catalog.where(F.length("pattern") > 0), grams, heads).where(
-        F.col("path").contains(F.col("pattern")))
+def match_contains(imports: DataFrame, catalog: DataFrame, shards: int = 1) -> DataFrame:
+    """Path contains pattern: an automaton over the patterns reads each path once. Where
+    the patterns are too many for one automaton a task, ``shards`` parts them by their
+    first characters, and a path goes to the shards of its characters."""
+    def of(first: Column) -> Column:
+        return F.pmod(F.xxhash64(first), F.lit(shards))
+
+    own = F.array_distinct(F.transform(F.split("path", ""), of)) if shards > 1 else F.array(F.lit(0).cast("long"))
+    other = of(F.substring("pattern", 1, 1)) if shards > 1 else F.lit(0).cast("long")
+    return _in_lots(imports, catalog, (own, other), fragments, shards)
 
 
 def require_substring(matches: DataFrame) -> DataFrame:

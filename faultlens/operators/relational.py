@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.session import checkpoint_dir, local_folder
+
 
 def lookup(data: DataFrame, table: DataFrame, key: str, normalise=None) -> DataFrame:
     """Left join on a normalised key; ``matched`` tells a miss from a null
@@ -68,38 +72,34 @@ def distinct_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.dropDuplicates(list(keys))
 
 
-def numbered_batches(rows: DataFrame, order: str, size: int, ranges: int | None = None
-                     ) -> DataFrame:
-    """Stable slices of ``size`` rows in ``order``, which must be unique.
+def numbered_rows(rows: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """Rows with ``row_number`` from 1, in ``order``, which must be unique.
 
-    Positions come from range partitions plus the partitions' offsets, so no
-    single task sees the whole order.
+    One shuffle deals the rows to ranges, in order; they are written to the shared folder
+    with their range and their place in it. A row's number is its place plus the rows of
+    the ranges before, which is a sum over one row a range. The input is read once and by
+    a job of its own, since ranges that were drawn twice could differ; null comes first.
     """
     spark = rows.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = "_range", "_local"
-    # The split points come from one pass over the order column alone; a row's
-    # range is then a pure function of the row, the same in every attempt.
-    steps = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]) if ranges > 1 else None
-    if steps is None:
-        ranged = rows.withColumn(low, F.lit(0))
-    else:
-        points = rows.agg(F.approx_percentile(order, steps, max(10_000, 10 * ranges))).first()[0] or []
-        splits = F.array(*[F.lit(p) for p in sorted(set(points))]) if points else None
-        ranged = rows.withColumn(low, F.lit(0) if splits is None else F.size(
-            F.filter(splits, lambda p: p < F.col(order))))
-    local = ranged.withColumn(high, F.row_number().over(
-        Window.partitionBy(low).orderBy(order)))
-    sizes = ranged.groupBy(low).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(
-        Window.orderBy(low).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(low, before.alias("_before"))
-    position = F.col(high) + F.col("_before")
-    return (
-        local.join(offsets, low)
-        .withColumn("batch_id", F.floor((position - 1) / size).cast("bigint"))
-        .drop(low, high, "_before", "_n")
-    )
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    path = f"{checkpoint_dir(spark, local_folder(spark))}/numbered-{uuid.uuid4().hex}"
+    rows.repartitionByRange(ranges, order).sortWithinPartitions(order).withColumns(
+        {"_range": F.spark_partition_id(), "_place": inside}).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # At most ``ranges`` rows.
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(
+        "row_number", F.col("_place") + F.col("_before") + 1).select(*rows.columns, "row_number")
+
+
+def numbered_batches(rows: DataFrame, order: str, size: int, ranges: int | None = None
+                     ) -> DataFrame:
+    """Stable slices of ``size`` rows in ``order``, which must be unique."""
+    batch = F.floor((F.col("row_number") - 1) / size).cast("bigint")
+    return numbered_rows(rows, order, ranges).withColumn("batch_id", batch).drop("row_number")
 
 
 def batch_counts(rows: DataFrame, ok: Column, batch: str = "batch_id") -> DataFrame:

@@ -109,6 +109,7 @@ def joined(spark):
     (lambda i, c: L.match_exact(i, c, "."), lambda p, q: q in (p, p.split(".")[0])),
     (L.match_prefix, lambda p, q: p.startswith(q)),
     (L.match_contains, lambda p, q: q in p),
+    (lambda i, c: L.match_contains(i, c, 3), lambda p, q: q in p),
 ])
 def test_joins_against_brute_force(joined, match, test):
     paths, patterns, imports, catalog = joined
@@ -134,6 +135,42 @@ def test_empty_catalog(spark, joined):
     assert L.match_contains(imports, catalog.limit(0)).count() == 0
 
 
+def test_catalog_rows_keep_their_columns(spark):
+    imports = spark.createDataFrame([(1, "net.http"), (2, None), (3, ""), (4, "é.漢字"), (4, "é.漢字")],
+                                    "id int, path string")
+    catalog = spark.createDataFrame(
+        [("net", 1, ["x"]), ("net", 2, None), ("", 3, []), (None, 4, []), ("漢", 5, []), ("é", 6, [])],
+        "pattern string, n int, flags array<string>")
+    for match, expected in ((L.match_prefix, [(1, 1), (1, 2), (4, 6), (4, 6)]),
+                            (L.match_contains, [(1, 1), (1, 2), (4, 5), (4, 5), (4, 6), (4, 6)])):
+        rows = match(imports, catalog).select("id", "n", "flags", "path").collect()
+        assert sorted((r.id, r.n) for r in rows) == expected
+        assert {(r.n, tuple(r.flags)) for r in rows if r.n == 1} == {(1, ("x",))}
+
+
+def test_no_job_while_a_catalog_join_is_built(spark, joined):
+    *_, imports, catalog = joined
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    L.match_prefix(imports, catalog)
+    L.match_contains(imports, catalog)
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("patterns", [["a", "aa", "aaa", "aaaa"], ["a" * n for n in range(1, 400)], ["ab", "b"]])
+def test_a_path_is_read_once(patterns):
+    """Steps of the automaton grow with the path, not with the patterns that end along it."""
+    import time
+
+    automaton = L.Automaton(patterns)
+    path = "a" * 300_000
+    began = time.perf_counter()
+    found = automaton.found(path)
+    assert found == {k for k, p in enumerate(patterns) if p in path}
+    assert time.perf_counter() - began < 2
+
+
 def test_library_statistics(spark):
     results = spark.createDataFrame([
         ("a", ["axios", "fetch"], ["javascript", "python"]),
