@@ -1,9 +1,11 @@
-"""File signals to one row per repository, in one shuffle.
-
-Every state is small and mergeable - counters, booleans, bit sets over listed
-names, the label of the smallest path, and the distinct names that are not listed
-- so a repository that holds a third of all files still sends one partial row per
-map task. Partials can also be stored and merged later (see
+"""File signals to one row per repository.
+
+Every state is small and mergeable - counters, booleans, bit sets over listed names
+and the label of the smallest path - so a repository that holds a third of all files
+still sends one partial row per map task. Names that are not listed go along as rows of
+their own (repository, name), which are combined before the shuffle like the rest: a
+task holds each distinct name once, however many files have it and in whatever
+combination. A second, small shuffle brings a repository's names to its row. Partials can also be stored and merged later (see
 ``faultlens.streaming``); they carry the version of the lists their bits follow.
 """
 
@@ -85,6 +87,23 @@ def _decode(words: list[tuple[tuple[str, ...], str]]) -> Column:
     return F.array_sort(F.concat(*(_set_names(names, bits) for names, bits in words)))
 
 
+def _folded(rows: DataFrame, by: list[str], unlisted: str, states: list[Column]) -> DataFrame:
+    """``states`` per group, and the sorted distinct names of the arrays ``unlisted``.
+
+    A row stands for itself, without a name, and once more for each of its names.
+    """
+    itself = F.array(F.lit(None).cast("string"))
+    names = F.concat(itself, F.coalesce(unlisted, F.array().cast("array<string>")))
+    once = rows.withColumn("_name", F.explode(names)).groupBy(*by, "_name").agg(*states)
+    kept = [c for c in once.columns if c not in (*by, "_name")]
+    # One row of a group is without a name and has the group's state.
+    state = F.when(F.col("_name").isNull(), F.struct(*kept))
+    return once.groupBy(*by).agg(
+        F.first(state, ignorenulls=True).alias("_state"),
+        F.array_sort(F.collect_list("_name")).alias("unlisted"),
+    ).select(*by, "_state.*", "unlisted")
+
+
 def partial_rollup(
     signals: DataFrame,
     by=("repo_url",),
@@ -135,7 +154,7 @@ def partial_rollup(
         ),
     )
     sets = [c for c in slim.columns if c not in by and c.rsplit("_", 1)[-1].isdigit()]
-    return slim.groupBy(*by).agg(
+    return _folded(slim, by, "_unlisted", [
         F.count("*").alias("total_files"),
         F.count_if("_failed").alias("failed_files"),
         F.count("_label").alias("handled_files"),
@@ -148,9 +167,8 @@ def partial_rollup(
         *(F.bit_or(c).alias(c) for c in sets),
         *(F.expr(f"count_if(array_contains(_flags, {sql_text(flag)})) AS n_{flag}")
           for flag in domains.flags),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_unlisted")))).alias("unlisted"),
         F.lit(domains.version).alias("lists"),
-    )
+    ])
 
 
 def merge_partials(partials: DataFrame, by=("repo_url",)) -> DataFrame:
@@ -161,15 +179,14 @@ def merge_partials(partials: DataFrame, by=("repo_url",)) -> DataFrame:
             or c.startswith("n_")]
     anys = [c for c in columns if c.startswith("any_")]
     bits = [c for c in columns if c.rsplit("_", 1)[-1].isdigit()]
-    merged = partials.groupBy(*by).agg(
+    merged = _folded(partials, by, "unlisted", [
         *(F.sum(c).alias(c) for c in sums),
         F.min("first_order").alias("first_order"),
         F.min_by("first_label", "first_order").alias("first_label"),
         *(F.max(c).alias(c) for c in anys),
         *(F.bit_or(c).alias(c) for c in bits),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("unlisted")))).alias("unlisted"),
         F.when(F.min("lists") == F.max("lists"), F.min("lists")).alias("lists"),
-    )
+    ])
     return merged.select(*[c for c in columns if c in merged.columns])
 
 

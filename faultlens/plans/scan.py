@@ -15,7 +15,7 @@ from faultlens.sources.tables import append_results, load_results
 
 def scan_corpus(files: DataFrame, repositories: DataFrame | None = None, *,
                 fold: str = "ordered", mode: str = "fixed", **classify) -> DataFrame:
-    """Files to one row per repository: one scan, one shuffle.
+    """Files to one row per repository: one scan, shuffles of partial rows only.
 
     With ``repositories``, those without a supported file are added as
     ``no_files`` rows.

@@ -26,9 +26,13 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-def test_scan_is_one_shuffle(corpus):
+def test_scan_shuffles_partial_rows_only(corpus):
+    """One shuffle by repository and unlisted name, one that brings the names to their repository."""
     text = plan(scan_corpus(corpus))
-    assert len(re.findall(r"Exchange", text)) == 1
+    shuffles = re.findall(r"Exchange (hashpartitioning\([^)]*\))", text)
+    assert len(shuffles) == 2 and "_name" not in shuffles[0] and "_name" in shuffles[1]
+    for below in text.split("Exchange")[1:]:
+        assert re.search(r"Aggregate\(.*functions=\[(?:partial|merge)_", below.splitlines()[1])
     assert "Python" not in text and "Window" not in text
     assert "partial_min_by" in text or "partial_min" in text
 

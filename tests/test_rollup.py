@@ -133,3 +133,21 @@ def test_empty_repositories_and_rendering(spark):
         "Has Backoff": False, "Has Status Check": False}
     assert text["u3"]["HTTP Libraries"] == "None detected"
     assert text["u2"]["Parser Success Rate"] == "0.00%"
+
+
+def test_a_hot_repository_with_a_name_for_every_file(spark):
+    """Names are combined as rows, so no state holds combinations of them."""
+    files = spark.range(600_000).select(
+        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 500)).alias("repo_url"),
+        F.format_string("%07d", "id").alias("path"), F.lit("ok").alias("parse_status"),
+        F.lit("python").alias("language"), F.lit("Basic").alias("label"), F.lit(True).alias("basic"),
+        F.lit(False).alias("advanced"),
+        F.array(F.concat(F.lit("a"), F.col("id") % 50_000), F.concat(F.lit("b"), F.floor(F.col("id") / 50_000)))
+        .alias("flags"))
+    partial = R.partial_rollup(files)
+    found = {r["repo_url"]: r for r in partial.select("repo_url", "total_files", "unlisted").collect()}
+    assert found["hot"]["total_files"] == 400_000 and len(found) == 501
+    # 50,000 names of one kind and 12 of the other, in 400,000 combinations.
+    assert len(found["hot"]["unlisted"]) == 50_012
+    twice = R.merge_partials(partial.unionByName(partial)).where("repo_url = 'hot'").first()
+    assert twice["total_files"] == 800_000 and len(twice["unlisted"]) == 50_012
