@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultlens.functions import scalars
-from faultlens.functions.chi2 import chi2_tail
+from faultlens.functions.chi2 import chi2_sf, log_gamma
 from faultlens.operators import adoption, contingency, distribution, reports
 
 # Published counts: repositories per language and label.
@@ -79,12 +79,38 @@ def test_continuity_correction(spark):
         by_hand(gap))
 
 
-def test_tail_probabilities():
+def chi2_tail(statistic, dof):
+    """A finite sum for whole degrees of freedom, seeded by ``erfc`` when odd."""
+    x = statistic / 2.0
+    tail, a = (math.erfc(math.sqrt(x)), 0.5) if dof % 2 else (math.exp(-x), 1.0)
+    while a < dof / 2.0:
+        tail += math.exp(a * math.log(x) - x - math.lgamma(a + 1.0))
+        a += 1.0
+    return tail
+
+
+def test_tail_probabilities(spark):
     # Textbook quantiles.
-    for x, dof, p in ((3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05),
-                      (18.307038, 10, 0.05), (36.415029, 24, 0.05), (10.827566, 1, 0.001)):
-        assert chi2_tail(x, dof) == pytest.approx(p, rel=1e-5)
-    assert chi2_tail(0.0, 4) == 1.0 and chi2_tail(1e5, 3) == 0.0
+    given = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (18.307038, 10, 0.05),
+             (36.415029, 24, 0.05), (10.827566, 1, 0.001)]
+    given += [(x * dof, dof, chi2_tail(x * dof, dof)) for dof in (1, 2, 3, 7, 24, 101, 1000, 5001)
+              for x in (0.01, 0.5, 0.9, 1.0, 1.01, 1.2, 3.0)]
+    odd = [(0.0, 4, 1.0), (-1.0, 4, 1.0), (1e5, 3, 0.0), (5.0, 0, 1.0), (float("inf"), 3, 0.0),
+           (None, 3, None), (1.0, None, None), (float("nan"), 3, None)]
+    rows = spark.createDataFrame([(i, x, d) for i, (x, d, _) in enumerate(given + odd)], "i int, x double, d bigint")
+    frame = rows.select("i", chi2_sf(F.col("x"), F.col("d")).alias("p"))
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+    found = {r.i: r.p for r in frame.collect()}
+    for i, (x, dof, p) in enumerate(given + odd):
+        expected = pytest.approx(p, rel=2e-5 if i < 6 else 1e-9, abs=1e-13) if p is not None else None
+        assert found[i] == expected, (x, dof)
+
+
+def test_log_gamma(spark):
+    values = [0.5, 1.0, 1.5, 2.0, 3.7, 12.0, 99.5, 1e4, 1e7]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", log_gamma(F.col("v"))).collect()
+    for v, got in found:
+        assert got == pytest.approx(math.lgamma(v), rel=1e-12, abs=1e-12)
 
 
 def test_percentages_and_mean(cells, spark):
