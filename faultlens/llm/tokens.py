@@ -4,6 +4,9 @@ The vocabularies used here split at white space, and a run of letters between
 white space or plain punctuation has the same ids wherever it stands. So a text
 is cut at blanks, chunks that are new are encoded many at a time, and a text's
 ids are the joined ids of its chunks.
+
+The strings of special tokens in a text are ordinary text (``encode_special_tokens``), as
+the notes that come with the vocabularies have it: a document can't write an end id.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ UNEVEN = re.compile(f" [{WHITE}]")
 #: A sign that is a piece of its own, in vocabularies that drop white space.
 LONE = re.compile(f"(?<=[{LETTERS}])([.,])(?= )")
 
-#: Entries of the cache, and characters that are cut into chunks at a time.
-CACHED, BLOCK = 600_000, 1 << 20
+#: Entries of each half of the cache, and characters that are cut into chunks at a time.
+CACHED, BLOCK = 300_000, 1 << 22
 
 #: Stands between pieces; it is in no simple chunk.
 BETWEEN = "\x00"
@@ -85,7 +88,9 @@ class Encoder:
         # Between chunks stands a piece whose single id does not occur in a simple chunk.
         mark = self._ids("|")
         self.mark = mark[0] if len(mark) == 1 else None
+        # Chunks used lately, and those used before them; what neither has is forgotten.
         self.chunks: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -117,14 +122,18 @@ class Encoder:
         rest = [c for c in chunks if c not in self.chunks]
         self.chunks.update(zip(rest, self._plainly([" " + c for c in rest])))
 
-    def _known(self, chunks: set[str]) -> None:
-        """See to it that the chunks are in the cache."""
-        new = chunks - self.chunks.keys()
-        if len(self.chunks) + len(new) > CACHED:
-            self.chunks.clear()
-            new = chunks
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        if len(self.chunks) > CACHED:
+            self.chunks, self.earlier = {}, self.chunks
+        new = [c for c in chunks if c not in self.chunks]
+        if self.earlier:
+            again = {c: self.earlier[c] for c in new if c in self.earlier}
+            self.chunks.update(again)
+            new = [c for c in new if c not in again]
         if new:
-            self._learn(list(new))
+            self._learn(new)
+        return [self.chunks[c] for c in chunks]
 
     def _block(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that are short together."""
@@ -133,37 +142,40 @@ class Encoder:
         return self._with_blanks(texts) if self.blank else self._without_blanks(texts)
 
     def _with_blanks(self, texts: list[str]) -> list[bytes]:
-        """A chunk stands for the blank before it, too."""
+        """A chunk stands for the blank before it, too; a text's first has none."""
         out: list[bytes | None] = [None] * len(texts)
         uneven = [i for i, t in enumerate(texts) if UNEVEN.search(t)]
         for i, ids in zip(uneven, self._plainly([texts[i] for i in uneven])):
             out[i] = ids
-        split = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
-        firsts = self._plainly([chunks.pop(0) for _, chunks in split])
-        self._known(set().union(*(chunks for _, chunks in split)))
-        for (i, chunks), first in zip(split, firsts):
-            out[i] = first + b"".join(map(self.chunks.__getitem__, chunks))
+        even = [i for i, ids in enumerate(out) if ids is None]
+        if even:
+            firsts = self._plainly([texts[i].partition(" ")[0] for i in even])
+            for i, ids in zip(even, self._of_words([texts[i] for i in even], firsts)):
+                out[i] = ids
         return out
 
     def _without_blanks(self, texts: list[str]) -> list[bytes]:
-        """White space only parts words here, so lines and single signs are parted, too.
+        """White space only parts words here, so lines and single signs are parted, too."""
+        return self._of_words([LONE.sub(r" \1", _folded(t).replace("\n", " ")) for t in texts])
 
-        Each distinct word is looked up once; the ids of all words are then gathered.
-        """
-        even = [LONE.sub(r" \1", _folded(t).replace("\n", " ")) for t in texts]
-        split = pc.split_pattern(pa.array(even, pa.large_string()), " ")
+    def _of_words(self, texts: list[str], firsts: list[bytes] | None = None) -> list[bytes]:
+        """Each distinct word is looked up once; the ids of all words are then gathered.
+        ``firsts`` are the ids of each text's first word."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._known(set(words))
-        ids = [self.chunks[word] for word in words]
+        offsets, at = split.offsets.to_numpy(), coded.indices.to_numpy()
+        ids = self._known(coded.dictionary.to_pylist())
+        if firsts is not None:
+            at = at.copy()
+            at[offsets[:-1]] = np.arange(len(ids), len(ids) + len(firsts))
+            ids += firsts
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(lengths) - lengths
-        at = coded.indices.to_numpy()
         n = lengths[at]
         ends = np.cumsum(n)
         place = np.repeat(starts[at] - (ends - n), n) + np.arange(n.sum())
         raw = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
-        cuts = (4 * np.concatenate(([0], ends))[split.offsets.to_numpy()]).tolist()
+        cuts = (4 * np.concatenate(([0], ends))[offsets]).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
