@@ -14,7 +14,7 @@ from faultlens.operators.signals import classify_files
 from faultlens.plans.workload import tables
 from faultlens.plans.workload.registry import query
 from faultlens.session import checkpoint_dir, local_folder
-from faultlens.sources import clustered, repositories
+from faultlens.sources import archives, clustered, repositories
 from faultlens.sources.tables import append_results, load_results, load_table
 from faultlens.streaming import incremental, keyed
 
@@ -210,3 +210,28 @@ def clustered_results(spark, sf_dir):
     clustered.merge_batches(spark, folder)
     clustered.append_batch(part(3), folder, 3)
     return clustered.load_clustered(spark, folder)
+
+
+_FOLDERS = ("src", "lib/vendor", "app", "node_modules/x", "a/b/c", "build")
+_ENDINGS = (".py", ".java", ".md", ".go", ".PY", ".swift", "")
+
+
+@query("archived_tree", f"""WITH p AS (SELECT source AS repo_url, text,
+  ([{', '.join(f"'{f}'" for f in _FOLDERS)}])[doc_id % {len(_FOLDERS)} + 1] || '/f' || doc_id
+  || ([{', '.join(f"'{e}'" for e in _ENDINGS)}])[n_chars % {len(_ENDINGS)} + 1] AS path FROM documents)
+SELECT repo_url, path, CASE regexp_extract(path, '\\.[a-z]+$') WHEN '.py' THEN 'python' WHEN '.java' THEN 'java'
+  WHEN '.go' THEN 'go' ELSE 'swift' END AS language, md5(text) AS digest, strlen(text) AS size_bytes
+FROM p WHERE regexp_matches(path, '\\.(py|java|go|swift)$')
+  AND NOT regexp_matches(path, '(^|/)(vendor|node_modules|build)/')""")
+def archived_tree(spark, sf_dir):
+    """The documents as source trees, packed into archives and read back by ranges of them."""
+    folder = _folder(spark, "archives")
+
+    def one_of(values, number):
+        return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+
+    path = F.concat(one_of(_FOLDERS, F.col("doc_id")), F.lit("/f"), "doc_id", one_of(_ENDINGS, F.col("n_chars")))
+    archives.write_archives(tables.documents(spark, sf_dir).select(
+        F.col("source").alias("repo_url"), path.alias("path"), F.col("text").alias("content")), folder)
+    return archives.read_archives(spark, folder, 1 << 20).select(
+        "repo_url", "path", "language", F.md5("content").alias("digest"), "size_bytes")
