@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from faultlens.functions.nfkc import nfkc
+
 # A literal or comment is written as (first character, rest). One character
 # class in front lets the engine skip ordinary text at its cheapest; a literal
 # is only tried where it can start. Every quantifier over an alternation is
@@ -106,8 +108,8 @@ _PLAIN = "\n\n'\"\""
 
 
 def normalise_source(text: Column) -> Column:
-    """Byte-order mark, line ends, control characters, typographic quotes."""
-    cleaned = unify_newlines(F.replace(text, F.lit("\ufeff"), F.lit("")))
+    """Compatibility forms, byte-order mark, line ends, control characters, typographic quotes."""
+    cleaned = unify_newlines(nfkc(F.replace(text, F.lit("\ufeff"), F.lit(""))))
     cleaned = F.translate(cleaned, _TYPOGRAPHIC, _PLAIN)
     return F.regexp_replace(cleaned, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
 

@@ -165,6 +165,19 @@ def normalised_text(spark, sf_dir):
         "doc_id", F.md5(text.normalise_source(dressed)).alias("digest"))
 
 
+@query("compatibility_text", """SELECT doc_id, md5(regexp_replace(text || ' 한글 각 1 1⁄2 TEL',
+    '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]', '', 'g')) AS digest FROM documents""")
+def compatibility_text(spark, sf_dir):
+    """Texts with wide letters, ligatures, letters and marks apart and Hangul letter by letter."""
+    apart = F.col("text")
+    for whole, parts in (("é", "e\u0301"), ("è", "e\u0300"), ("ü", "u\u0308"), ("ç", "c\u0327"), ("fi", "\ufb01")):
+        apart = F.replace(apart, F.lit(whole), F.lit(parts))
+    wide = F.translate(apart, "bgk", "ｂｇｋ")
+    tail = "\u3000\u1112\u1161\u11ab\uae00 \uac00\u11a8\u00a0\u2460\u2002\u00bd \u2121"
+    return tables.documents(spark, sf_dir).select(
+        "doc_id", F.md5(text.normalise_source(F.concat(wide, F.lit(tail)))).alias("digest"))
+
+
 # ------------------------------------------------------------ surrogate rules
 @query("signals_by_file", f"""WITH {_SIGNALS}
 SELECT doc_id, basic, advanced, label, {', '.join(f'{f}' for f in _RULES)} FROM files""")
