@@ -204,4 +204,5 @@ def nfkc(text: Column) -> Column:
 
     # Bound once: the pieces are looked at by their numbers.
     done = F.element_at(F.transform(F.array(pieces), in_place), 1)
-    return F.when(text.rlike(rf"[^\x00-\x7F{settled}]"), done).otherwise(text)
+    # Runs of ASCII are passed over by the cheapest test there is.
+    return F.when(text.rlike(rf"\A(?:[\x00-\x7F]++|[{settled}]++)*+\z"), text).otherwise(done)
