@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.components import components
+from faultlens.llm.components import LEAST_HOT, SHARE, components
 from faultlens.llm.storage import written
 from faultlens.llm.words import texts_of, word_blocks
 
@@ -199,16 +199,28 @@ def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
     ).select("fingerprint", F.coalesce("root", "fingerprint").alias("class"))
 
 
+def _with_least(of: DataFrame, smallest: DataFrame) -> DataFrame:
+    """fingerprint, class, component_id: the smallest doc_id of each class, at its fingerprints.
+
+    A class of very many fingerprints would fill one task of the join. There are at
+    most ``SHARE`` that have over a SHARE-th of all, a table to broadcast.
+    """
+    bound = max(LEAST_HOT, of.count() // SHARE)
+    least = written(of.join(smallest, "fingerprint").groupBy("class").agg(
+        F.min("least").alias("component_id"), (F.count("*") > bound).alias("hot")), "simhash-least")
+    hot = F.broadcast(least.filter("hot").drop("hot"))
+    return of.join(hot, "class").unionByName(
+        of.join(hot, "class", "left_anti").join(least.filter("not hot").drop("hot"), "class"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (long), text_hash, component_id for each row of ``docs``."""
+    """doc_id, fingerprint (long), text_hash, class (a fingerprint of it), component_id for
+    each row of ``docs``."""
     prints = written(fingerprints(docs, shingle), "simhash-prints")
     smallest = written(
         prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     of = written(classes(smallest.select("fingerprint"), radius), "simhash-classes")
-    least = (
-        of.join(smallest, "fingerprint").groupBy("class").agg(F.min("least").alias("component_id")))
-    ids = of.join(least, "class").select("fingerprint", "component_id")
-    return prints.join(ids, "fingerprint", "left")
+    return prints.join(_with_least(of, smallest), "fingerprint", "left")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -216,10 +228,8 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 
     Rows without a doc_id stay only if their class has no other, one of them.
     """
-    found = near_duplicates(docs, shingle, radius).select(
-        "doc_id", "text_hash", F.coalesce(
-            F.col("component_id").cast("string"), F.concat(F.lit("print:"), "fingerprint")).alias("of"))
-    kept = found.groupBy("of").agg(F.min(F.struct(
+    found = near_duplicates(docs, shingle, radius)
+    kept = found.groupBy("class").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("least")).select(
         F.col("least.doc_id").alias("kept_id"), F.col("least.text_hash").alias("kept_hash"))
     packed = docs.select(

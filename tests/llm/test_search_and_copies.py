@@ -128,6 +128,26 @@ def test_one_row_of_each_class_stays(spark):
     assert simhash.keep_one(near_rows(spark).limit(0)).collect() == []
 
 
+def test_near_copies_without_ids_keep_one(spark):
+    schema = "doc_id long, text string, fingerprint int, class int"
+
+    def table(texts):
+        return spark.createDataFrame([(None, t, 0, 0) for t in texts], schema)
+
+    words = [f"word{i}" for i in range(1200)]
+    given = [" ".join(words), *(" ".join([*words[:i], f"other{i}", *words[i + 1:]]) for i in range(0, 1200, 40))]
+    prints = [r.fingerprint for r in simhash.fingerprints(table(given).coalesce(1)).collect()]
+    near = [t for t, p in zip(given, prints) if 1 <= ((p ^ prints[0]) % (1 << 64)).bit_count() <= 4][:2]
+    assert len(near) == 2  # near, not equal
+    texts = [given[0], *near, "quite another text that stands alone"]
+    rows = table(texts)
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns and len({r.text for r in kept.collect()} & set(texts[:3])) == 1
+    assert kept.count() == 2
+    named = rows.withColumn("doc_id", F.when(F.col("text") == texts[2], 9))
+    assert {(r.doc_id, r.text) for r in simhash.keep_one(named).collect()} == {(9, texts[2]), (None, texts[3])}
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (300, 300)]
     random.Random(1).shuffle(links)
