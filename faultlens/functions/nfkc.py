@@ -29,19 +29,26 @@ def _is_syllable(point: int) -> bool:
 
 
 @functools.cache
-def _decompositions() -> dict[int, str]:
-    found = {}
+def _database() -> tuple[dict[int, str], dict[int, int]]:
+    """Characters with a decomposition, as the database has it, and those with a combining class."""
+    parts, classes = {}, {}
     for point in range(sys.maxunicode + 1):
-        if not (0xD800 <= point < 0xE000 or _is_syllable(point)):
-            whole = unicodedata.normalize("NFKD", chr(point))
-            if whole != chr(point):
-                found[point] = whole
-    return found
+        c = chr(point)
+        if given := unicodedata.decomposition(c):
+            parts[point] = given
+        if kind := unicodedata.combining(c):
+            classes[point] = kind
+    return parts, classes
 
 
 @functools.cache
+def _decompositions() -> dict[int, str]:
+    """Full compatibility decompositions, but for Hangul syllables."""
+    return {p: unicodedata.normalize("NFKD", chr(p)) for p in _database()[0] if not _is_syllable(p)}
+
+
 def _classes() -> dict[int, int]:
-    return {p: c for p in range(sys.maxunicode + 1) if (c := unicodedata.combining(chr(p)))}
+    return _database()[1]
 
 
 @functools.cache
@@ -49,9 +56,8 @@ def _composites() -> dict[str, str]:
     """Pairs of characters that are joined to one: canonical decompositions into two that
     come back when composed."""
     found = {}
-    for point in range(sys.maxunicode + 1):
-        parts = unicodedata.decomposition(chr(point))
-        if parts and not parts.startswith("<") and " " in parts:
+    for point, parts in _database()[0].items():
+        if not parts.startswith("<") and " " in parts:
             pair = "".join(chr(int(x, 16)) for x in parts.split())
             if unicodedata.normalize("NFC", pair) == chr(point):
                 found[pair] = chr(point)
@@ -69,8 +75,8 @@ def _joining() -> frozenset[int]:
 @functools.cache
 def _changing() -> frozenset[int]:
     """Characters that may change or be joined to what stands before."""
-    return _joining() | {p for p in range(sys.maxunicode + 1) if not 0xD800 <= p < 0xE000 and (
-        p in _classes() or unicodedata.normalize("NFKC", chr(p)) != chr(p))}
+    return _joining() | _classes().keys() | {
+        p for p in _database()[0] if unicodedata.normalize("NFKC", chr(p)) != chr(p)}
 
 
 def _class_of(given) -> str:

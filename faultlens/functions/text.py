@@ -109,7 +109,11 @@ _PLAIN = "\n\n'\"\""
 
 def normalise_source(text: Column) -> Column:
     """Compatibility forms, byte-order mark, line ends, control characters, typographic quotes."""
-    cleaned = unify_newlines(nfkc(F.replace(text, F.lit("\ufeff"), F.lit(""))))
+    def bound(value: Column, function) -> Column:
+        """``function`` of a value that it names more than once, which is then computed once."""
+        return F.element_at(F.transform(F.array(value), function), 1)
+
+    cleaned = bound(bound(F.replace(text, F.lit("\ufeff"), F.lit("")), nfkc), unify_newlines)
     cleaned = F.translate(cleaned, _TYPOGRAPHIC, _PLAIN)
     return F.regexp_replace(cleaned, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
 
