@@ -270,6 +270,23 @@ def chi_decision(spark, sf_dir):
     return test.select(F.round("p_value", 6).alias("p_value"), "decision")
 
 
+@query("test_report_lines", f"""WITH {_CUSTOMERS}{_TEST},
+p AS (SELECT *, exp(-chi2 / 2) * list_sum(list_transform(range(dof // 2),
+  lambda i: (chi2 / 2) ** i / gamma(i + 1))) AS p_value, {_V} AS v FROM test),
+l AS (SELECT unnest([
+  {{'ord': 0, 'value': printf('Chi-square: %.2f', chi2)}},
+  {{'ord': 1, 'value': printf('Degrees of freedom: %d', dof)}},
+  {{'ord': 2, 'value': printf('P-value: %.2e', p_value)}},
+  {{'ord': 3, 'value': printf('Cramer''s V: %.4f (', v) || CASE WHEN v < 0.1 THEN 'negligible'
+    WHEN v < 0.3 THEN 'small to medium' WHEN v < 0.5 THEN 'medium to large' ELSE 'large' END || ')'}},
+  {{'ord': 4, 'value': 'Decision: ' || CASE WHEN p_value < 0.001 THEN 'highly significant'
+    WHEN p_value < 0.05 THEN 'significant' ELSE 'not significant' END}}], recursive := true) FROM p)
+SELECT ord, value FROM l""")
+def test_report_lines(spark, sf_dir):
+    test = contingency.with_decision(contingency.chi_square(_customer_cells(spark, sf_dir)))
+    return reports.test_lines(test)
+
+
 @query("chi_contrib_top10", f"""WITH {_CUSTOMERS}{_TEST} SELECT row_key, col_key, n,
   round(expected, 6) AS expected, round(contribution, 6) AS contribution
 FROM x ORDER BY x.contribution DESC, row_key, col_key LIMIT 10""")

@@ -15,7 +15,7 @@ from faultlens.plans.workload import tables
 from faultlens.plans.workload.registry import query
 from faultlens.session import checkpoint_dir, local_folder
 from faultlens.sources import archives, clustered, repositories
-from faultlens.sources.tables import append_results, load_results, load_table
+from faultlens.sources.tables import append_results, export_csv, load_results, load_table
 from faultlens.streaming import incremental, keyed
 
 
@@ -235,3 +235,55 @@ def archived_tree(spark, sf_dir):
         F.col("source").alias("repo_url"), path.alias("path"), F.col("text").alias("content")), folder)
     return archives.read_archives(spark, folder, 1 << 20).select(
         "repo_url", "path", "language", F.md5("content").alias("digest"), "size_bytes")
+
+
+_EXPORTED = ("Has Try-Catch", "Has Timeout", "Has Retry")
+
+
+@query("exported_csv", f"""WITH g AS (SELECT source AS repo_url, lang, doc_id % 7 = 0 AS failed,
+  {', '.join(f"regexp_matches(text, '{p}') AS {f}" for f, p in _RULES.items())} FROM documents),
+r AS (SELECT repo_url, count(*) AS n, count(*) FILTER (failed) AS bad,
+  string_agg(DISTINCT lang, '; ' ORDER BY lang) FILTER (NOT failed) AS languages,
+  {', '.join(f"bool_or({f} AND NOT failed) AS {f}" for f in ("try_catch", "timeout", "retry"))}
+  FROM g GROUP BY repo_url)
+SELECT repo_url, languages AS "Languages", 'None detected' AS "HTTP Libraries",
+  printf('%.2f%%', 100.0::DOUBLE * (n - bad) / n) AS "Parser Success Rate",
+  CASE WHEN try_catch THEN 'True' ELSE 'False' END AS "Has Try-Catch",
+  CASE WHEN timeout THEN 'True' ELSE 'False' END AS "Has Timeout",
+  CASE WHEN retry THEN 'True' ELSE 'False' END AS "Has Retry" FROM r""")
+def exported_csv(spark, sf_dir):
+    """Repository rows of a corpus that is partly unreadable, exported as text and read back."""
+    files = tables.document_files(spark, sf_dir).withColumn("decode_ok", F.col("doc_id") % 7 != 0)
+    found = repo_results(classify_files(
+        files, languages=tables.DOCUMENT_LANGUAGES, rules=tables.SURROGATE_RULES, shapes=[], libraries=("http",)))
+    path = _folder(spark, "exported")
+    export_csv(found, path)
+    return load_table(spark, path + "/*.csv").select(
+        "repo_url", "Languages", "HTTP Libraries", "Parser Success Rate", *_EXPORTED)
+
+
+@query("redelivered_files", f"""WITH g AS (SELECT source AS repo_url,
+  CASE WHEN doc_id % 4 = 1 THEN 'token = ' ELSE text END AS text FROM documents),
+f AS (SELECT *, {', '.join(f"regexp_matches(text, '{p}') AS {f}" for f, p in _RULES.items())} FROM g)
+SELECT repo_url, count(*) AS total_files, count(*) FILTER (timeout) AS n_timeout,
+  count(*) FILTER (try_catch OR status_check OR timeout OR retry OR circuit_breaker) AS handled_files
+FROM f GROUP BY repo_url""")
+def redelivered_files(spark, sf_dir):
+    """The documents streamed into a store of file states, a quarter of them again in a later
+    batch with another text: only those are replaced, and compaction changes nothing."""
+    folder = _folder(spark, "redelivered")
+    docs = tables.documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    again = docs.where("doc_id % 4 = 1").withColumn("text", F.lit("token = "))
+    for batch in (docs, again):
+        batch.write.mode("append").parquet(f"{folder}/drops")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{folder}/drops")
+        incremental.start_scan(
+            tables.as_files(stream), f"{folder}/store", f"{folder}/progress", _LISTS,
+            languages=tables.DOCUMENT_LANGUAGES, rules=tables.SURROGATE_RULES, shapes=[], libraries=(),
+        ).awaitTermination()
+    incremental.compact(spark, f"{folder}/store", f"{folder}/compacted")
+    found = incremental.current_results(spark, f"{folder}/compacted", _LISTS)
+    states = incremental.stored_partials(spark, f"{folder}/compacted")
+    counts = states.groupBy("repo_url").agg(
+        F.count_if(F.array_contains("unlisted", "flags:timeout")).alias("n_timeout"))
+    return found.join(counts, "repo_url").select("repo_url", "total_files", "n_timeout", "handled_files")
