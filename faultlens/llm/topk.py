@@ -12,8 +12,9 @@ the other ranges are searched in tiles of queries. Results are exact whatever th
 pivots are: they come from a bounded sample and only decide what lies together.
 
 Results in special cases: a vector that is null or holds a null or non-finite
-component takes no part, nor does one whose scaled component exceeds 2**24 in
-size (its scores would not fit a long) or whose vec_id is null; a shorter vector
+component takes no part, nor does one with a null vec_id, or with a component so large
+that scores of such vectors would not fit a long (over 370,000 at 64 components, by
+the width of the longest vector); a shorter vector
 counts as filled up with zeros; rows that repeat a vec_id stand for one row, the
 greatest in array order; fewer candidates than k give all; other columns are
 ignored.
@@ -21,6 +22,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,14 +33,16 @@ from faultlens.llm.storage import written
 
 #: Rows of a block, of a range, queries of a tile, and vectors that pivots are taken from.
 BLOCK, RANGE, TILE, PIVOTS = 128, 8192, 4096, 64
-LARGEST = float(1 << 24)
 
 
 def whole_vectors(table: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id, vector (array of long): floor(scale * x) of each component x."""
+    width = table.agg(F.max(F.size("embedding"))).first()[0] or 0
+    # The sum of ``width`` products of such numbers is below 2**63.
+    largest = float(math.isqrt(((1 << 63) - 1) // max(1, width)) - 1)
     scaled = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     fits = F.forall("embedding", lambda x: F.coalesce(
-        ~F.isnan(x) & (F.abs(F.lit(float(scale)) * x.cast("double")) <= LARGEST), F.lit(False)))
+        ~F.isnan(x) & (F.abs(F.lit(float(scale)) * x.cast("double")) <= largest), F.lit(False)))
     return (
         table.select(F.col("vec_id").cast("long"), "embedding")
         .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())

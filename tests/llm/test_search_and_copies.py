@@ -29,6 +29,8 @@ def test_search_equals_brute_force(spark, monkeypatch, seed):
     rows += [(i, [0.5, 0.0, 0.0, 0.0, 0.0], "x") for i in range(150, 220)]  # ties
     rows += [(300, None, "x"), (310, [1.0, None], "x"), (320, [float("nan")] * 5, "x"),
              (330, [float("inf")] * 5, "x"), (340, [1e30] * 5, "x"), (None, [1.0] * 5, "x"), (350, [], "x")]
+    # Between the largest that doubles add exactly and the largest that fit a long.
+    rows += [(i, [x, -x, 1.0, 0.0, 0.1], "x") for i, x in ((400, 2e4), (401, 3e5), (410, -1.2e6), (411, 1.3e6))]
     rows += [rows[0], rows[10]]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector string").repartition(4)
     found = topk.search(topk.whole_vectors(table), F.col("vec_id") % 10 == 0, 10).collect()
