@@ -15,8 +15,8 @@ Results in special cases: a vector that is null or holds a null or non-finite
 component takes no part, nor does one with a null vec_id, or with a component so large
 that scores of such vectors would not fit a long (over 370,000 at 64 components, by
 the width of the longest vector); a shorter vector
-counts as filled up with zeros; rows that repeat a vec_id stand for one row, the
-greatest in array order; fewer candidates than k give all; other columns are
+counts as filled up with zeros; rows that repeat a vec_id are rows of their own, as
+candidates and as queries, and a query's own row alone is left out; fewer candidates than k give all; other columns are
 ignored.
 """
 
@@ -48,7 +48,6 @@ def whole_vectors(table: DataFrame, scale: int = 1024) -> DataFrame:
         .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .filter(fits)
         .select("vec_id", scaled.cast("array<long>").alias("vector"))
-        .groupBy("vec_id").agg(F.max("vector").alias("vector"))
     )
 
 
@@ -68,7 +67,7 @@ def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 
 def _index(vectors: DataFrame, n: int, width: int, pivots: np.ndarray) -> DataFrame:
-    """Blocks: range, ids, rows, high, low (bytes of longs)."""
+    """Blocks: range, ids, keys, rows, high, low (bytes of longs)."""
 
     @F.pandas_udf("int")
     def nearest(vector):
@@ -83,22 +82,23 @@ def _index(vectors: DataFrame, n: int, width: int, pivots: np.ndarray) -> DataFr
     def cut(batches):
         from pyspark import TaskContext
 
-        here, done, ids, rows = TaskContext.get().partitionId(), 0, [], []
+        here, done, ids, keys, rows = TaskContext.get().partitionId(), 0, [], [], []
 
         def take(k):
             nonlocal done
-            block, of = _matrix(rows[:k], width), np.array(ids[:k], np.int64)
-            del ids[:k], rows[:k]
+            block, of, by = _matrix(rows[:k], width), np.array(ids[:k], np.int64), np.array(keys[:k], np.int64)
+            del ids[:k], keys[:k], rows[:k]
             number = here * (1 << 32) + done // RANGE
             done += k
             return pa.record_batch(
                 [pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in (
-                    of, block, block.max(axis=0), block.min(axis=0)))],
-                names=["range", "ids", "rows", "high", "low"])
+                    of, by, block, block.max(axis=0), block.min(axis=0)))],
+                names=["range", "ids", "keys", "rows", "high", "low"])
 
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            rows += batch.column(1).to_pylist()
+            keys += batch.column(1).to_pylist()
+            rows += batch.column(2).to_pylist()
             while len(ids) >= BLOCK:
                 yield take(BLOCK)
         if ids:
@@ -106,94 +106,99 @@ def _index(vectors: DataFrame, n: int, width: int, pivots: np.ndarray) -> DataFr
 
     placed = vectors.withColumn("pivot", nearest("vector"))
     return (
-        placed.repartitionByRange(max(1, -(-n // RANGE)), "pivot", "vec_id")
-        .sortWithinPartitions("pivot", "vec_id")
-        .select("vec_id", "vector")
-        .mapInArrow(cut, "range long, ids binary, rows binary, high binary, low binary")
+        placed.repartitionByRange(max(1, -(-n // RANGE)), "pivot", "vec_id", "key")
+        .sortWithinPartitions("pivot", "vec_id", "key")
+        .select("vec_id", "key", "vector")
+        .mapInArrow(cut, "range long, ids binary, keys binary, rows binary, high binary, low binary")
     )
 
 
 class _Best:
-    """The k best (score, id) of one query, ties to the smaller id."""
+    """The k best (score, id, key) of one query, ties to the smaller id, then key."""
 
     def __init__(self, k: int, floor: int | None):
         self.k, self.floor = k, floor
-        self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.scores, self.ids, self.keys = (np.zeros(0, np.int64) for _ in range(3))
 
     @property
     def kth(self) -> int | None:
         own = int(self.scores[-1]) if len(self.scores) == self.k else None
         return max((x for x in (own, self.floor) if x is not None), default=None)
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, *found: np.ndarray) -> None:
         if self.kth is not None:
-            enough = scores >= self.kth
-            scores, ids = scores[enough], ids[enough]
-        if not len(ids):
+            enough = found[0] >= self.kth
+            found = [x[enough] for x in found]
+        if not len(found[0]):
             return
-        scores, ids = np.concatenate((self.scores, scores)), np.concatenate((self.ids, ids))
-        best = np.lexsort((ids, -scores))[:self.k]
-        self.scores, self.ids = scores[best], ids[best]
+        scores, ids, keys = (np.concatenate(x) for x in zip((self.scores, self.ids, self.keys), found))
+        best = np.lexsort((keys, ids, -scores))[:self.k]
+        self.scores, self.ids, self.keys = scores[best], ids[best], keys[best]
 
 
 def _search(blocks, queries, k: int, width: int):
-    """(query_id, vec_id, score) from the blocks of a range for (id, vector, kth so far)."""
+    """(query_key, query_id, vec_id, key, score) from the blocks of a range for
+    (key, id, vector, kth so far)."""
     decoded = []
-    for ids, rows, high, low in blocks:
+    for ids, keys, rows, high, low in blocks:
         of = np.frombuffer(ids, np.int64)
-        decoded.append((of, np.frombuffer(rows, np.int64).reshape(len(of), width),
+        decoded.append((of, np.frombuffer(keys, np.int64), np.frombuffer(rows, np.int64).reshape(len(of), width),
                         np.frombuffer(high, np.int64), np.frombuffer(low, np.int64)))
-    high, low = (np.stack([d[i] for d in decoded]) for i in (2, 3))
+    high, low = (np.stack([d[i] for d in decoded]) for i in (3, 4))
     out = []
-    for query_id, vector, floor in queries:
+    for query_key, query_id, vector, floor in queries:
         q = _matrix([vector], width)
         bounds = (_scores(high, np.maximum(q, 0)) + _scores(low, np.minimum(q, 0)))[:, 0]
         best = _Best(k, floor)
         for b in np.argsort(-bounds):
             if best.kth is not None and bounds[b] < best.kth:
                 break
-            ids, rows = decoded[b][:2]
+            ids, keys, rows = decoded[b][:3]
             scores = _scores(rows, q)[:, 0]
-            other = ids != query_id
-            best.add(scores[other], ids[other])
-        out += [(query_id, int(i), int(s)) for i, s in zip(best.ids, best.scores)]
+            other = keys != query_key
+            best.add(scores[other], ids[other], keys[other])
+        out += [(query_key, query_id, int(i), int(j), int(s))
+                for i, j, s in zip(best.ids, best.keys, best.scores)]
     return out
 
 
+FOUND = ("query_key", "query_id", "vec_id", "key", "score")
+
+
 def _found(rows):
     import pandas as pd
 
     return pd.DataFrame(
         {name: pd.Series([r[i] for r in rows], dtype="int64")
-         for i, name in enumerate(("query_id", "vec_id", "score"))})
+         for i, name in enumerate(FOUND)})
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_key").orderBy(F.col("score").desc(), "vec_id", "key")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each query among ``vectors``.
 
-    ``vectors(vec_id, vector)`` has unique ids; ``is_query`` is a condition on vec_id.
+    ``is_query`` is a condition on ``vectors(vec_id, vector)``; each row has a key of its own.
     """
-    vectors = written(vectors, "topk-vectors")
+    vectors = written(vectors.withColumn("key", F.monotonically_increasing_id()), "topk-vectors")
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
     n, width = size["n"], size["width"] or 0
-    sample = vectors.orderBy(F.xxhash64("vec_id")).limit(PIVOTS).collect()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "key").limit(PIVOTS).collect()
     pivots = _matrix([r["vector"] for r in sample], width).astype(float)
     blocks = written(_index(vectors, n, width, pivots), "topk-blocks")
     queries = vectors.filter(is_query)
 
     def at_home(left, right):
-        own = [(i, v, None) for i, v in zip(right["vec_id"], right["vector"])]
-        rows = left[["ids", "rows", "high", "low"]].itertuples(index=False)
+        own = [(j, i, v, None) for j, i, v in zip(right["key"], right["vec_id"], right["vector"])]
+        rows = left[["ids", "keys", "rows", "high", "low"]].itertuples(index=False)
         return _found(_search(rows, own, k, width) if len(left) else [])
 
     def away(left, right):
-        own = list(zip(right["vec_id"], right["vector"], map(int, right["kth"])))
-        rows = left[["ids", "rows", "high", "low"]].itertuples(index=False)
+        own = list(zip(right["key"], right["vec_id"], right["vector"], map(int, right["kth"])))
+        rows = left[["ids", "keys", "rows", "high", "low"]].itertuples(index=False)
         return _found(_search(rows, own, k, width) if len(left) else [])
 
     # Where each query lies.
@@ -201,22 +206,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     def unpacked(raw):
         return raw.map(lambda x: np.frombuffer(x, np.int64).tolist())
 
-    homes = blocks.select("range", F.explode(unpacked("ids")).alias("vec_id")).filter(is_query)
-    placed = queries.join(homes, "vec_id").withColumnRenamed("range", "home")
-    schema = "query_id long, vec_id long, score long"
+    homes = blocks.select("range", F.explode(unpacked("keys")).alias("key"))
+    placed = queries.join(homes, "key").withColumnRenamed("range", "home")
+    schema = ", ".join(f"{name} long" for name in FOUND)
     near = written(
         blocks.groupBy("range").cogroup(placed.groupBy("home")).applyInPandas(at_home, schema),
         "topk-near")
-    kth = near.groupBy("query_id").agg(
+    kth = near.groupBy("query_key").agg(
         F.min("score").alias("least"), F.count("*").alias("n")).select(
-        F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least")).alias("kth"))
+        F.col("query_key").alias("key"), F.when(F.col("n") >= k, F.col("least")).alias("kth"))
     tiles = max(1, -(-n // (100 * TILE)))
     # The query set against all ranges, tile by tile.
     tile = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     tiled = (
-        placed.join(kth, "vec_id", "left")
+        placed.join(kth, "key", "left")
         .withColumn("kth", F.coalesce("kth", F.lit(-(1 << 63))))
-        .withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
+        .withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int"))
         .join(blocks.select("range").distinct().withColumn("tile", tile), "tile")
         .filter("range != home")
     )

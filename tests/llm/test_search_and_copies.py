@@ -10,12 +10,14 @@ from faultlens.llm.components import components
 DOCS = "doc_id long, text string, fingerprint string, component_id int"
 
 
-def brute_topk(vectors, queries, k):
+def brute_topk(vectors, is_query, k):
+    """Over (id, vector) rows, of which some have the same id."""
     out = []
-    for q in queries:
-        scores = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i)
-                         for i, v in vectors.items() if i != q))[:k]
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+    for at, (q, vector) in enumerate(vectors):
+        if is_query(q):
+            scores = sorted((-sum(a * b for a, b in zip(vector, v)), i)
+                            for other, (i, v) in enumerate(vectors) if other != at)[:k]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
     return out
 
 
@@ -31,12 +33,13 @@ def test_search_equals_brute_force(spark, monkeypatch, seed):
              (330, [float("inf")] * 5, "x"), (340, [1e30] * 5, "x"), (None, [1.0] * 5, "x"), (350, [], "x")]
     # Between the largest that doubles add exactly and the largest that fit a long.
     rows += [(i, [x, -x, 1.0, 0.0, 0.1], "x") for i, x in ((400, 2e4), (401, 3e5), (410, -1.2e6), (411, 1.3e6))]
-    rows += [rows[0], rows[10]]
+    # Rows that repeat an id, with the same vector and with another.
+    rows += [rows[0], rows[10], (20, [0.9] * 5, "x"), (21, [0.4] * 5, "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector string").repartition(4)
     found = topk.search(topk.whole_vectors(table), F.col("vec_id") % 10 == 0, 10).collect()
-    vectors = {i: [int(np.floor(1024 * x)) for x in v] for i, v, _ in rows
-               if i is not None and v is not None and all(x is not None and abs(x) < 1e20 for x in v)}
-    expected = brute_topk(vectors, [i for i in vectors if i % 10 == 0], 10)
+    vectors = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v, _ in rows
+               if i is not None and v is not None and all(x is not None and abs(x) < 1e20 for x in v)]
+    expected = brute_topk(vectors, lambda i: i % 10 == 0, 10)
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
