@@ -2,10 +2,11 @@
 
 The tables are data: full decompositions, combining classes and primary composites, taken
 from the character database when the expression is built and put into the plan as
-arrays that are read by code point. A text is cut into stretches that nothing can change
-and short runs around characters that may; only runs are worked on: characters are
-decomposed, marks are put in order of their class, and starters are joined with what
-follows them. Hangul syllables are taken apart and joined by arithmetic.
+arrays that are read by code point. Characters that stand for one other are replaced in a
+single pass. Then a text is cut into stretches that nothing can change and short runs around
+characters that may. A run of one character is looked up; only others are worked on:
+characters are decomposed, marks are put in order of their class, and starters are joined
+with what follows them. Hangul syllables are taken apart and joined by arithmetic.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 _SYLLABLES, _LEADING, _VOWELS, _TRAILING = 0xAC00, 0x1100, 0x1161, 0x11A7
 _N_VOWELS, _N_TRAILING, _N_SYLLABLES = 21, 28, 11172
 #: Code points of a page of a table, and what stands between entries (no character of a text).
-_PAGE, _BETWEEN = 64, "\x01"
+_PAGE_BITS, _BETWEEN = 6, "\x01"
+_PAGE = 1 << _PAGE_BITS
+#: Stands before each entry of the characters that a mark is joined to.
+_ENTRY = "\x02"
 
 
 def _is_syllable(point: int) -> bool:
@@ -79,6 +83,39 @@ def _changing() -> frozenset[int]:
         p for p in _database()[0] if unicodedata.normalize("NFKC", chr(p)) != chr(p)}
 
 
+@functools.cache
+def _replaced() -> tuple[str, str]:
+    """Characters whose normal form is one other character, and those. What a text decomposes
+    to stays the same if they are replaced, and so does its normal form."""
+    forms = {p: unicodedata.normalize("NFKC", chr(p)) for p in _database()[0] if not _is_syllable(p)}
+    one = {p: form for p, form in forms.items() if len(form) == 1 and form != chr(p)}
+    return "".join(map(chr, one)), "".join(one.values())
+
+
+@functools.cache
+def _joined_to() -> dict[int, str]:
+    """For each mark: entries of a character it is joined to and what they become."""
+    found = {}
+    for pair, whole in _composites().items():
+        found[ord(pair[1])] = found.get(ord(pair[1]), "") + _ENTRY + pair[0] + whole
+    return found
+
+
+@functools.cache
+def _alone() -> dict[int, str]:
+    """What becomes of a character between settled ones: its normal form, or for a mark the
+    entries of what it is joined to. Letters of Hangul, and what decomposes to marks, are left out."""
+    found, inner = {}, _joining() | _classes().keys()
+    for p in _unsettled():
+        form = unicodedata.normalize("NFKC", chr(p))
+        if p not in inner:
+            if ord(form[0]) not in inner:
+                found[p] = form
+        elif p not in _database()[0] and not _VOWELS <= p < _TRAILING + _N_TRAILING:
+            found[p] = _joined_to().get(p, _ENTRY)
+    return found
+
+
 def _class_of(given) -> str:
     """Characters as the inside of a regex class."""
     points = sorted(given)
@@ -101,8 +138,8 @@ def _table(entries: dict[int, str], default: str):
     values = F.split(F.lit(_BETWEEN.join(cells)), _BETWEEN)
 
     def at(point: Column) -> Column:
-        page = F.coalesce(F.try_element_at(index, (F.floor(point / _PAGE) + 1).cast("int")), F.lit(0))
-        place = ((page - 1) * _PAGE + point % _PAGE + 1).cast("int")
+        page = F.coalesce(F.try_element_at(index, F.shiftright(point, _PAGE_BITS) + 1), F.lit(0))
+        place = (page - 1) * _PAGE + point.bitwiseAND(_PAGE - 1) + 1
         return F.when(page > 0, F.element_at(values, place)).otherwise(F.lit(default))
 
     return at
@@ -116,12 +153,16 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def _whole(entries: Column, starter: Column) -> Column:
+    """What a character becomes with a mark that has the entries; null if they are not joined."""
+    at = F.instr(entries, F.concat(F.lit(_ENTRY), starter))
+    return F.when((starter != "") & (at > 0), F.substr(entries, at + 2, F.lit(1)))
+
+
 def _normalised_run(run: Column) -> Column:
     decomposition = _table(_decompositions(), "")
     combining = _table({p: str(c) for p, c in _classes().items()}, "0")
-    pairs = _composites()
-    composite = F.map_from_arrays(
-        F.split(F.lit(_BETWEEN.join(pairs)), _BETWEEN), F.split(F.lit(_BETWEEN.join(pairs.values())), _BETWEEN))
+    joined_to = _table(_joined_to(), "")
 
     def apart(c: Column) -> Column:
         point = F.ascii(c)
@@ -163,7 +204,7 @@ def _normalised_run(run: Column) -> Column:
         whole = (
             F.when(vowel, _char(((first - _LEADING) * _N_VOWELS + second - _VOWELS) * _N_TRAILING + _SYLLABLES))
             .when(trailing, _char(first + second - _TRAILING))
-            .otherwise(F.try_element_at(composite, F.concat(s["starter"], m["c"]))))
+            .otherwise(_whole(joined_to(second), s["starter"])))
         # Blocked by a mark of the same or a higher class in between, or by any if this is a starter.
         free = (s["behind"] == "") | ((m["kind"] > s["last"]) & (m["kind"] > 0))
         joins = s["starter"].isNotNull() & free & whole.isNotNull()
@@ -182,29 +223,49 @@ def _normalised_run(run: Column) -> Column:
 
 
 @functools.cache
-def _settled() -> str:
-    """A regex class of long stretches of code points without a character that may change;
-    what lies between them is looked at one by one."""
+def _gaps() -> tuple[tuple[int, int], ...]:
+    """First and last of long stretches of code points without a character that may change."""
     changing = sorted(p for p in _changing() if p > 0x7F)
     ends = [0x7F, *changing, sys.maxunicode + 1]
-    return "".join(
-        rf"\x{{{a + 1:X}}}-\x{{{b - 1:X}}}" for a, b in zip(ends, ends[1:]) if b - a > (1 if b < 0x300 else _PAGE))
+    return tuple((a + 1, b - 1) for a, b in zip(ends, ends[1:]) if b - a > (1 if b < 0x300 else _PAGE))
+
+
+def _settled() -> str:
+    """These stretches as a regex class; what lies between them is looked at one by one."""
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _gaps())
+
+
+def _unsettled() -> list[int]:
+    """The code points between those stretches, but for surrogates."""
+    starts = [0x80, *(b + 1 for _, b in _gaps())]
+    ends = [*(a for a, _ in _gaps()), sys.maxunicode + 1]
+    return [p for a, b in zip(starts, ends) for p in range(a, b) if not 0xD800 <= p < 0xE000]
 
 
 def nfkc(text: Column) -> Column:
     """The compatibility normal form of a text, which may be null."""
     settled = _settled()
+    alone = _table(_alone(), "")
     # Alternately: characters that stay as they are, and others.
     pieces = F.regexp_extract_all(
-        text, F.lit(rf"(?:[\x00-\x7F]++|[{settled}]++)++|[^\x00-\x7F{settled}]++"), F.lit(0))
+        F.translate(text, *_replaced()), F.lit(rf"(?:[\x00-\x7F]++|[{settled}]++)++|[^\x00-\x7F{settled}]++"), F.lit(0))
 
     def in_place(all_: Column) -> Column:
         def one(piece: Column, i: Column) -> Column:
             # The last character before others goes with them: marks may be joined to it.
             before = F.when(i > 0, F.right(F.get(all_, i - 1), F.lit(1))).otherwise("")
             kept = F.when(i + 1 < F.size(all_), F.left(piece, F.length(piece) - 1)).otherwise(piece)
-            return F.when(piece.rlike(rf"^[\x00-\x7F{settled}]"), kept).otherwise(
-                _normalised_run(F.concat(before, piece)))
+            form = alone(F.ascii(piece))
+            single = F.length(piece) == 1
+            return (
+                F.when(F.ascii(piece) < 0x80, kept)
+                # ASCII and a mark that it is not joined to stay; other letters may come apart before it.
+                .when(single & form.startswith(_ENTRY) & (
+                    (F.ascii(before) < 0x80) | _whole(form, before).isNotNull()),
+                    F.coalesce(_whole(form, before), F.concat(before, piece)))
+                .when(single & (form != "") & ~form.startswith(_ENTRY), F.concat(before, form))
+                .when(piece.rlike(rf"^[{settled}]"), kept)
+                .otherwise(_normalised_run(F.concat(before, piece))))
 
         return F.array_join(F.transform(all_, one), "")
 

@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from faultlens.functions import nfkc as nfkc_module
 from faultlens.functions.nfkc import nfkc
 from faultlens.functions.text import normalise_source
 
@@ -44,6 +45,18 @@ def test_plain_long_and_missing_texts(spark):
     assert spark.createDataFrame([(None,)], "t string").select(nfkc(F.col("t"))).first()[0] is None
 
 
+def test_single_characters_are_looked_up(spark):
+    """Each character that may change between and behind letters of many kinds, and doubled."""
+    points = [p for p in nfkc_module._unsettled() if p % 7 == 0 or p in nfkc_module._joining()]
+    texts = [f"{a}{chr(p)}{b}" for p in points for a, b in (("e", "x"), ("", "ü"), ("ü", ""), ("\u1100", "\u1161"))]
+    texts += [f"x{chr(p)}{chr(q)}" for p, q in zip(points, points[1:])] + ["ｅ\u0301ｂ", "\x02\u0301", "ﬁ\u0301", "か\u3099\u0323"]
+    assert wrong(texts, normalised(spark, texts)) == []
+    # Where the text has no run of several such characters, no run is worked on one by one.
+    alone = nfkc_module._alone()
+    assert alone[0xFB01] == "fi" and "eé" in alone[0x301] and 0x1161 not in alone
+    assert dict(zip(*nfkc_module._replaced()))["ｂ"] == "b"
+
+
 def test_no_python_at_run_time(spark):
     frame = spark.range(1).select(nfkc(F.col("id").cast("string")))
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
