@@ -1,11 +1,12 @@
 """Source trees packed in tar or zip archives, as a data source with splits.
 
-An archive is read in ranges of bytes, each by a task of its own: a range takes the
-members whose header begins in it, hopping from header to header (tar) or by the
-directory at the end (zip). Compressed tar files can't be entered in the middle and are
+An archive is read in ranges of bytes: a range takes the members whose header begins in
+it, by the directory at the end (zip) or hopping from header to header (tar). So that
+no range of a tar file hops over those before it, one pass over its headers first finds
+where ranges begin; these are rows that Spark deals out. Compressed tar files can't be entered in the middle and are
 one range each. Members that no analysis wants, by ending or by a pruned directory, are
 passed over without being read, and where the schema has no ``content`` nothing but
-headers is. The driver sees the archives' names and sizes alone.
+headers is, once an archive. The driver sees the archives' names and sizes alone.
 
 Files are reached through Arrow's file systems, so a folder may be a mounted one or any
 address these know. Writing packs each partition into one archive, under a name that
@@ -20,6 +21,7 @@ an empty member, and rows without a path are left out.
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import uuid
 import zipfile
@@ -37,6 +39,8 @@ from faultlens.sources.files import decoded, select_files
 
 FORMAT = "source_archives"
 SCHEMA = "repo_url string, path string, size_bytes bigint, content binary"
+#: Where a range begins and ends, and the headers for all members that a tar file gives before it.
+RANGES = "archive string, low bigint, high bigint, headers string"
 ENDINGS = (".tar", ".tar.gz", ".tgz", ".zip")
 #: Bytes of archive a task reads, and of members in a batch.
 SPLIT, BATCH = 64 << 20, 16 << 20
@@ -94,15 +98,18 @@ def wanted(path: str) -> bool:
     return parts[-1][dot:] in domain.EXTENSION_LANGUAGE and not set(parts[:-1]) & set(domain.SKIP_DIRS) if dot >= 0 else False
 
 
-def _tar_members(file, low: int, high: int | None, packed: bool):
-    """(name, size, function that reads it) of members whose header begins in the range."""
+def _tar_members(file, low: int, high: int | None, packed: bool, headers: str | None):
+    """(name, size, function that reads it) of members whose header begins in the range;
+    with ``headers``, a member's header begins at ``low``."""
     if packed:
         archive = tarfile.open(fileobj=file, mode="r|gz")
         for member in archive:
             if member.isfile():
                 yield member.name, member.size, lambda m=member: archive.extractfile(m).read()
         return
-    archive = tarfile.open(fileobj=file, mode="r:")
+    if headers is not None:
+        file.seek(low)
+    archive = tarfile.open(fileobj=file, mode="r:", pax_headers=json.loads(headers or "{}"))
     while (member := archive.next()) is not None:
         archive.members.clear()  # else every header passed by is kept
         if high is not None and member.offset >= high:
@@ -111,6 +118,18 @@ def _tar_members(file, low: int, high: int | None, packed: bool):
             yield member.name, member.size, lambda m=member: archive.extractfile(m).read()
 
 
+def _tar_ranges(file, split: int):
+    """(low, high, headers) of ranges of about ``split`` bytes, each from a member's header on."""
+    archive = tarfile.open(fileobj=file, mode="r:")
+    low, headers = 0, "{}"
+    while (member := archive.next()) is not None:
+        archive.members.clear()
+        if member.offset // split > low // split:
+            yield low, member.offset, headers
+            low, headers = member.offset, json.dumps(archive.pax_headers)
+    yield low, None, headers
+
+
 def _zip_members(file, low: int, high: int | None):
     archive = zipfile.ZipFile(file)
     for member in sorted(archive.infolist(), key=lambda m: m.header_offset):
@@ -118,6 +137,43 @@ def _zip_members(file, low: int, high: int | None):
             yield member.filename, member.file_size, lambda m=member: archive.read(m)
 
 
+def _record_batch(columns, rows):
+    kinds = {"repo_url": pa.string(), "path": pa.string(), "size_bytes": pa.int64(), "content": pa.binary(),
+             "archive": pa.string(), "low": pa.int64(), "high": pa.int64(), "headers": pa.string()}
+    return pa.record_batch([pa.array(c, kinds[n]) for n, c in zip(columns, zip(*rows))], columns)
+
+
+def _opened(system, archive: str):
+    raw = system.open_input_file(archive)
+    return raw, io.BufferedReader(_Seekable(raw), 4096)
+
+
+def _files(system, columns, everything: bool, archive: str, low: int, high: int | None, headers: str | None = None):
+    """Batches of the files of a range."""
+    raw, file = _opened(system, archive)
+    with raw, file:
+        if archive.endswith(".zip"):
+            members = _zip_members(file, low, high)
+        else:
+            members = _tar_members(file, low, high, not archive.endswith(".tar"), headers)
+        held, total = [], 0
+        for name, size, body in members:
+            repository, _, path = name.removeprefix("./").partition("/")
+            repository, path = (repository, path) if path else (None, repository)
+            if not everything and not wanted(path):
+                continue
+            given = {"repo_url": repository, "path": path, "size_bytes": size}
+            if "content" in columns:
+                given["content"] = body()
+                total += size
+            held.append(tuple(given[c] for c in columns))
+            if total >= BATCH or len(held) >= 10_000:
+                yield _record_batch(columns, held)
+                held, total = [], 0
+        if held:
+            yield _record_batch(columns, held)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema, options):
         self.columns = schema.fieldNames()
@@ -135,6 +191,10 @@ class _Reader(DataSourceReader):
             if hidden or not found.is_file or not found.base_name.endswith(ENDINGS):
                 continue
             whole = found.base_name.endswith((".gz", ".tgz")) or found.size <= self.split
+            if "low" in self.columns:
+                whole = whole or found.base_name.endswith(".tar")
+            elif "content" not in self.columns:
+                whole = True  # its headers are read once, not once a range
             cuts = [0] if whole else list(range(0, found.size, self.split))
             ranges += [_Range(found.path, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
         return ranges or [_Range("", 0, 0)]
@@ -143,31 +203,19 @@ class _Reader(DataSourceReader):
         if not partition.path:
             return
         system, _ = _system(self.path)
-        with system.open_input_file(partition.path) as raw, io.BufferedReader(_Seekable(raw), 4096) as file:
-            if partition.path.endswith(".zip"):
-                members = _zip_members(file, partition.low, partition.high)
-            else:
-                members = _tar_members(file, partition.low, partition.high, not partition.path.endswith(".tar"))
-            held, total = [], 0
-            for name, size, body in members:
-                repository, _, path = name.removeprefix("./").partition("/")
-                repository, path = (repository, path) if path else (None, repository)
-                if not self.everything and not wanted(path):
-                    continue
-                given = {"repo_url": repository, "path": path, "size_bytes": size}
-                if "content" in self.columns:
-                    given["content"] = body()
-                    total += size
-                held.append(tuple(given[c] for c in self.columns))
-                if total >= BATCH or len(held) >= 10_000:
-                    yield self._batch(held)
-                    held, total = [], 0
-            if held:
-                yield self._batch(held)
-
-    def _batch(self, rows):
-        kinds = {"repo_url": pa.string(), "path": pa.string(), "size_bytes": pa.int64(), "content": pa.binary()}
-        return pa.record_batch([pa.array(c, kinds[n]) for n, c in zip(self.columns, zip(*rows))], self.columns)
+        if "low" in self.columns:
+            yield from self._ranges(system, partition)
+        else:
+            yield from _files(system, self.columns, self.everything, partition.path, partition.low, partition.high)
+
+    def _ranges(self, system, partition):
+        if not partition.path.endswith(".tar"):
+            yield _record_batch(self.columns, [(partition.path, partition.low, partition.high, None)])
+            return
+        raw, file = _opened(system, partition.path)
+        with raw, file:
+            for low, high, headers in _tar_ranges(file, self.split):
+                yield _record_batch(self.columns, [(partition.path, low, high, headers)])
 
 
 class _Writer(DataSourceArrowWriter):
@@ -243,7 +291,17 @@ def list_archives(spark: SparkSession, folder: str, split: int = SPLIT) -> DataF
 
 def read_archives(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     """The ``files`` table of all archives of a folder."""
-    found = _registered(spark).read.format(FORMAT).schema(SCHEMA).option("splitBytes", split).load(folder)
+    ranges = _registered(spark).read.format(FORMAT).schema(RANGES).option("splitBytes", split).load(folder)
+    columns = ["repo_url", "path", "size_bytes", "content"]
+
+    def files(batches):
+        system, _ = _system(folder)
+        for batch in batches:
+            for part in batch.to_pylist():
+                yield from _files(system, columns, False, part["archive"], part["low"], part["high"], part["headers"])
+
+    # Dealt out evenly: a number that is given is not made smaller for rows as short as these.
+    found = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(files, SCHEMA)
     body, ok = decoded(F.col("content"))
     return select_files(found).select(
         "repo_url", "path", "ext", "language",
