@@ -17,6 +17,9 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 
+#: Hashes that are searched for in one part of an array, and stored ones in a part, at least.
+PART, LEAST_PART = 256, 4096
+
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
@@ -57,11 +60,41 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.cumsum(out[0], dtype=np.uint64), out[1:]
 
 
+def order_of(hashes: np.ndarray) -> np.ndarray:
+    """The stable order of hashes: their upper bits and places are sorted as one number, and
+    what differs in lower bits alone is put right after that."""
+    n = len(hashes)
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = (np.sort((hashes & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+    ordered = hashes[order]
+    for _ in range(8):
+        bad = np.flatnonzero(ordered[1:] < ordered[:-1])
+        if not len(bad):
+            return order
+        bad = bad[np.r_[True, bad[1:] != bad[:-1] + 1]]
+        for values in (order, ordered):
+            values[bad], values[bad + 1] = values[bad + 1], values[bad]
+    return np.argsort(hashes, kind="stable")
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and where in them each hash is."""
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64)
+    order = order_of(hashes)
+    ordered = hashes[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    at = np.empty(len(hashes), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], at
+
+
 def summed(hashes: np.ndarray, columns: Iterable[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct hashes in order, with the sums of their rows; floats are added as long ones."""
     if not len(hashes):
         return hashes, list(columns)
-    order = np.argsort(hashes, kind="stable")
+    order = order_of(hashes)
     hashes = hashes[order]
     starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
     return hashes[starts], [
@@ -94,12 +127,28 @@ def mapped(folder: str, name: str, shard: int, key: str, kind: str) -> np.ndarra
     if info.type == fs.FileType.NotFound or not info.size:
         return np.zeros(0, kind)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
+        return np.asarray(np.memmap(path, kind, "r"))
     with tempfile.TemporaryFile() as copy, system.open_input_stream(path) as source:
         while chunk := source.read(1 << 24):
             copy.write(chunk)
         copy.flush()
-        return np.memmap(copy, kind, "r")
+        return np.asarray(np.memmap(copy, kind, "r"))
+
+
+def _places(stored: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted ``hashes`` are in sorted ``stored`` ones, and which of them are there at all.
+
+    Both are parted at the same values first, so that a search stays in a small part of
+    ``stored`` and not every search passes over all of it.
+    """
+    place = np.empty(len(hashes), np.int64)
+    step = max(LEAST_PART, PART * len(stored) // max(1, len(hashes)))
+    cuts = [0, *hashes.searchsorted(stored[step::step]).tolist(), len(hashes)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            np.add(stored[i * step:(i + 1) * step].searchsorted(hashes[a:b]), i * step, out=place[a:b])
+    np.minimum(place, len(stored) - 1, out=place)
+    return place, stored[place] == hashes
 
 
 def find(
@@ -111,10 +160,10 @@ def find(
         stored = mapped(folder, name, shard, "hash", "<u8")
         if not len(stored):
             continue
-        place = np.minimum(np.searchsorted(stored, hashes[at]), len(stored) - 1)
-        hit = stored[place] == hashes[at]
+        place, hit = _places(stored, hashes[at])
+        place = place[hit]
         for key, kind in columns.items():
-            out[key][at][hit] = mapped(folder, name, shard, key, kind)[place[hit]]
+            out[key][at][hit] = mapped(folder, name, shard, key, kind)[place]
     return out
 
 
@@ -124,8 +173,7 @@ def holds(folder: str, name: str, shards: int, hashes: np.ndarray) -> np.ndarray
     for shard, at in split(hashes, shards):
         stored = mapped(folder, name, shard, "hash", "<u8")
         if len(stored):
-            place = np.minimum(np.searchsorted(stored, hashes[at]), len(stored) - 1)
-            out[at] = stored[place] == hashes[at]
+            out[at] = _places(stored, hashes[at])[1]
     return out
 
 

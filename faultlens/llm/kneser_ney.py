@@ -114,19 +114,27 @@ def _longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(grams * np.uint64(FACTOR) + words)
 
 
-def _tokens(texts: pa.Array, order: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
-    """(grams, contexts, row) block by block: for each token, the hashes of the grams of
-    one word, of two, ... that end with it, and of those that end before it."""
+def _tokens(texts: pa.Array, order: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(hashes, at, row) block by block: the hashes of the grams of one word, of two, ... that
+    end at each place of the block, the places of its tokens, and their rows."""
     last = np.full(order - 1, START)
     for block in text_blocks(texts, BLOCK):
         flat, at, row = _sequences(block, last)
         last = flat[len(flat) - order + 1:]
-        grams, contexts, hashes = [flat[at]], [], flat
+        hashes = [flat]
         for _ in range(order - 1):
-            contexts.append(hashes[at - 1])
-            hashes = np.concatenate((hashes[:1], _longer(hashes[:-1], flat[1:])))
-            grams.append(hashes[at])
-        yield grams, contexts, row + block.first
+            hashes.append(np.concatenate((hashes[-1][:1], _longer(hashes[-1][:-1], flat[1:]))))
+        yield hashes, at, row + block.first
+
+
+def _grams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams that end with a token or before one, in order; which of them
+    ends with each token, and which before it."""
+    used = np.zeros(len(hashes), bool)
+    used[at] = used[at - 1] = True
+    number = np.cumsum(used) - 1
+    kinds, of = hash_arrays.distinct(hashes[used])
+    return kinds, of[number[at]], of[number[at - 1]]
 
 
 def _store(folder: str, name: str, shard: int, hashes: np.ndarray,
@@ -148,18 +156,22 @@ def _store(folder: str, name: str, shard: int, hashes: np.ndarray,
 def _counts(folder: str, name: str, shards: int, hashes: np.ndarray, keys: tuple[str, ...],
             freed: float | None = None) -> dict[str, np.ndarray]:
     """Columns of sorted distinct grams; ``freed``: what a gram that occurs once has there."""
-    found = hash_arrays.find(folder, name, shards, hashes, {
-        **dict.fromkeys(keys, "<u1"), **({} if freed is None else {"freed": "<f8"})})
     once = hash_arrays.holds(folder, f"{name}-once", shards, hashes)
+    rest = np.flatnonzero(~once)  # the others alone can be among those that occur more often
+    stored = hash_arrays.find(folder, name, shards, hashes[rest], {
+        **dict.fromkeys(keys, "<u1"), **({} if freed is None else {"freed": "<f8"})})
+    found = {}
     for key in keys:
-        counts = found[key] = found[key].astype(np.int64)
+        counts = stored[key].astype(np.int64)
         large = np.flatnonzero(counts == LARGE)
         if len(large):
             counts[large] = hash_arrays.find(
-                folder, f"{name}-{key}", shards, hashes[large], {"count": "<u8"})["count"]
-        counts[once] = 1
+                folder, f"{name}-{key}", shards, hashes[rest[large]], {"count": "<u8"})["count"]
+        found[key] = np.ones(len(hashes), np.int64)
+        found[key][rest] = counts
     if freed is not None:
-        found["freed"][once] = freed
+        found["freed"] = np.full(len(hashes), freed)
+        found["freed"][rest] = stored["freed"]
     return found
 
 
@@ -239,8 +251,8 @@ def count(docs: DataFrame, order: int = 2) -> Model:
     def longest(batches):
         def gathered():
             for batch in batches:
-                for grams, _, _ in _tokens(batch.column(0), order):
-                    yield (found := np.unique(grams[-1], return_counts=True))[0], [found[1].astype(np.uint32)]
+                for grams, at, _ in _tokens(batch.column(0), order):
+                    yield (found := np.unique(grams[-1][at], return_counts=True))[0], [found[1].astype(np.uint32)]
 
         yield from _pieces(gathered(), shards, ["<u4"], GATHERED)
 
@@ -271,15 +283,13 @@ def _count_below(
     def shorter(batches):
         def gathered():
             for batch in batches:
-                for grams, contexts, _ in _tokens(batch.column(0), order):
-                    hashes, at = np.unique(grams[length], return_inverse=True)
+                for grams, places, _ in _tokens(batch.column(0), order):
+                    hashes, at = hash_arrays.distinct(grams[length][places])
                     found = _counts(folder, str(longer), shards, hashes,
                                     ("token",) if longer == order else ("token", "second"))
                     each = (1 / found["token"])[at]  # an occurrence's share of its gram
                     n = found["token" if longer == order else "second"][at]
-                    kinds, place = np.unique(
-                        np.concatenate((contexts[length - 1], grams[length - 1])), return_inverse=True)
-                    first, second = place[:len(n)], place[len(n):]
+                    kinds, second, first = _grams(grams[length - 1], places)
                     k = len(kinds)
                     yield kinds, [
                         np.bincount(second, minlength=k).astype(np.uint32),
@@ -304,21 +314,20 @@ def _count_below(
 
 
 def token_scores(
-    model: Model, grams: list[np.ndarray], contexts: list[np.ndarray],
+    model: Model, grams: list[np.ndarray], at: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each token after its context, and its count in training."""
+    """Probability of each token after its context, and its count in training; ``grams``
+    end at each place of a block, ``at`` are the places of its tokens."""
     for length in range(1, model.order + 1):
         if length > 1:
             total, left = found["context"][u], found["freed"][u]
         if length < model.order:
-            kinds, at = np.unique(
-                np.concatenate((contexts[length - 1], grams[length - 1])), return_inverse=True)
+            kinds, w, u = _grams(grams[length - 1], at)
             found = _counts(model.folder, str(length), model.shards, kinds, COUNTS,
                             model.discounts[length].one)
-            u, w = at[:len(at) // 2], at[len(at) // 2:]
             n = found["second"]
         else:
-            kinds, w = np.unique(grams[-1], return_inverse=True)
+            kinds, w = hash_arrays.distinct(grams[-1][at])
             n = _counts(model.folder, str(length), model.shards, kinds, ("token",))["token"]
         n = (n - model.discounts[length - 1].of(n))[w]
         if length == 1:
@@ -335,9 +344,9 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             sums = [np.zeros(n) for _ in range(4)]
-            for grams, contexts, row in _tokens(batch.column(2), model.order):
+            for grams, at, row in _tokens(batch.column(2), model.order):
                 if model.tokens:
-                    p, known = token_scores(model, grams, contexts)
+                    p, known = token_scores(model, grams, at)
                 else:
                     p, known = np.ones(len(row)), np.zeros(len(row), np.int64)
                 base = np.log10((known + 1) / (model.tokens + model.words + 1))
