@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultlens.llm import factor_machine, kneser_ney, line_field, mixing, queries, url_reputation
+from faultlens.llm import factor_machine, hash_arrays, kneser_ney, line_field, mixing, queries, url_reputation
 from faultlens.llm.labelled import training_texts
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -197,6 +197,38 @@ def test_scores_equal_the_definition(spark, monkeypatch):
         assert r["score"] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(seq, seq[1:])))
 
 
+def test_hashes_are_ordered_and_found_in_parts(monkeypatch, tmp_path):
+    monkeypatch.setattr(hash_arrays, "PART", 3)
+    monkeypatch.setattr(hash_arrays, "LEAST_PART", 5)
+    rng = np.random.default_rng(4)
+    near = np.uint64(7 << 50) + rng.integers(0, 4, 40).astype(np.uint64)  # these differ in their lowest bits alone
+    for hashes in (rng.integers(0, 2**64, 3000, dtype=np.uint64), near, np.r_[near, rng.integers(0, 2**64, 99, np.uint64)],
+                   np.zeros(0, np.uint64), np.full(9, 2**64 - 1, np.uint64)):
+        assert hash_arrays.order_of(hashes).tolist() == np.argsort(hashes, kind="stable").tolist()
+        kinds, at = hash_arrays.distinct(hashes)
+        wanted, places = np.unique(hashes, return_inverse=True)
+        assert (kinds.tolist(), at.tolist()) == (wanted.tolist(), places.tolist())
+    folder, stored = tmp_path.as_uri(), np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
+    for shard, at in hash_arrays.split(stored, 3):
+        hash_arrays.store(folder, "x", shard, {"hash": stored[at], "n": np.arange(len(stored), dtype="<u8")[at] + 1})
+    asked = np.unique(np.r_[stored[::2], rng.integers(0, 2**64, 200, dtype=np.uint64), np.uint64(0), np.uint64(2**64 - 1)])
+    there = {int(h): i + 1 for i, h in enumerate(stored)}
+    found = hash_arrays.find(folder, "x", 3, asked, {"n": "<u8"})["n"]
+    assert found.tolist() == [there.get(int(h), 0) for h in asked]
+    assert hash_arrays.holds(folder, "x", 3, asked).tolist() == [int(h) in there for h in asked]
+
+
+def test_grams_that_occur_once_are_looked_up_once(monkeypatch, tmp_path):
+    folder = tmp_path.as_uri()
+    hashes = np.arange(1, 9, dtype=np.uint64)
+    kneser_ney._store(folder, "2", 0, hashes, {"token": np.array([1, 1, 1, 2, 300, 1, 3, 1])})
+    asked, find = [], hash_arrays.find
+    monkeypatch.setattr(hash_arrays, "find", lambda f, name, n, h, c: asked.append((name, h.tolist())) or find(f, name, n, h, c))
+    found = kneser_ney._counts(folder, "2", 1, np.arange(0, 10, dtype=np.uint64), ("token",))["token"]
+    assert found.tolist() == [0, 1, 1, 1, 2, 300, 1, 3, 1, 0]
+    assert asked == [("2", [0, 4, 5, 7, 9]), ("2-token", [5])]
+
+
 def slow_model_of_order(texts, order):
     """Probabilities by definition: continuation counts below the highest order."""
     counts = {order: Counter()}
